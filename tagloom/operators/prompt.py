@@ -18,15 +18,15 @@ from tagloom.functions import (
 )
 from tagloom.operators.scores import RATING, best_of, bind, catalog_size, excluded_arrays, label_vector, positions
 from tagloom.rules import NAME, PromptRules, check_threshold
+from tagloom.session import literal_rows
 
 _TIER = 1 << 32
 
 
 def _rule_rows(df: DataFrame, rules: PromptRules) -> DataFrame:
     """The rules of the argument as rows; the literal list is what the user typed."""
-    spark = df.sparkSession
     rows = [(i, r.group_id, r.enabled, r.sort == NAME) for i, r in enumerate(rules.groups)]
-    return spark.createDataFrame(rows, "pos int, id string, enabled boolean, by_name boolean")
+    return literal_rows(df.sparkSession, "pos int, id string, enabled boolean, by_name boolean", rows)
 
 
 def enabled_groups(rule_rows: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def apply_replacements(df: DataFrame, replacements: Mapping[str, str | None], co
     """Add ``text``: the exact replacement of the name where there is one (none means empty), else the name."""
     if not replacements:
         return df.withColumn("text", F.col(column))
-    table = df.sparkSession.createDataFrame(
-        [(k, v or "") for k, v in replacements.items()], f"{column} string, replaced string"
+    table = literal_rows(
+        df.sparkSession, f"{column} string, replaced string", [(k, v or "") for k, v in replacements.items()]
     )
     return df.join(table, column, "left").withColumn("text", F.coalesce("replaced", column)).drop("replaced")
 
@@ -84,7 +84,7 @@ def drop_excluded(df: DataFrame, names: list[str] | tuple[str, ...], column: str
     """Exact, case-sensitive exclusion on the original name."""
     if not names:
         return df
-    table = df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string").distinct()
+    table = literal_rows(df.sparkSession, f"{column} string", [(n,) for n in names])
     return df.join(table, column, "left_anti")
 
 

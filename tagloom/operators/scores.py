@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom import fixed
 from tagloom.functions import is_finite, is_visible
 from tagloom.rules import check_threshold
+from tagloom.session import unnest
 
 RATING = fixed.RATING_GROUP
 
@@ -105,7 +106,7 @@ def attach_catalog(predictions: DataFrame, catalog: DataFrame, *keep: str) -> Da
     """One row per image and label, joined by position. Spark picks the join by the catalog's size."""
     p = F.col("probabilities")
     checked = require_length(p, p, catalog_size(catalog))
-    scores = predictions.select("image_id", *keep, F.posexplode(checked).alias("tag_index", "probability"))
+    scores = unnest(predictions, ["image_id", *keep], checked, "tag_index", "probability")
     return scores.join(catalog, "tag_index")
 
 
@@ -134,7 +135,7 @@ def visible_tags(
 
 def explode_tags(df: DataFrame, *keep: str) -> DataFrame:
     """Rows of a ``tags`` column with their 1-based rank."""
-    rows = df.select("image_id", *keep, F.posexplode("tags").alias("at", "tag"))
+    rows = unnest(df, ["image_id", *keep], "tags", "at", "tag")
     return rows.select("image_id", *keep, (F.col("at") + 1).alias("rank"), "tag.*")
 
 
@@ -163,7 +164,7 @@ def rank_tags(df: DataFrame, mode: str = "confidence") -> DataFrame:
     ordered = df.withColumn("ordered", F.sort_array(F.transform("tags", key)))
     # the rank inside a group is the position minus the position of the group's first tag
     ordered = ordered.withColumn("groups", F.transform("ordered", lambda t: t["group"]))
-    rows = ordered.select("image_id", F.col("groups"), F.posexplode("ordered").alias("at", "tag"))
+    rows = unnest(ordered, ["image_id", "groups"], "ordered", "at", "tag")
     return rows.select(
         "image_id",
         F.col("tag.group").alias("group"),
@@ -186,8 +187,8 @@ def best_of(values: Column, indices: Column) -> Column:
 def top_rating(predictions: DataFrame, catalog: DataFrame, group_id: str = RATING) -> DataFrame:
     """The best label of the rating group per image, whatever the threshold; images without one have no row."""
     df = bind(predictions, members=group_indices(catalog, group_id))
-    picked = df.select("image_id", best_of(F.col("probabilities"), F.col("__members")).alias("best"))
-    picked = bind(picked.filter(F.col("best").isNotNull()), labels=label_vector(catalog, "name"))
+    best = F.filter(F.array(best_of(F.col("probabilities"), F.col("__members"))), lambda x: x.isNotNull())
+    picked = bind(unnest(df, ["image_id"], best, "at", "best"), labels=label_vector(catalog, "name"))
     return picked.select(
         "image_id",
         F.col("best.tag_index").alias("tag_index"),
@@ -316,15 +317,11 @@ def group_summary(predictions: DataFrame, catalog: DataFrame, groups: DataFrame,
     """Image x group: visible count and whether the group is empty. Empty groups keep their row."""
     t = check_threshold(threshold)
     p = F.col("probabilities")
-    rows = bind(predictions, groups=_group_vector(groups, catalog)).select(
-        "image_id",
-        F.posexplode(
-            F.transform(
-                F.col("__groups"),
-                lambda g: F.struct(g["id"].alias("group_id"), F.size(_group_hits(p, g, t)).alias("visible")),
-            )
-        ).alias("group_pos", "s"),
+    counts = F.transform(
+        F.col("__groups"),
+        lambda g: F.struct(g["id"].alias("group_id"), F.size(_group_hits(p, g, t)).alias("visible")),
     )
+    rows = unnest(bind(predictions, groups=_group_vector(groups, catalog)), ["image_id"], counts, "group_pos", "s")
     return rows.select("image_id", "group_pos", "s.group_id", "s.visible", (F.col("s.visible") == 0).alias("is_empty"))
 
 
@@ -357,23 +354,23 @@ def tag_groups(
     """
     t = check_threshold(threshold)
     p = F.col("probabilities")
-    usable = predictions.filter(F.size(p) == catalog_size(catalog))
-    shown = bind(usable, groups=_group_vector(groups, catalog)).select(
-        "image_id",
-        F.transform(
-            F.col("__groups"),
-            lambda g: F.struct(
-                g["id"].alias("group_id"), g["display_name"].alias("display_name"), g["is_rating"].alias("is_rating"),
-                _group_hits(p, g, t).alias("hits"),
-            ),
-        ).alias("groups"),
+    usable = F.size(p) == catalog_size(catalog)
+    views = F.transform(
+        F.col("__groups"),
+        lambda g: F.struct(
+            g["id"].alias("group_id"), g["display_name"].alias("display_name"), g["is_rating"].alias("is_rating"),
+            _group_hits(p, g, t).alias("hits"),
+        ),
+    )
+    shown = bind(predictions, groups=_group_vector(groups, catalog)).select(
+        "image_id", F.when(usable, views).alias("groups")
     )
     if overrides is not None:
         shown = shown.join(excluded_arrays(overrides), "image_id", "left")
     else:
         shown = shown.withColumn("excluded", F.lit(None).cast("array<int>"))
-    rows = shown.select("image_id", "excluded", F.posexplode("groups").alias("group_pos", "g"))
-    rows = rows.select("image_id", "excluded", "group_pos", "g", F.posexplode("g.hits").alias("at", "hit"))
+    rows = unnest(shown, ["image_id", "excluded"], "groups", "group_pos", "g")
+    rows = unnest(rows, ["image_id", "excluded", "group_pos", "g"], "g.hits", "at", "hit")
     rows = bind(rows, labels=label_vector(catalog, "name", "translation"))
     rows = rows.withColumn("label", F.get("__labels", F.col("hit.tag_index")))
     return rows.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.operators.catalog import map_category
+from tagloom.session import literal_rows, unnest
 
 GROUPS5 = ["rating", "artist", "copyright", "character", "general"]
 THRESHOLD = 0.6
@@ -38,19 +39,24 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog64(spark: SparkSession, sf_dir: str, repeated_names: bool = False) -> DataFrame:
-    """Labels of the 64 embedding positions, one per position, from the parts with those keys."""
-    part = table(spark, sf_dir, "part").filter("p_partkey < 64")
+    """Labels of the 64 embedding positions, made from all parts: part k belongs to position k % 64.
+
+    The first part of a position names the label, the sizes of all its parts add up to the count.
+    """
+    part = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 64).cast("int").alias("tag_index")).agg(
+        F.min_by("p_name", "p_partkey").alias("p_name"), F.sum("p_size").alias("count")
+    )
     base = F.translate("p_name", " ", "_")
     if repeated_names:
-        name = F.when(F.col("p_partkey") % 3 == 0, F.upper(base)).otherwise(base)
+        name = F.when(F.col("tag_index") % 3 == 0, F.upper(base)).otherwise(base)
     else:
-        name = F.concat(base, F.lit("_"), F.col("p_partkey").cast("string"))
+        name = F.concat(base, F.lit("_"), F.col("tag_index").cast("string"))
     rows = part.select(
-        F.col("p_partkey").cast("int").alias("tag_index"),
+        "tag_index",
         name.alias("name"),
-        F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.upper("p_name")).alias("translation"),
-        (F.col("p_partkey") % 10).cast("int").alias("category"),
-        F.col("p_size").cast("long").alias("count"),
+        F.when(F.col("tag_index") % 5 == 0, "").otherwise(F.upper("p_name")).alias("translation"),
+        (F.col("tag_index") % 10).alias("category"),
+        "count",
     )
     return map_category(rows)
 
@@ -58,7 +64,7 @@ def catalog64(spark: SparkSession, sf_dir: str, repeated_names: bool = False) ->
 def groups5(spark: SparkSession) -> DataFrame:
     rows = [(i, g, g.title(), g.upper() if i % 2 == 0 else None, "rating" if g == "rating" else "threshold")
             for i, g in enumerate(GROUPS5)]
-    return spark.createDataFrame(rows, "pos int, id string, name string, display_name string, strategy string")
+    return literal_rows(spark, "pos int, id string, name string, display_name string, strategy string", rows)
 
 
 def groups3(spark: SparkSession) -> DataFrame:
@@ -90,9 +96,8 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("tag_index")
-    )
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    rows = unnest(emb, ["image_id"], "embedding", "tag_index", "x").select("image_id", "tag_index")
     return rows.filter((F.col("image_id") * 7 + F.col("tag_index")) % 11 == 0)
 
 

@@ -7,6 +7,7 @@ from tagloom.operators import prompt as P, scores as S
 from tagloom.plans import bindings as B
 from tagloom.plans.registry import query
 from tagloom.plans.sqltext import CATALOG, CATALOG_DUP, EMB, GROUPS3, GROUPS5, OVERRIDES, SCORES, SCORES_BAD, with_
+from tagloom.session import unnest
 from tagloom.rules import NAME, GroupRule, PromptRules, default_rules
 
 
@@ -115,7 +116,7 @@ def deduped_rows(spark, sf):
     t = P.prompt_candidates(
         B.predictions(spark, sf), B.catalog64(spark, sf, True), B.groups5(spark), default_rules(B.GROUPS5), B.THRESHOLD
     )
-    rows = t.select("image_id", F.posexplode("tags").alias("at", "t"))
+    rows = unnest(t, ["image_id"], "tags", "at", "t")
     return rows.select("image_id", (F.col("at") + 1).alias("place"), "t.tag_index", "t.text")
 
 
@@ -191,7 +192,7 @@ def escape_trim(spark, sf):
 SELECT image_id, tag_index, {W_2} AS weight, CASE WHEN {W_2} = 1 THEN 'tag' ELSE '(tag:' || printf('%.2f', {W_2}) || ')' END AS text
 FROM (SELECT *, 0.3::DOUBLE AS threshold FROM scores)""")
 def weights(spark, sf):
-    rows = B.predictions(spark, sf).select("image_id", F.posexplode("probabilities").alias("tag_index", "p"))
+    rows = unnest(B.predictions(spark, sf), ["image_id"], "probabilities", "tag_index", "p")
     w = tag_weight(F.col("p"), F.lit(0.3), 0.9, 1.35)
     return rows.select("image_id", "tag_index", w.alias("weight"), weighted_text(F.lit("tag"), w).alias("text"))
 
@@ -203,15 +204,11 @@ def units(spark, sf):
 
 
 @query("text_quality_presets", """
-SELECT preset, text FROM (VALUES ('none', ''), ('sdxl', 'masterpiece, best quality'), ('anima', 'masterpiece, best quality, score_7'),
-  ('custom', 'own, tags')) v(preset, text) WHERE EXISTS (SELECT 1 FROM part)""")
+SELECT p_partkey, ['', 'masterpiece, best quality', 'masterpiece, best quality, score_7', 'own, tags'][p_size % 4 + 1] AS text FROM part""")
 def presets(spark, sf):
-    """Quality text of one part per preset, assigned by key."""
-    part = B.table(spark, sf, "part").filter("p_partkey < 4").select(F.col("p_partkey").alias("k"))
-    out = F.lit(None).cast("string")
-    names = F.lit(None).cast("string")
+    """Quality text by preset, the preset of a part given by its size."""
+    text = F.lit(None).cast("string")
     for i, preset in enumerate(["none", "sdxl", "anima", "custom"]):
-        rules = PromptRules(quality=preset, custom_quality="  own, tags ")
-        out = F.when(F.col("k") == i, rules.quality_text()).otherwise(out)
-        names = F.when(F.col("k") == i, preset).otherwise(names)
-    return part.select(names.alias("preset"), out.alias("text"))
+        rules = PromptRules(quality=preset, custom_quality="  own, tags ").check()
+        text = F.when(F.col("p_size") % 4 == i, rules.quality_text()).otherwise(text)
+    return B.table(spark, sf, "part").select("p_partkey", text.alias("text"))

@@ -9,6 +9,7 @@ from tagloom.plans.registry import query
 from tagloom.plans.sqltext import (
     CATALOG, EMB, GROUPS3, GROUPS5, OVERRIDES, SCORES, SCORES_BAD, with_,
 )
+from tagloom.session import unnest
 
 BASE = with_(EMB, SCORES, CATALOG)
 BAD = with_(EMB, SCORES, SCORES_BAD, CATALOG)
@@ -27,14 +28,14 @@ SELECT image_id, tag_index, round(CAST(CASE WHEN x * 10 < 0 THEN exp(x * 10) / (
 FROM emb""")
 def sigmoid_scores(spark, sf):
     p = S.activate_logits(B.logits(spark, sf), "sigmoid")
-    rows = p.select("image_id", F.posexplode("probabilities").alias("tag_index", "p"))
+    rows = unnest(p, ["image_id"], "probabilities", "tag_index", "p")
     return rows.withColumn("p", F.round(F.col("p").cast("double"), 6))
 
 
 @query("scores_activate_none", with_(EMB) + "SELECT image_id, tag_index, CAST(x * 10 AS FLOAT) AS p FROM emb")
 def no_activation(spark, sf):
     p = S.activate_logits(B.logits(spark, sf), "none")
-    return p.select("image_id", F.posexplode("probabilities").alias("tag_index", "p"))
+    return unnest(p, ["image_id"], "probabilities", "tag_index", "p")
 
 
 VISIBLE_BAD = BAD + f"""
@@ -54,10 +55,10 @@ def visible_in_group(spark, sf):
 
 
 @query("scores_ordered_text", BASE + """
-SELECT image_id, string_agg(tag_index, ',' ORDER BY probability DESC, tag_index) AS ordered, count(*)::INTEGER AS n
-FROM scores WHERE probability >= 0.6::DOUBLE GROUP BY image_id""")
+SELECT e.vec_id AS image_id, coalesce(string_agg(tag_index, ',' ORDER BY probability DESC, tag_index), '') AS ordered, count(tag_index)::INTEGER AS n
+FROM embeddings e LEFT JOIN (SELECT * FROM scores WHERE probability >= 0.6::DOUBLE) s ON s.image_id = e.vec_id GROUP BY e.vec_id""")
 def ordered_text(spark, sf):
-    v = S.visible_tags(B.predictions(spark, sf), B.catalog64(spark, sf), B.THRESHOLD).filter(F.size("tags") > 0)
+    v = S.visible_tags(B.predictions(spark, sf), B.catalog64(spark, sf), B.THRESHOLD)
     ids = F.transform("tags", lambda t: t["tag_index"].cast("string"))
     return v.select("image_id", F.array_join(ids, ",").alias("ordered"), F.size("tags").alias("n"))
 
@@ -188,7 +189,7 @@ SELECT CASE WHEN isnan(probability) THEN 'low' WHEN probability >= 0.9::DOUBLE T
             WHEN probability >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END AS band, count(*) AS n
 FROM scores_bad GROUP BY 1""")
 def band(spark, sf):
-    rows = B.predictions_bad(spark, sf).select(F.explode("probabilities").alias("p"))
+    rows = unnest(B.predictions_bad(spark, sf), [], "probabilities", "i", "p")
     return rows.groupBy(confidence_band(F.col("p")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 

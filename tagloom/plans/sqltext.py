@@ -12,20 +12,21 @@ TRANSLATIONS = """translations AS (
          CASE WHEN tag_id % 5 = 0 THEN '' WHEN tag_id % 7 = 0 THEN name ELSE upper(name) END AS translation
   FROM source_tags WHERE tag_id % 4 <> 3)"""
 
-CATALOG = f"""catalog AS (
-  SELECT CAST(p_partkey AS INTEGER) AS tag_index, replace(p_name, ' ', '_') || '_' || p_partkey AS name,
-         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE upper(p_name) END AS translation,
-         CAST(p_partkey % 10 AS INTEGER) AS category, CAST(p_size AS BIGINT) AS cnt,
-         {GROUP_CASE.format(c='p_partkey % 10')} AS grp
-  FROM part WHERE p_partkey < 64)"""
-
-CATALOG_DUP = f"""catalog AS (
-  SELECT CAST(p_partkey AS INTEGER) AS tag_index,
-         CASE WHEN p_partkey % 3 = 0 THEN upper(replace(p_name, ' ', '_')) ELSE replace(p_name, ' ', '_') END AS name,
-         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE upper(p_name) END AS translation,
-         CAST(p_partkey % 10 AS INTEGER) AS category,
-         {GROUP_CASE.format(c='p_partkey % 10')} AS grp
-  FROM part WHERE p_partkey < 64)"""
+LABEL_PARTS = """label_parts AS (
+  SELECT CAST(p_partkey % 64 AS INTEGER) AS k, arg_min(p_name, p_partkey) AS p_name, CAST(sum(p_size) AS BIGINT) AS cnt FROM part GROUP BY 1)"""
+
+CATALOG = LABEL_PARTS + f""", catalog AS (
+  SELECT k AS tag_index, replace(p_name, ' ', '_') || '_' || k AS name,
+         CASE WHEN k % 5 = 0 THEN '' ELSE upper(p_name) END AS translation, k % 10 AS category, cnt,
+         {GROUP_CASE.format(c='k % 10')} AS grp
+  FROM label_parts)"""
+
+CATALOG_DUP = LABEL_PARTS + f""", catalog AS (
+  SELECT k AS tag_index,
+         CASE WHEN k % 3 = 0 THEN upper(replace(p_name, ' ', '_')) ELSE replace(p_name, ' ', '_') END AS name,
+         CASE WHEN k % 5 = 0 THEN '' ELSE upper(p_name) END AS translation, k % 10 AS category, cnt,
+         {GROUP_CASE.format(c='k % 10')} AS grp
+  FROM label_parts)"""
 
 GROUPS5 = """groups5(pos, id, display_name, strategy) AS (VALUES
   (0, 'rating', 'RATING', 'rating'), (1, 'artist', NULL, 'threshold'), (2, 'copyright', 'COPYRIGHT', 'threshold'),

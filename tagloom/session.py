@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = "*", app: str = "tagloom", memory: str = "8g") -> SparkSession:
@@ -52,3 +56,23 @@ def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """A handful of literal rows (arguments of an operator) as a local relation of known size."""
+    struct = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
+    arrow = to_arrow_schema(struct)
+    return spark.createDataFrame(
+        pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema=struct
+    )
+
+
+def unnest(df: DataFrame, keep: Sequence[str | Column], array: str | Column, at: str, item: str) -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    An inner ``posexplode`` makes Spark filter on the array first, which computes an array built by
+    higher-order functions twice. The outer form followed by a filter on its output does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, item))
+    return rows.filter(F.col(at).isNotNull())
