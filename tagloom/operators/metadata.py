@@ -9,7 +9,7 @@ before the shuffle and never gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +20,7 @@ from tagloom.functions import (
     marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, size_text, split_top_level, suffix_key,
     tag_of_key, trim_unicode, unmark_json, utf16_length,
 )
-from tagloom.session import unnest
+from tagloom.session import materialize, unnest
 
 REST = 2**31 - 1
 _FIELD = "struct<target:string,key:string,value:string>"
@@ -385,7 +385,7 @@ def assemble_nodes(prompt_json: Column, prompt: Column, workflow_json: Column, w
         at = lambda name, i: F.get(j[name], F.lit(i))
         size, batch = at("sizes", 0)["size"], at("sizes", 0)["batch"]
         extras = F.transform(
-            F.slice(j["texts"], 3, REST),
+            F.slice(j["texts"], F.lit(3), F.size(j["texts"])),
             lambda x, i: _field("raw", F.concat(F.lit("extra_prompt_"), (i + 1).cast("string")), cut(x["text"])),
         )
         sampler = F.transform(
@@ -503,11 +503,12 @@ def classify_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def _present(df: DataFrame, phase: int, key: str | Column, segment: Column) -> DataFrame:
+def _present(df: DataFrame, phase: int | Column, key: str | Column, segment: Column) -> DataFrame:
     """Rows ``image_id, phase, seg_key, segment`` where the segment is not null, computing it once."""
     key = F.col(key) if isinstance(key, str) else key
+    phase = phase if isinstance(phase, Column) else F.lit(phase)
     rows = unnest(
-        df, ["image_id", F.lit(phase).alias("phase"), key.alias("seg_key")],
+        df, ["image_id", phase.alias("phase"), key.alias("seg_key")],
         F.filter(F.array(segment), lambda s: s.isNotNull()), "at", "segment",
     )
     return rows.drop("at")
@@ -522,30 +523,36 @@ def parse_segments(classified: DataFrame) -> DataFrame:
     a1111 = parse_a1111(classified.filter("is_a1111"))
     texts = _present(a1111, 0, "key", F.col("segment"))
 
-    nodes = classified.filter("is_prompt or is_workflow").select(
-        "image_id", "key", "value", "is_prompt", "is_workflow",
-        F.when(F.col("is_prompt"), prompt_nodes(F.col("value"))).alias("p"),
-        F.when(F.col("is_workflow"), workflow_nodes(F.col("value"))).alias("w"),
-    )
-    entry = F.struct("key", "value", "p", "w")
-    firsts = nodes.groupBy("image_id").agg(
-        F.min_by(F.when(F.col("is_prompt"), entry), F.when(F.col("is_prompt"), F.col("key"))).alias("first_p"),
-        F.min_by(F.when(F.col("is_workflow"), entry), F.when(F.col("is_workflow"), F.col("key"))).alias("first_w"),
-    )
-    firsts = firsts.withColumn(
-        "combined",
-        assemble_nodes(F.col("first_p.value"), F.col("first_p.p"), F.col("first_w.value"), F.col("first_w.w")),
-    ).select("image_id", F.col("first_p.key").alias("p_key"), F.col("first_w.key").alias("w_key"), "combined")
-    combined = _present(firsts, 1, F.lit(""), F.col("combined"))
-
-    # further candidates count only for images whose first pair gave nothing; most are dropped before the join
-    none = _none("string")
-    alone_p = _present(nodes, 2, "key", assemble_nodes(F.when(F.col("is_prompt"), F.col("value")), F.col("p"), none, F.lit(None).cast(nodes.schema["w"].dataType)))
-    alone_w = _present(nodes, 3, "key", assemble_nodes(none, F.lit(None).cast(nodes.schema["p"].dataType), F.when(F.col("is_workflow"), F.col("value")), F.col("w")))
-    failed = firsts.select("image_id", "p_key", "w_key", F.col("combined").isNull().alias("failed"))
-    later = alone_p.unionByName(alone_w).join(failed, "image_id").filter(
-        F.col("failed") & ~(F.col("seg_key") <=> F.when(F.col("phase") == 2, F.col("p_key")).otherwise(F.col("w_key")))
-    ).select("image_id", "phase", "seg_key", "segment")
+    # one pair per image first: the first node map with the first workflow
+    entry = F.struct("key", "value")
+    first = lambda flag: F.min_by(F.when(F.col(flag), entry), F.when(F.col(flag), F.col("key")))
+    candidates = classified.filter("is_prompt or is_workflow")
+    per_image = candidates.groupBy("image_id").agg(
+        first("is_prompt").alias("p"), first("is_workflow").alias("w"),
+        ((F.count_if("is_prompt") > 1) | (F.count_if("is_workflow") > 1)).alias("several"),
+    )
+    pairs = per_image.select(
+        "image_id", F.lit(1).alias("phase"), F.lit("").alias("seg_key"), F.col("p.value").alias("prompt"), F.col("w.value").alias("workflow")
+    )
+    # entries of the few images with several candidates are tried alone as well
+    several = per_image.filter("several").select("image_id")
+    alone = candidates.join(several, "image_id", "left_semi").select(
+        "image_id", "key",
+        F.explode(F.array(
+            F.struct(F.lit(2).alias("phase"), F.when(F.col("is_prompt"), F.col("value")).alias("prompt"), _none("string").alias("workflow")),
+            F.struct(F.lit(3).alias("phase"), _none("string").alias("prompt"), F.when(F.col("is_workflow"), F.col("value")).alias("workflow")),
+        )).alias("c"),
+    ).select("image_id", "c.phase", F.col("key").alias("seg_key"), "c.prompt", "c.workflow")
+    nodes = pairs.unionByName(alone).select(
+        "*", prompt_nodes(F.col("prompt")).alias("p"), workflow_nodes(F.col("workflow")).alias("w")
+    )
+    found = _present(
+        nodes, F.col("phase"), "seg_key", assemble_nodes(F.col("prompt"), F.col("p"), F.col("workflow"), F.col("w"))
+    )
+    # if the first pair gave anything, nothing else counts; if not, the first entries alone gave nothing either
+    settled = found.filter("phase = 1").select("image_id")
+    later = found.filter("phase > 1").join(settled, "image_id", "left_anti")
+    combined = found.filter("phase = 1")
 
     first_of = lambda flag: F.min_by(F.when(F.col(flag), F.col("value")), F.when(F.col(flag), F.col("key")))
     comments = classified.filter("is_comment or is_software or is_source").groupBy("image_id").agg(
@@ -689,7 +696,7 @@ class GenerationInfo:
 def enforce_limits(info: GenerationInfo, field_units: int = fixed.MAX_FIELD_UNITS, total_units: int = fixed.MAX_TOTAL_UNITS) -> GenerationInfo:
     """Cut fields, drop raw entries over the total, and say so in the warnings."""
     parameters, raw = truncate_fields(info.parameters, field_units), truncate_fields(info.raw_entries, field_units)
-    dropped = over_budget(raw.drop("was_cut"), total_units)
+    dropped = materialize(over_budget(raw.drop("was_cut"), total_units), "over-budget")
     header = truncate_fields(info.header, field_units, "positive").withColumnRenamed("was_cut", "positive_cut")
     header = truncate_fields(header, field_units, "negative").withColumnRenamed("was_cut", "negative_cut")
 
@@ -717,11 +724,17 @@ def enforce_limits(info: GenerationInfo, field_units: int = fixed.MAX_FIELD_UNIT
     )
 
 
-def merge_segments(meta: DataFrame) -> GenerationInfo:
-    """Classify, parse and merge, without limits."""
+def merge_segments(meta: DataFrame, segments: DataFrame | None = None) -> GenerationInfo:
+    """Classify, parse and merge, without limits.
+
+    All five results need the parsed segments. They are written once to the shared folder and read
+    back, so that the texts are parsed once and the merges start from a table. A caller that keeps
+    the segments in a table of its own passes them in.
+    """
     entries, reader_warnings = split_warnings(meta)
     classified = classify_entries(entries)
-    segments = parse_segments(classified)
+    if segments is None:
+        segments = materialize(parse_segments(classified), "segments")
     header = merge_header(entries, segments)
     return GenerationInfo(
         header, merge_parameters(segments), merge_raw_entries(entries, segments),
@@ -731,7 +744,9 @@ def merge_segments(meta: DataFrame) -> GenerationInfo:
 
 def generation_info(meta: DataFrame, field_units: int = fixed.MAX_FIELD_UNITS, total_units: int = fixed.MAX_TOTAL_UNITS) -> GenerationInfo:
     """Merged and limited metadata of every image that has any entry."""
-    return enforce_limits(merge_segments(meta), field_units, total_units)
+    info = merge_segments(meta)
+    raw = materialize(info.raw_entries, "raw-entries")
+    return enforce_limits(replace(info, raw_entries=raw), field_units, total_units)
 
 
 def unknown_fallback(info: GenerationInfo) -> DataFrame:
