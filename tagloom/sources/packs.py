@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom import fixed, schemas
 from tagloom.functions import is_blank, trim_unicode
@@ -63,14 +63,19 @@ def read_groups(manifest: DataFrame) -> DataFrame:
 def parse_checksums(lines: DataFrame) -> DataFrame:
     """``name, sha256, problem`` of checksum lines (column ``value``); problem is null for a good line."""
     parts = F.filter(F.split("value", " "), lambda x: x != "")
-    rows = lines.filter(~is_blank(F.col("value"))).select(F.col("value"), parts.alias("p"))
     digest, name = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    well_formed = (F.size("p") == 2) & digest.rlike("^[0-9A-Fa-f]{64}$")
-    repeated = F.count(F.lit(1)).over(Window.partitionBy(name)) > 1
-    return rows.select(
+    rows = lines.filter(~is_blank(F.col("value"))).select(parts.alias("p")).select(
         name.alias("name"), F.lower(digest).alias("sha256"),
-        F.when(~well_formed, "invalid_line").when(~name.isin(fixed.HASHED_FILES), "unknown_file").when(repeated, "duplicate_file").alias("problem"),
+        ((F.size("p") == 2) & digest.rlike("^[0-9A-Fa-f]{64}$")).alias("well_formed"),
     )
+    # counts of the few known names only: at most one row per name of the fixed list
+    repeated = rows.filter(F.col("name").isin(fixed.HASHED_FILES)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = rows.join(F.broadcast(repeated), "name", "left")
+    problem = (
+        F.when(~F.coalesce("well_formed", F.lit(False)), "invalid_line").when(~F.col("name").isin(fixed.HASHED_FILES), "unknown_file")
+        .when(F.col("n").isNotNull(), "duplicate_file")
+    )
+    return joined.select("name", "sha256", problem.alias("problem"))
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -83,10 +83,13 @@ def stream_latest(results: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there into parquet and stop. Complete results replace the folder of the batch before."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """Process what is there into parquet below ``out`` and stop.
+
+    Changed rows (update mode) go to one folder per batch; a repeated batch overwrites its own.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
+        query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).start()
+        query = writer.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     query.awaitTermination()
