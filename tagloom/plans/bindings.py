@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom.operators.catalog import map_category
 from tagloom.session import literal_rows, unnest
@@ -130,3 +130,66 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("page_id").alias("seq"))
     again = pages.filter("seq % 4 = 0").withColumn("seq", F.col("seq") + 1_000_000_000)
     return pages.unionByName(again)
+
+
+# --- generation metadata made from all parts -------------------------------------------------------------------
+
+
+def _s(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def gen_text() -> Column:
+    """Parameter text; every third part has no negative prompt, every fifth an unknown field."""
+    c = F.col
+    negative = F.when(c("p_partkey") % 3 == 0, "").otherwise(_s("\nNegative prompt: ", c("p_type")))
+    extra = F.when(c("p_partkey") % 5 == 0, ", FooBar: x y").otherwise("")
+    return _s(
+        c("p_name"), negative, "\nSteps: ", c("p_size"), ", Sampler: S (a, b), CFG scale: 7, Seed: ", c("p_partkey"), ", Model: ", c("p_brand"), extra
+    )
+
+
+def gen_nodes() -> Column:
+    """Node map whose text nodes are named 10 and 9, so that their order as numbers matters."""
+    c = F.col
+    return _s(
+        '{"1":{"class_type":"CheckpointLoaderSimple","inputs":{"ckpt_name":"', c("p_brand"), '"}},',
+        '"10":{"class_type":"CLIPTextEncode","inputs":{"text":"', c("p_name"), '","clip":["1",1]}},',
+        '"9":{"class_type":"CLIPTextEncode","inputs":{"text":"', c("p_type"), '"}},',
+        '"5":{"class_type":"KSampler","inputs":{"seed":', c("p_partkey"), ',"steps":', c("p_size"), ',"cfg":7.0,"sampler_name":"euler","denoise":1e0}},',
+        '"6":{"class_type":"EmptyLatentImage","inputs":{"width":512,"height":', c("p_size") * 8, ',"batch_size":1}},',
+        '"7":{"class_type":"LoraLoader","inputs":{"lora_name":"l', c("p_size"), '","strength_model":0.8,"strength_clip":0.60}},',
+        '"8":{"class_type":"VAELoader","inputs":{"vae_name":"v"}}, "11":{"class_type":"Other"}}',
+    )
+
+
+def gen_workflow() -> Column:
+    c = F.col
+    return _s(
+        '{"nodes":[{"id":3,"type":"CLIPTextEncode","widgets_values":["wf ', c("p_name"), '"]},',
+        '{"id":4,"type":"CheckpointLoaderSimple","widgets_values":["wf_', c("p_brand"), '"]},',
+        '{"id":5,"type":"KSampler","widgets_values":[1,2]},{"id":6,"type":"EmptyLatentImage","widgets_values":[640,480,', c("p_size"), ']},{"type":"Note"}]}',
+    )
+
+
+def gen_comment() -> Column:
+    c = F.col
+    return _s('{"prompt":"', c("p_name"), '","uc":"', c("p_type"), '","Seed":', c("p_partkey"), ',"extra":{"a":[1]},"flag":true,"scale":5.50}')
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata entries of as many images as there are parts, plus all document texts as descriptions."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    entry = lambda cond, key, value: F.when(cond, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    entries = F.array(
+        entry(k % 2 == 0, "Png/parameters", gen_text()),
+        entry(k % 3 == 0, "Png/prompt", gen_nodes()),
+        entry(k % 5 == 0, "Png/workflow", gen_workflow()),
+        entry(k % 7 == 0, "Exif/User Comment", gen_comment()),
+        entry(k % 4 == 1, "Exif/Software", F.when(k % 8 == 1, "NovelAI 1.0").otherwise("SomeTool")),
+    )
+    made = unnest(part, [k.alias("image_id")], entries, "at", "e").filter("e is not null").select("image_id", "e.key", "e.value")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("image_id"), F.lit("Exif/ImageDescription").alias("key"), F.col("text").alias("value")
+    )
+    return made.unionByName(docs)

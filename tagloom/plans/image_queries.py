@@ -164,7 +164,7 @@ HOUR = 3_600_000_000
 SUPPRESS = """
 WITH RECURSIVE log AS (SELECT event_type AS key, epoch_us(ts) AS ts, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
 firsts AS (SELECT key, ts, min(seq) AS seq, min(rn) AS rn FROM log GROUP BY key, ts),
-jumps AS (SELECT a.key, a.ts, b.ts AS next_ts FROM (SELECT key, ts, ts + 3600000000 AS due FROM firsts) a ASOF LEFT JOIN firsts b ON a.key = b.key AND a.due <= b.ts),
+jumps AS (SELECT key, ts, min(ts) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts FROM firsts),
 path AS (SELECT key, min(ts) AS ts FROM firsts GROUP BY key UNION ALL SELECT j.key, j.next_ts FROM path p JOIN jumps j ON j.key = p.key AND j.ts = p.ts WHERE j.next_ts IS NOT NULL)
 SELECT key, ts, seq, coalesce(rn - lag(rn) OVER (PARTITION BY key ORDER BY ts) - 1, 0) AS merged FROM path JOIN firsts USING (key, ts)"""
 
