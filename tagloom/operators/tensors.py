@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tagloom.functions import activate
+from tagloom.functions import activate, let
 
 
 def _positions(n: Column) -> Column:
@@ -28,7 +28,7 @@ def _div(a: Column, b) -> Column:
 
 def _move(pixels: Column, n: Column, source: Callable[[Column], Column]) -> Column:
     """Array whose element i is ``pixels[source(i)]``."""
-    return F.transform(_positions(n), lambda i: F.get(pixels, source(i).cast("int")))
+    return let(pixels, lambda px: F.transform(_positions(n), lambda i: F.get(px, source(i).cast("int"))))
 
 
 def decode_images(spark, paths: str | Sequence[str]) -> DataFrame:
@@ -36,7 +36,7 @@ def decode_images(spark, paths: str | Sequence[str]) -> DataFrame:
     rows = spark.read.format("image").option("dropInvalid", "false").load(paths).select("image.*")
     return rows.select(
         F.col("origin").alias("path"), "width", "height", F.lit(4).alias("channels"),
-        F.when(F.col("width") > 0, unpack_bgr(F.col("data"), F.col("nChannels"))).alias("pixels"),
+        F.when(F.col("width") > 0, unpack_bgr.asNondeterministic()(F.col("data"), F.col("nChannels"))).alias("pixels"),
     )
 
 
@@ -81,13 +81,18 @@ def _rgb(pixels: Column) -> Column:
 
 def ensure_color(df: DataFrame, mode: str = "rgb-or-rgba-if-transparent") -> DataFrame:
     """RGB, or RGBA kept if any alpha is below 255 (mode "rgb" always drops alpha)."""
-    p, four = F.col("pixels"), F.col("channels") == 4
-    transparent = F.exists(F.filter(p, lambda _, i: i % 4 == 3), lambda a: a != 255)
-    keep = four & transparent if mode != "rgb" else F.lit(False)
-    return df.select(
-        *_others(df), F.when(four & ~keep, _rgb(p)).otherwise(p).alias("pixels"), "width", "height",
-        F.when(keep, 4).otherwise(F.least(F.col("channels"), F.lit(3))).alias("channels"),
-    )
+    four = F.col("channels") == 4
+
+    def colour(px: Column) -> Column:
+        transparent = F.exists(F.filter(px, lambda _, i: i % 4 == 3), lambda a: a != 255)
+        keep = four & transparent if mode != "rgb" else F.lit(False)
+        return F.struct(
+            F.when(four & ~keep, _rgb(px)).otherwise(px).alias("pixels"),
+            F.when(keep, 4).otherwise(F.least(F.col("channels"), F.lit(3))).alias("channels"),
+        )
+
+    out = df.withColumn("__out", let(F.col("pixels"), colour))
+    return out.select(*_others(df), F.col("__out.pixels").alias("pixels"), "width", "height", F.col("__out.channels").alias("channels"))
 
 
 def alpha_composite(df: DataFrame, background: Sequence[int]) -> DataFrame:
@@ -95,12 +100,14 @@ def alpha_composite(df: DataFrame, background: Sequence[int]) -> DataFrame:
     p, back = F.col("pixels"), F.array(*[F.lit(int(b)) for b in background])
     n = F.col("width") * F.col("height") * 3
 
-    def blend(i: Column) -> Column:
+    def blend(px: Column, i: Column) -> Column:
         at = _div(i, 3) * 4
-        s, a = F.get(p, at + i % 3), F.get(p, at + 3)
+        s, a = F.get(px, at + i % 3), F.get(px, at + 3)
         return _div(s * a + F.get(back, i % 3) * (255 - a) + 127, 255)
 
-    out = F.when(F.col("channels") == 4, F.transform(_positions(n), blend)).otherwise(p)
+    out = let(
+        p, lambda px: F.when(F.col("channels") == 4, F.transform(_positions(n), lambda i: blend(px, i))).otherwise(px)
+    )
     return df.select(*_others(df), out.alias("pixels"), "width", "height", F.lit(3).alias("channels"))
 
 
@@ -109,13 +116,15 @@ def pad_to_square(df: DataFrame, background: Sequence[int]) -> DataFrame:
     back, side = F.array(*[F.lit(int(b)) for b in background]), F.greatest(w, h)
     ox, oy = _div(side - w, 2), _div(side - h, 2)
 
-    def pick(i: Column) -> Column:
+    def pick(px: Column, i: Column) -> Column:
         at = _div(i, 3)
         x, y = at % side - ox, _div(at, side) - oy
         inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-        return F.when(inside, F.get(p, ((y * w + x) * 3 + i % 3).cast("int"))).otherwise(F.get(back, i % 3))
+        return F.when(inside, F.get(px, ((y * w + x) * 3 + i % 3).cast("int"))).otherwise(F.get(back, i % 3))
 
-    square = F.when(w == h, p).otherwise(F.transform(_positions(side * side * 3), pick))
+    square = let(
+        p, lambda px: F.when(w == h, px).otherwise(F.transform(_positions(side * side * 3), lambda i: pick(px, i)))
+    )
     return df.select(*_others(df), square.alias("pixels"), side.alias("width"), side.alias("height"), "channels")
 
 
@@ -166,7 +175,8 @@ def resize(df: DataFrame, width: int, height: int) -> DataFrame:
 
         return pd.Series([one(*row) for row in zip(pixels, w, h)])
 
-    out = resample("pixels", "width", "height")
+    # as a nondeterministic function it stays a column of its own and is not folded into a later lambda
+    out = resample.asNondeterministic()("pixels", "width", "height")
     return df.select(*_others(df), out.alias("pixels"), F.lit(width).alias("width"), F.lit(height).alias("height"), "channels")
 
 

@@ -257,7 +257,7 @@ def raw_text(spark, sf):
 
 @query("meta_order_nodes", PART + """
 SELECT k AS image_id, CASE WHEN k % 3 = 0 THEN array_to_string(list_sort([(p_size)::VARCHAR || 'x', k::VARCHAR || 'y', 'a']), ',')
-  ELSE array_to_string(list_transform(list_sort([p_size::BIGINT, k::BIGINT, 7]), x -> x::VARCHAR), ',') END AS ids FROM m""")
+  ELSE array_to_string(list_transform(list_sort([p_size::BIGINT, k::BIGINT, 7]), lambda x: x::VARCHAR), ',') END AS ids FROM m""")
 def order_nodes(spark, sf):
     number = lambda c: F.col(c).cast("string")
     ids = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(number("p_size"), F.lit("x")), F.concat(number("p_partkey"), F.lit("y")), F.lit("a"))).otherwise(

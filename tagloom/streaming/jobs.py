@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tagloom.sources.images import has_image_extension
 
-__all__ = ["stream_import", "stream_score", "stream_suppress", "stream_latest", "run_available"]
+__all__ = ["stream_import", "first_listing", "stream_score", "stream_suppress", "stream_latest", "run_available"]
 
 
 def stream_import(spark: SparkSession, directory: str, forget_after: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
@@ -23,11 +23,15 @@ def stream_import(spark: SparkSession, directory: str, forget_after: str | None
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(directory)
-        .filter(has_image_extension(F.col("path")))
     )
+    return first_listing(files.filter(has_image_extension(F.col("path"))), forget_after)
+
+
+def first_listing(listing: DataFrame, forget_after: str | None = None, time: str = "modificationTime") -> DataFrame:
+    """First row per path of a stream of listed files."""
     if forget_after is None:
-        return files.dropDuplicates(["path"])
-    return files.withWatermark("modificationTime", forget_after).dropDuplicatesWithinWatermark(["path"])
+        return listing.dropDuplicates(["path"])
+    return listing.withWatermark(time, forget_after).dropDuplicatesWithinWatermark(["path"])
 
 
 def stream_score(images: DataFrame, score_batch: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
