@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom.functions import activate, let
 
@@ -31,27 +31,27 @@ def _move(pixels: Column, n: Column, source: Callable[[Column], Column]) -> Colu
     return let(pixels, lambda px: F.transform(_positions(n), lambda i: F.get(px, source(i).cast("int"))))
 
 
-def decode_images(spark, paths: str | Sequence[str]) -> DataFrame:
+def decode_images(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Spark's image reader with pixels unpacked to RGBA; unreadable files have null pixels."""
-    rows = spark.read.format("image").option("dropInvalid", "false").load(paths).select("image.*")
-    return rows.select(
-        F.col("origin").alias("path"), "width", "height", F.lit(4).alias("channels"),
-        F.when(F.col("width") > 0, unpack_bgr.asNondeterministic()(F.col("data"), F.col("nChannels"))).alias("pixels"),
-    )
+    rows = spark.read.format("image").option("dropInvalid", "false").load(paths)
+    rows = rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+    return rows.mapInPandas(_unpack_batches, "path string, width int, height int, channels int, pixels array<int>")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def unpack_bgr(data: pd.Series, channels: pd.Series) -> pd.Series:
+def _unpack(raw: bytes | None, channels: int) -> np.ndarray | None:
     """Bytes in gray, BGR or BGRA order to RGBA integers."""
-    def one(raw: bytes | None, c: int):
-        if raw is None or not len(raw):
-            return None
-        flat = np.frombuffer(raw, np.uint8).reshape(-1, c)
-        colour = np.repeat(flat, 3, axis=1) if c == 1 else flat[:, 2::-1]
-        alpha = flat[:, 3:4] if c == 4 else np.full((len(flat), 1), 255, np.uint8)
-        return np.concatenate([colour, alpha], axis=1).ravel().astype(np.int32)
+    if raw is None or not len(raw):
+        return None
+    flat = np.frombuffer(raw, np.uint8).reshape(-1, channels)
+    colour = np.repeat(flat, 3, axis=1) if channels == 1 else flat[:, 2::-1]
+    alpha = flat[:, 3:4] if channels == 4 else np.full((len(flat), 1), 255, np.uint8)
+    return np.concatenate([colour, alpha], axis=1).ravel().astype(np.int32)
+
 
-    return pd.Series([one(d, c) for d, c in zip(data, channels)])
+def _unpack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        pixels = [_unpack(d, c) for d, c in zip(batch.pop("data"), batch["channels"])]
+        yield batch.assign(pixels=pd.Series(pixels, dtype=object, index=batch.index), channels=4)
 
 
 def exif_transpose(df: DataFrame) -> DataFrame:
@@ -162,22 +162,26 @@ def _pass(image: np.ndarray, size_out: int) -> np.ndarray:
 
 
 def resize(df: DataFrame, width: int, height: int) -> DataFrame:
-    """Bicubic in integer weights, horizontal pass first, every pass rounded and clipped to 0..255."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def resample(pixels: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        def one(p, pw, ph):
-            if p is None:
-                return None
-            image = np.asarray(p, np.float64).reshape(ph, pw, 3)
-            across = _pass(image.transpose(1, 0, 2), width).transpose(1, 0, 2)
-            return _pass(across, height).astype(np.int32).ravel()
-
-        return pd.Series([one(*row) for row in zip(pixels, w, h)])
-
-    # as a nondeterministic function it stays a column of its own and is not folded into a later lambda
-    out = resample.asNondeterministic()("pixels", "width", "height")
-    return df.select(*_others(df), out.alias("pixels"), F.lit(width).alias("width"), F.lit(height).alias("height"), "channels")
+    """Bicubic in integer weights, horizontal pass first, every pass rounded and clipped to 0..255.
+
+    A map over Arrow batches and not a column function: Spark would fold a Python column function
+    into the lambda of the step behind it, where it cannot run.
+    """
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p, w, h in zip(batch["pixels"], batch["width"], batch["height"]):
+                if p is None:
+                    out.append(None)
+                    continue
+                image = np.asarray(p, np.float64).reshape(h, w, 3)
+                across = _pass(image.transpose(1, 0, 2), width).transpose(1, 0, 2)
+                out.append(_pass(across, height).astype(np.int32).ravel())
+            yield batch.assign(pixels=pd.Series(out, dtype=object, index=batch.index), width=width, height=height)
+
+    flat = df.select(*_others(df), "pixels", "width", "height", "channels")
+    return flat.mapInPandas(resample, flat.schema)
 
 
 # --- after resize ----------------------------------------------------------------------------------------------
