@@ -37,7 +37,10 @@ def a1111(spark, text):
 
 
 def comfy(spark, prompt=None, workflow=None):
-    build = lambda df: df.select("i", M.assemble_nodes(F.col("a"), M.prompt_nodes(F.col("a")), F.col("b"), M.workflow_nodes(F.col("b"))).alias("segment"))
+    def build(df):
+        nodes = df.select("i", "a", "b", M.prompt_nodes(F.col("a")).alias("p"), M.workflow_nodes(F.col("b")).alias("w"))
+        return nodes.select("i", M.assemble_nodes(F.col("a"), F.col("p"), F.col("b"), F.col("w")).alias("segment"))
+
     return segments_of(spark, build, (prompt, workflow, None))[0]
 
 
