@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import file_name_of, is_blank, literal_map
+from tagloom.session import hint_small
 
 # --- list ------------------------------------------------------------------------------------------------------
 
@@ -164,7 +165,8 @@ def run_batch(images: DataFrame, predictions: DataFrame, scored: DataFrame, fing
 def carry_overrides(overrides: DataFrame, old_catalog: DataFrame, new_catalog: DataFrame) -> DataFrame:
     """Exclusions follow the label name to its index in another catalog; unmatched ones are dropped."""
     moved = old_catalog.select("tag_index", "name").join(new_catalog.select("name", F.col("tag_index").alias("new_index")), "name")
-    return overrides.join(moved.select("tag_index", "new_index"), "tag_index").select("image_id", F.col("new_index").alias("tag_index")).distinct()
+    moved = hint_small(moved.select("tag_index", "new_index"))
+    return overrides.join(moved, "tag_index").select("image_id", F.col("new_index").alias("tag_index")).distinct()
 
 
 # --- errors ----------------------------------------------------------------------------------------------------

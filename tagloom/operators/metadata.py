@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import (
-    combine_strengths, contains_marker, is_blank, json_is_object, json_is_valid, left_utf16, literal_map, looks_like_json, mark_json,
+    combine_strengths, contains_marker, is_blank, json_is_object, json_is_valid, left_utf16, let, literal_map, looks_like_json, mark_json,
     marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, size_text, split_top_level, suffix_key,
     tag_of_key, trim_unicode, unmark_json, utf16_length,
 )
@@ -243,7 +243,7 @@ def _from_prompt_members(marked: Column) -> Column:
         )
 
     # the node list is bound to one lambda variable, so it is parsed once
-    return F.element_at(F.transform(F.array(nodes), extract), 1)
+    return let(nodes, extract)
 
 
 def _from_workflow_nodes(marked_list: Column) -> Column:
@@ -311,7 +311,7 @@ def _from_workflow_nodes(marked_list: Column) -> Column:
             _pick(read, _KNOWN, warning),
         )
 
-    return F.element_at(F.transform(F.array(nodes), extract), 1)
+    return let(nodes, extract)
 
 
 def _scalar_json(json: Column) -> Column:
@@ -332,14 +332,17 @@ def prompt_nodes(json: Column) -> Column:
 def workflow_nodes(json: Column) -> Column:
     """Nodes of a workflow JSON text; a text without a ``nodes`` list is read as a node map."""
     valid = json_is_valid(json)
-    marked = mark_json(json)
-    listed = F.from_json(marked, "struct<snodes:string>")["snodes"]
+
+    def read(marked: Column) -> Column:
+        listed = F.from_json(marked, "struct<snodes:string>")["snodes"]
+        return let(
+            listed,
+            lambda nodes: F.when(marked_is_array(nodes), _from_workflow_nodes(nodes)).otherwise(_from_prompt_members(marked)),
+        )
+
     return (
         F.when(is_blank(json), None)
-        .when(
-            valid & json_is_object(json),
-            F.when(marked_is_array(listed), _from_workflow_nodes(listed)).otherwise(_from_prompt_members(marked)),
-        )
+        .when(valid & json_is_object(json), let(mark_json(json), read))
         .when(valid | _scalar_json(json), _no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
         .otherwise(_no_nodes(F.array(F.lit(fixed.W_WORKFLOW_JSON))))
     )
@@ -423,7 +426,7 @@ def assemble_nodes(prompt_json: Column, prompt: Column, workflow_json: Column, w
             _segment(F.lit("comfyui"), _none("string"), at("texts", 0)["text"], at("texts", 1)["text"], fields, resources, warnings),
         )
 
-    return F.element_at(F.transform(F.array(joined), build), 1)
+    return let(joined, build)
 
 
 # --- comment JSON ----------------------------------------------------------------------------------------------
@@ -475,7 +478,7 @@ def comment_segment(comment: Column, software: Column, source: Column) -> Column
             fields, F.array(), warnings,
         )
 
-    return F.element_at(F.transform(F.array(members), build), 1)
+    return let(members, build)
 
 
 # --- entries of an image ---------------------------------------------------------------------------------------

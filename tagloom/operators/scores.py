@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom import fixed
 from tagloom.functions import is_finite, is_visible
 from tagloom.rules import check_threshold
-from tagloom.session import unnest
+from tagloom.session import hint_small, unnest
 
 RATING = fixed.RATING_GROUP
 
@@ -103,11 +103,11 @@ def _tags(labelled: Column) -> Column:
 
 
 def attach_catalog(predictions: DataFrame, catalog: DataFrame, *keep: str) -> DataFrame:
-    """One row per image and label, joined by position. Spark picks the join by the catalog's size."""
+    """One row per image and label, joined by position. The catalog is broadcast once it is counted to be small."""
     p = F.col("probabilities")
     checked = require_length(p, p, catalog_size(catalog))
     scores = unnest(predictions, ["image_id", *keep], checked, "tag_index", "probability")
-    return scores.join(catalog, "tag_index")
+    return scores.join(hint_small(catalog), "tag_index")
 
 
 def activate_logits(logits: DataFrame, kind: str = "sigmoid") -> DataFrame:

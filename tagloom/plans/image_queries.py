@@ -157,7 +157,12 @@ def error_summary(spark, sf):
 
 def log_events(spark, sf):
     e = B.table(spark, sf, "events")
-    return e.select(F.col("event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
+    return e.select(F.col("event_type").alias("key"), epoch_micros("ts").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def epoch_micros(column):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
 
 
 HOUR = 3_600_000_000

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tagloom import streaming as R
 from tagloom.operators import images as I
 from tagloom.plans import bindings as B
-from tagloom.plans.image_queries import HOUR, SUPPRESS, _load_model
+from tagloom.plans.image_queries import HOUR, SUPPRESS, _load_model, epoch_micros
 from tagloom.plans.registry import ORACLES, query
 from tagloom.session import shared_dir
 
@@ -19,7 +19,7 @@ def stream_table(spark, sf, name):
 @query("stream_suppress_repeats", SUPPRESS)
 def suppress(spark, sf):
     e = stream_table(spark, sf, "events").select(
-        F.col("event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"),
+        F.col("event_type").alias("key"), epoch_micros("ts").alias("ts"), F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("event_time"),
     )
     out = shared_dir(spark, "stream-suppress")
