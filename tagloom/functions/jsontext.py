@@ -14,7 +14,7 @@ from tagloom import fixed
 from tagloom.functions.text import trim_unicode
 
 __all__ = [
-    "looks_like_json", "json_is_valid", "json_is_object", "json_depth_ok", "mark_json", "unmark_json", "marked_object",
+    "looks_like_json", "json_is_valid", "json_is_object", "json_depth_ok", "json_kind", "mark_json", "unmark_json", "marked_object",
     "marked_string", "marked_scalar", "marked_is_object", "marked_is_array",
 ]
 
@@ -39,7 +39,7 @@ def _outside_strings(s: Column) -> Column:
 
 
 def json_depth_ok(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
-    """Nesting at most ``limit`` and exactly one value at top level. Texts with few brackets skip the fold."""
+    """Nesting at most ``limit`` and exactly one value at top level."""
     brackets = F.regexp_replace(_outside_strings(s), r"[^\[\]{}]", "")
 
     def step(st: Column, c: Column) -> Column:
@@ -51,10 +51,9 @@ def json_depth_ok(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("deepest"), F.lit(0).alias("closed"))
-    deep = F.aggregate(
+    return F.aggregate(
         F.split(brackets, ""), start, step, lambda st: (st["deepest"] <= limit) & (st["closed"] == 1)
     )
-    return F.when(brackets.isin("{}", "[]"), True).otherwise(deep)
 
 
 def json_is_valid(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
@@ -72,6 +71,14 @@ def json_is_object(s: Column) -> Column:
     return s.rlike(r"(?U)^\s*\{")
 
 
+def json_kind(s: Column) -> Column:
+    """``object``, ``other`` (array or scalar) or ``bad``. Bind it with ``let``: it is a large expression."""
+    scalar = ~looks_like_json(s) & F.try_parse_json(s).isNotNull()
+    return (
+        F.when(json_is_valid(s), F.when(json_is_object(s), "object").otherwise("other")).when(scalar, "other").otherwise("bad")
+    )
+
+
 def mark_json(s: Column) -> Column:
     segments = F.split(_hide_escapes(s), '"')
     marked = F.transform(

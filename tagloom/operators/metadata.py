@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import (
-    combine_strengths, contains_marker, is_blank, json_is_object, json_is_valid, left_utf16, let, literal_map, looks_like_json, mark_json,
+    combine_strengths, contains_marker, is_blank, json_is_valid, json_kind, left_utf16, let, literal_map, looks_like_json, mark_json,
     marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, size_text, split_top_level, suffix_key,
     tag_of_key, trim_unicode, unmark_json, utf16_length,
 )
@@ -314,25 +314,25 @@ def _from_workflow_nodes(marked_list: Column) -> Column:
     return let(nodes, extract)
 
 
-def _scalar_json(json: Column) -> Column:
-    return ~looks_like_json(json) & F.try_parse_json(json).isNotNull()
+def _by_kind(json: Column, on_object: Column, bad_warning: str) -> Column:
+    """Nodes of an object text, or an empty result with the warning that fits; null for blank text."""
+    def choose(kind: Column) -> Column:
+        return (
+            F.when(kind == "object", on_object)
+            .when(kind == "other", _no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
+            .otherwise(_no_nodes(F.array(F.lit(bad_warning))))
+        )
+
+    return F.when(~is_blank(json), let(json_kind(json), choose))
 
 
 def prompt_nodes(json: Column) -> Column:
     """Nodes of a node-map JSON text as one struct of lists; unreadable text gives a warning instead."""
-    valid = json_is_valid(json)
-    return (
-        F.when(is_blank(json), None)
-        .when(valid & json_is_object(json), _from_prompt_members(mark_json(json)))
-        .when(valid | _scalar_json(json), _no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
-        .otherwise(_no_nodes(F.array(F.lit(fixed.W_PROMPT_JSON))))
-    )
+    return _by_kind(json, _from_prompt_members(mark_json(json)), fixed.W_PROMPT_JSON)
 
 
 def workflow_nodes(json: Column) -> Column:
     """Nodes of a workflow JSON text; a text without a ``nodes`` list is read as a node map."""
-    valid = json_is_valid(json)
-
     def read(marked: Column) -> Column:
         listed = F.from_json(marked, "struct<snodes:string>")["snodes"]
         return let(
@@ -340,12 +340,7 @@ def workflow_nodes(json: Column) -> Column:
             lambda nodes: F.when(marked_is_array(nodes), _from_workflow_nodes(nodes)).otherwise(_from_prompt_members(marked)),
         )
 
-    return (
-        F.when(is_blank(json), None)
-        .when(valid & json_is_object(json), let(mark_json(json), read))
-        .when(valid | _scalar_json(json), _no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
-        .otherwise(_no_nodes(F.array(F.lit(fixed.W_WORKFLOW_JSON))))
-    )
+    return _by_kind(json, let(mark_json(json), read), fixed.W_WORKFLOW_JSON)
 
 
 def order_nodes(texts: Column, id_field: str = "node") -> Column:
@@ -436,19 +431,25 @@ _NEGATIVE_KEYS = ["uc", "undesired_content", "negative_prompt"]
 
 def comment_segment(comment: Column, software: Column, source: Column) -> Column:
     """Segment of a comment JSON with the software and source entries; source "unknown" if not recognized."""
-    valid = json_is_valid(comment)
-    is_object = valid & json_is_object(comment)
-    members = F.transform(
-        F.when(is_object, F.map_entries(marked_object(mark_json(comment)))).otherwise(_empty("array<struct<key:string,value:string>>")),
-        lambda e: F.struct(
-            F.substring(e["key"], 2, REST).alias("name"), F.lower(F.substring(e["key"], 2, REST)).alias("low"),
-            marked_scalar(e["value"]).alias("scalar"), e["value"].alias("value"),
-        ),
-    )
+    nothing = _empty("array<struct<key:string,value:string>>")
+
+    def members_of(kind: Column) -> Column:
+        members = F.when(kind == "object", F.map_entries(marked_object(mark_json(comment)))).otherwise(nothing)
+        named = F.transform(
+            members,
+            lambda e: F.struct(
+                F.substring(e["key"], 2, REST).alias("name"), F.lower(F.substring(e["key"], 2, REST)).alias("low"),
+                marked_scalar(e["value"]).alias("scalar"), e["value"].alias("value"),
+            ),
+        )
+        return F.struct(kind.alias("kind"), named.alias("members"))
+
+    read = let(F.when(is_blank(comment), "blank").otherwise(json_kind(comment)), members_of)
     cut = lambda s: left_utf16(s, fixed.MAX_FIELD_UNITS)
     marker = contains_marker(software, "NovelAI") | contains_marker(source, "NovelAI")
 
-    def build(ms: Column) -> Column:
+    def build(r: Column) -> Column:
+        ms, kind = r["members"], r["kind"]
         prompts = F.filter(ms, lambda m: m["low"] == "prompt")
         negatives = F.filter(ms, lambda m: m["low"].isin(_NEGATIVE_KEYS))
         others = F.filter(ms, lambda m: ~m["low"].isin("prompt", *_NEGATIVE_KEYS))
@@ -465,8 +466,8 @@ def comment_segment(comment: Column, software: Column, source: Column) -> Column
             _when_list(source.isNotNull(), _field("raw", "source", cut(source))),
         )
         warnings = F.concat(
-            _when_list(~is_blank(comment) & ~is_object & (valid | _scalar_json(comment)), F.lit(fixed.W_COMMENT_NOT_OBJECT)),
-            _when_list(~is_blank(comment) & ~valid & ~_scalar_json(comment), F.lit(fixed.W_COMMENT_JSON)),
+            _when_list(kind == "other", F.lit(fixed.W_COMMENT_NOT_OBJECT)),
+            _when_list(kind == "bad", F.lit(fixed.W_COMMENT_JSON)),
             _when_list(~recognized, F.lit(fixed.W_NOT_NOVELAI)),
         )
         first_negative = F.get(F.filter(negatives, lambda m: m["scalar"].isNotNull()), F.lit(0))["scalar"]
@@ -478,7 +479,7 @@ def comment_segment(comment: Column, software: Column, source: Column) -> Column
             fields, F.array(), warnings,
         )
 
-    return let(members, build)
+    return let(read, build)
 
 
 # --- entries of an image ---------------------------------------------------------------------------------------
