@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.functions import confidence_band, escape_parens, is_emoticon, tag_weight, trim_unicode, underscore_to_space, utf16_length, weighted_text
-from tagloom.operators import prompt as P, scores as S
+from tagloom.functions import escape_parens, is_emoticon, tag_weight, trim_unicode, underscore_to_space, utf16_length, weighted_text
+from tagloom.operators import prompt as P
 from tagloom.plans import bindings as B
 from tagloom.plans.registry import query
-from tagloom.plans.sqltext import CATALOG, CATALOG_DUP, EMB, GROUPS3, GROUPS5, OVERRIDES, SCORES, SCORES_BAD, with_
+from tagloom.plans.sqltext import CATALOG, CATALOG_DUP, EMB, OVERRIDES, SCORES, SCORES_BAD, with_
 from tagloom.session import unnest
 from tagloom.rules import NAME, GroupRule, PromptRules, default_rules
 
