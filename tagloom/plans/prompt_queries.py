@@ -65,8 +65,8 @@ FULL_RULES = PromptRules(
     groups=(GroupRule("character", True, NAME), GroupRule("copyright", False), GroupRule("rating"), GroupRule("character", False)),
     use_global_threshold=False,
     group_thresholds={"character": 0.5, "general": 0.65},
-    excluded=("small_ring_10", "red_pipe_3"),
-    replacements={"blue_gear_4": "Blue (gear)", "green_bolt_14": "blue (GEAR)", "old_wheel_24": None},
+    excluded=("small_ring_40", "small_ring_55"),
+    replacements={"small_gizmo_4": "Blue (gear)", "old_anvil_14": "blue (GEAR)", "new_gear_24": None},
     weights=True, min_weight=0.9, max_weight=1.35,
     tag_separator=" | ", group_separator=" ;; ", prefix="<<", suffix=">>", max_tags=12, trailing_separator=True, quality="pony",
 )
@@ -76,7 +76,7 @@ FULL_RULES = PromptRules(
 
 FULL_ORDER = """ordered(id, rank, by_name, threshold) AS (VALUES ('character', 0, true, 0.5::DOUBLE), ('rating', 1, false, 0.6::DOUBLE),
   ('general', 2, false, 0.65::DOUBLE), ('artist', 3, false, 0.6::DOUBLE))"""
-REPLACED = """CASE name WHEN 'blue_gear_4' THEN 'Blue (gear)' WHEN 'green_bolt_14' THEN 'blue (GEAR)' WHEN 'old_wheel_24' THEN '' ELSE replace(name, '_', ' ') END"""
+REPLACED = """CASE name WHEN 'small_gizmo_4' THEN 'Blue (gear)' WHEN 'old_anvil_14' THEN 'blue (GEAR)' WHEN 'new_gear_24' THEN '' ELSE replace(name, '_', ' ') END"""
 W_RAW = "least(greatest(CASE WHEN 1 - threshold <= 1e-12 THEN 1.35::DOUBLE ELSE 0.9::DOUBLE + (least(greatest(probability::DOUBLE, threshold), 1) - threshold) / (1 - threshold) * (1.35::DOUBLE - 0.9::DOUBLE) END, 0.9::DOUBLE), 1.35::DOUBLE)"
 W_2 = f"((CASE WHEN {W_RAW} * 100 - floor({W_RAW} * 100) >= 0.5::DOUBLE THEN floor({W_RAW} * 100) + 1 ELSE floor({W_RAW} * 100) END) / 100.0::DOUBLE)"
 WEIGHTED = f"CASE WHEN {W_2} = 1 THEN text ELSE '(' || text || ':' || printf('%.2f', {W_2}) || ')' END"
@@ -85,7 +85,7 @@ WEIGHTED = f"CASE WHEN {W_2} = 1 THEN text ELSE '(' || text || ':' || printf('%.
 @query("prompt_full_rules", prompt_sql(
     CATALOG, "scores_bad", ctes=(FULL_ORDER, OVERRIDES), text=f"replace(replace({REPLACED}, '(', '\\('), ')', '\\)')", weight=WEIGHTED,
     max_tags=12, tag_sep=" | ", group_sep=" ;; ",
-    drop="name IN ('small_ring_10', 'red_pipe_3') OR EXISTS (SELECT 1 FROM overrides v WHERE v.image_id = p.image_id AND v.tag_index = p.tag_index)",
+    drop="name IN ('small_ring_40', 'small_ring_55') OR EXISTS (SELECT 1 FROM overrides v WHERE v.image_id = p.image_id AND v.tag_index = p.tag_index)",
     finish="'<<' || 'score_9, score_8_up, score_7_up, score_6_up' || coalesce(' ;; ' || body, '') || ' | ' || '>>'") + RESULT)
 def prompt_full_rules(spark, sf):
     return P.build_prompts(
@@ -153,12 +153,12 @@ def enabled(spark, sf):
 
 
 @query("prompt_replacements", """
-SELECT p_partkey, CASE p_name WHEN 'small ring' THEN 'tiny ring' WHEN 'red pipe' THEN '' ELSE p_name END AS text FROM part
-WHERE p_name NOT IN ('blue gear', 'old wheel')""")
+SELECT p_partkey, CASE p_name WHEN 'small ring' THEN 'tiny ring' WHEN 'red anvil' THEN '' ELSE p_name END AS text FROM part
+WHERE p_name NOT IN ('blue gear', 'old anvil')""")
 def replacements(spark, sf):
     part = B.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
-    kept = P.drop_excluded(part, ["blue gear", "old wheel"])
-    return P.apply_replacements(kept, {"small ring": "tiny ring", "red pipe": None}).select("p_partkey", "text")
+    kept = P.drop_excluded(part, ["blue gear", "old anvil"])
+    return P.apply_replacements(kept, {"small ring": "tiny ring", "red anvil": None}).select("p_partkey", "text")
 
 
 ODD = "CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN '^_^' WHEN 2 THEN 'x_<' || p_size WHEN 3 THEN '_(' || p_name || ')_' WHEN 4 THEN 'o_O' ELSE '__' END"
