@@ -8,7 +8,13 @@ from tagloom.llm import chat, decontaminate, fingerprint, lines, minhash, mixing
 from tagloom.llm.labelled import fold
 
 
+#: Rows of text are kilobytes: batches of Spark's default 10,000 rows would hold tens of megabytes in the JVM and again in Python.
+BATCH_ROWS = "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session's Arrow batches are set to BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
