@@ -92,8 +92,8 @@ W_COMMENT_JSON = "Comment JSON解析失败或深度超限，已保留原文。"
 W_NOT_NOVELAI = "未识别为NovelAI，已保留原始键值。"
 W_UNSUPPORTED = "未发现支持的AI生成信息，已列出发现的元数据键。"
 W_MULTI_SOURCE = "发现多套来源信息，已合并展示。"
-W_FIELD_CUT = "字段“%s”超过2MiB，已截断展示。"
-W_BUDGET = "原始文本总和超过8MiB，已截断保留前%s个字段。"
+W_FIELD_CUT = "字段“%s”超过%s，已截断展示。"
+W_BUDGET = "原始文本总和超过%s，已截断保留前%s个字段。"
 L_PARAMETER = "参数%s"
 L_POSITIVE = "正向提示词"
 L_NEGATIVE = "负向提示词"

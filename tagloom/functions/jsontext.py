@@ -1,105 +1,121 @@
-"""JSON kept as text: validity and depth checks, and scalars with their kind and raw spelling.
+"""JSON kept as text: read once per entry, with repeated names, kinds and the spelling of numbers.
 
-Spark's JSON reader re-spells numbers and forgets whether a value was a string. ``mark_json`` writes
-both into the text before it is read: strings get an ``s`` in front, numbers become strings with an
-``n`` in front. After ``from_json(..., map<string,string>)`` the first character of a value tells its
-kind and the rest is the original spelling.
+Spark's JSON reader re-spells numbers, forgets whether a value was a string and refuses repeated member names. ``read_json`` reads a text
+once, in Arrow batches, says what it is and writes it again with marks: strings get an ``s`` in front, numbers become strings
+with an ``n`` in front. After ``from_json(..., map<string,string>)`` the first character of a value tells its kind and the rest is the original
+spelling. Of repeated member names the last counts. No character is reserved.
 """
 
 from __future__ import annotations
 
+import json
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from tagloom import fixed
-from tagloom.functions.text import trim_unicode
 
 __all__ = [
-    "looks_like_json", "json_is_valid", "json_is_object", "json_depth_ok", "json_kind", "mark_json", "unmark_json", "marked_object",
-    "marked_string", "marked_scalar", "marked_is_object", "marked_is_array",
+    "looks_like_json", "read_json", "json_members", "json_is_valid", "marked_object", "marked_string", "marked_scalar",
+    "marked_is_object", "marked_is_array",
 ]
 
-# Private-use characters standing for an escaped backslash and an escaped quote while quotes are split.
-_BACKSLASH, _QUOTE = "", ""
 
+class _Number(str):
+    """A number as it was spelled."""
 
-def looks_like_json(s: Column) -> Column:
-    return s.rlike(r"(?U)^\s*[\{\[]")
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _depth(value) -> int:
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else None
+    return 0 if inner is None else 1 + max(map(_depth, inner), default=0)
+
+
+def _parsed(text: str, limit: int) -> tuple[str, object]:
+    """``object``, ``array``, ``scalar`` or ``bad``, and the value."""
+    try:
+        value = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
+        if _depth(value) > limit:
+            return "bad", None
+    except (ValueError, RecursionError):
+        return "bad", None
+    return "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "scalar", value
+
+
+def _written(value, marks: bool) -> str:
+    """Compact JSON of a value, with or without marks."""
+    if isinstance(value, _Number):
+        return f'"n{value}"' if marks else str(value)
+    if isinstance(value, str):
+        return json.dumps("s" + value if marks else value, ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_written(str(k), marks)}:{_written(v, marks)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(_written(v, marks) for v in value) + "]"
+    return "null" if value is None else "true" if value else "false"
 
 
-def _hide_escapes(s: Column) -> Column:
-    return F.replace(F.replace(s, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+def _clean(text: str) -> str:
+    """Half surrogate pairs, which escapes can spell, cannot be written as UTF-8."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
 
 
-def _show_escapes(s: Column) -> Column:
-    return F.replace(F.replace(s, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+@cache
+def _reader(limit: int):
+    @F.arrow_udf("struct<kind:string,marked:string>")
+    def read(texts: pa.Array) -> pa.Array:
+        kinds, marked = [], []
+        for text in texts.to_pylist():
+            kind, value = (None, None) if text is None else _parsed(text, limit)
+            kinds.append(kind)
+            marked.append(_clean(_written(value, True)) if kind in ("object", "array") else None)
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(marked, pa.string())], ["kind", "marked"])
 
+    return read
 
-def _outside_strings(s: Column) -> Column:
-    return F.regexp_replace(_hide_escapes(s), '"[^"]*"', "")
+
+_MEMBER = pa.struct([("name", pa.string()), ("scalar", pa.string()), ("raw", pa.string())])
+
+
+def _scalar(value) -> str | None:
+    return ("true" if value else "false") if isinstance(value, bool) else _clean(str(value)) if isinstance(value, str) else None
+
+
+@cache
+def _member_reader(limit: int):
+    @F.arrow_udf("struct<kind:string,members:array<struct<name:string,scalar:string,raw:string>>>")
+    def read(texts: pa.Array) -> pa.Array:
+        kinds, members = [], []
+        for text in texts.to_pylist():
+            kind, value = (None, None) if text is None else _parsed(text, limit)
+            kinds.append(kind)
+            members.append([{"name": _clean(n), "scalar": _scalar(v), "raw": _clean(_written(v, False))} for n, v in value.items()] if kind == "object" else [])
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(members, pa.list_(_MEMBER))], ["kind", "members"])
+
+    return read
+
+
+def looks_like_json(s: Column) -> Column:
+    return s.rlike(r"(?U)^\s*[\{\[]")
 
 
-def json_depth_ok(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
-    """Nesting at most ``limit`` and exactly one value at top level."""
-    brackets = F.regexp_replace(_outside_strings(s), r"[^\[\]{}]", "")
+def read_json(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
+    """``kind`` (object, array, scalar; bad if it does not parse or nests deeper than ``limit``; null for null) and the ``marked`` text of objects and arrays."""
+    return _reader(limit)(s)
 
-    def step(st: Column, c: Column) -> Column:
-        level = F.when(c.isin("{", "["), st["level"] + 1).otherwise(st["level"] - 1)
-        return F.struct(
-            level.alias("level"),
-            F.greatest(st["deepest"], level).alias("deepest"),
-            (st["closed"] + F.when(level == 0, 1).otherwise(0)).alias("closed"),
-        )
 
-    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("deepest"), F.lit(0).alias("closed"))
-    return F.aggregate(
-        F.split(brackets, ""), start, step, lambda st: (st["deepest"] <= limit) & (st["closed"] == 1)
-    )
+def json_members(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
+    """``kind`` as in ``read_json`` and the members of an object in text order: name, ``scalar`` (string, number as spelled, true or false), ``raw`` (compact JSON)."""
+    return _member_reader(limit)(s)
 
 
 def json_is_valid(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
-    """An object or array that parses, is not too deep and has nothing after it."""
-    return F.coalesce(
-        looks_like_json(s)
-        & F.substring(trim_unicode(s), -1, 1).isin("}", "]")
-        & F.try_parse_json(s).isNotNull()
-        & json_depth_ok(s, limit),
-        F.lit(False),
-    )
-
-
-def json_is_object(s: Column) -> Column:
-    return s.rlike(r"(?U)^\s*\{")
-
-
-def json_kind(s: Column) -> Column:
-    """``object``, ``other`` (array or scalar) or ``bad``. Bind it with ``let``: it is a large expression."""
-    scalar = ~looks_like_json(s) & F.try_parse_json(s).isNotNull()
-    return (
-        F.when(json_is_valid(s), F.when(json_is_object(s), "object").otherwise("other")).when(scalar, "other").otherwise("bad")
-    )
-
-
-def mark_json(s: Column) -> Column:
-    segments = F.split(_hide_escapes(s), '"')
-    marked = F.transform(
-        segments,
-        lambda part, i: F.when(i % 2 == 1, F.concat(F.lit('"s'), part, F.lit('"'))).otherwise(
-            F.regexp_replace(part, r"(-?[0-9][0-9.eE+-]*)", '"n$1"')
-        ),
-    )
-    return _show_escapes(F.array_join(marked, ""))
-
-
-def unmark_json(s: Column) -> Column:
-    """Text of a nested value as Spark returned it (compact), without the marks."""
-    segments = F.split(_hide_escapes(s), '"')
-    plain = F.transform(
-        segments,
-        lambda part, i: F.when(i % 2 == 0, part)
-        .when(part.startswith("n"), F.substring(part, 2, 2**31 - 1))
-        .otherwise(F.concat(F.lit('"'), F.substring(part, 2, 2**31 - 1), F.lit('"'))),
-    )
-    return _show_escapes(F.array_join(plain, ""))
+    """An object or array that parses, is not too deep and has nothing after it. Texts that do not look like one are not read."""
+    return F.coalesce(read_json(F.when(looks_like_json(s), s), limit)["kind"].isin("object", "array"), F.lit(False))
 
 
 def marked_object(marked: Column) -> Column:

@@ -9,7 +9,7 @@ from tagloom import fixed
 __all__ = [
     "utf16_length", "left_utf16", "trim_unicode", "is_blank", "is_emoticon", "underscore_to_space", "escape_parens",
     "weighted_text", "tag_of_key", "suffix_key", "combine_strengths", "size_text", "contains_marker",
-    "split_top_level", "literal_map", "file_name_of", "template",
+    "split_top_level", "literal_map", "file_name_of", "template", "limit_text",
 ]
 
 
@@ -143,3 +143,11 @@ def split_top_level(s: Column) -> Column:
         ),
     )
     return F.filter(F.flatten(parts), lambda x: x != "")
+
+
+def limit_text(units: int) -> str:
+    """A limit as it is named in warnings: whole MiB or KiB, else the number."""
+    for size, name in ((1 << 20, "MiB"), (1 << 10, "KiB")):
+        if units and units % size == 0:
+            return f"{units // size}{name}"
+    return str(units)

@@ -8,7 +8,7 @@ before the shuffle and never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import (
-    combine_strengths, contains_marker, is_blank, json_is_valid, json_kind, left_utf16, let, literal_map, looks_like_json, mark_json,
-    marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, size_text, split_top_level, suffix_key,
-    tag_of_key, trim_unicode, unmark_json, utf16_length,
+    combine_strengths, contains_marker, is_blank, json_is_valid, json_members, left_utf16, let, limit_text, literal_map, looks_like_json,
+    marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, read_json, size_text, split_top_level, suffix_key,
+    tag_of_key, trim_unicode, utf16_length,
 )
 from tagloom.session import materialize, unnest
 
@@ -314,21 +314,21 @@ def _from_workflow_nodes(marked_list: Column) -> Column:
     return let(nodes, extract)
 
 
-def _by_kind(json: Column, on_object: Column, bad_warning: str) -> Column:
-    """Nodes of an object text, or an empty result with the warning that fits; null for blank text."""
-    def choose(kind: Column) -> Column:
+def _by_kind(json: Column, on_object: Callable[[Column], Column], bad_warning: str) -> Column:
+    """Nodes of an object text, or an empty result with the warning that fits; null for blank text. The text is read once."""
+    def choose(r: Column) -> Column:
         return (
-            F.when(kind == "object", on_object)
-            .when(kind == "other", _no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
-            .otherwise(_no_nodes(F.array(F.lit(bad_warning))))
+            F.when(r["kind"] == "object", on_object(r["marked"]))
+            .when(r["kind"] == "bad", _no_nodes(F.array(F.lit(bad_warning))))
+            .otherwise(_no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
         )
 
-    return F.when(~is_blank(json), let(json_kind(json), choose))
+    return F.when(~is_blank(json), let(read_json(json), choose))
 
 
 def prompt_nodes(json: Column) -> Column:
     """Nodes of a node-map JSON text as one struct of lists; unreadable text gives a warning instead."""
-    return _by_kind(json, _from_prompt_members(mark_json(json)), fixed.W_PROMPT_JSON)
+    return _by_kind(json, _from_prompt_members, fixed.W_PROMPT_JSON)
 
 
 def workflow_nodes(json: Column) -> Column:
@@ -340,29 +340,18 @@ def workflow_nodes(json: Column) -> Column:
             lambda nodes: F.when(marked_is_array(nodes), _from_workflow_nodes(nodes)).otherwise(_from_prompt_members(marked)),
         )
 
-    return _by_kind(json, let(mark_json(json), read), fixed.W_WORKFLOW_JSON)
+    return _by_kind(json, read, fixed.W_WORKFLOW_JSON)
 
 
 def order_nodes(texts: Column, id_field: str = "node") -> Column:
-    """Sort by node id: as numbers if both are, else by code point.
-
-    Mixed ids make this order cyclic; long mixed lists therefore put numbers first.
-    """
-    number = lambda x: x[id_field].try_cast("int")
-
-    def compare(a: Column, b: Column) -> Column:
-        x, y = number(a), number(b)
-        both = x.isNotNull() & y.isNotNull()
-        less = F.when(both, x < y).otherwise(a[id_field] < b[id_field])
-        more = F.when(both, x > y).otherwise(a[id_field] > b[id_field])
-        return F.when(less, -1).when(more, 1).otherwise(0)
-
-    numbers = F.size(F.filter(texts, lambda x: number(x).isNotNull()))
-    mixed = (numbers > 0) & (numbers < F.size(texts)) & (F.size(texts) >= 32)
-    keyed = F.sort_array(
-        F.transform(texts, lambda x, at: F.struct(number(x).isNull().alias("a"), number(x).alias("b"), x[id_field].alias("c"), at.alias("d"), x.alias("x")))
+    """Sort by node id: whole numbers first by value, then other ids by code point, equal ones as they come."""
+    keyed = F.transform(
+        texts,
+        lambda x, at: F.struct(
+            x[id_field].try_cast("int").isNull().alias("a"), x[id_field].try_cast("int").alias("b"), x[id_field].alias("c"), at.alias("d"), x.alias("x")
+        ),
     )
-    return F.when(mixed, F.transform(keyed, lambda k: k["x"])).otherwise(F.array_sort(texts, compare))
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])
 
 
 def assemble_nodes(prompt_json: Column, prompt: Column, workflow_json: Column, workflow: Column) -> Column:
@@ -377,22 +366,21 @@ def assemble_nodes(prompt_json: Column, prompt: Column, workflow_json: Column, w
         both("sizes", _SIZE).alias("sizes"), count("nodes").alias("nodes"), count("unrecognized").alias("unrecognized"),
         both("warnings", "array<string>").alias("warnings"),
     )
-    cut = lambda s: left_utf16(s, fixed.MAX_FIELD_UNITS)
 
     def build(j: Column) -> Column:
         at = lambda name, i: F.get(j[name], F.lit(i))
         size, batch = at("sizes", 0)["size"], at("sizes", 0)["batch"]
         extras = F.transform(
             F.slice(j["texts"], F.lit(3), F.size(j["texts"])),
-            lambda x, i: _field("raw", F.concat(F.lit("extra_prompt_"), (i + 1).cast("string")), cut(x["text"])),
+            lambda x, i: _field("raw", F.concat(F.lit("extra_prompt_"), (i + 1).cast("string")), x["text"]),
         )
         sampler = F.transform(
             F.coalesce(at("samplers", 0), _empty("array<struct<key:string,value:string>>")),
             lambda p: _field("param", p["key"], p["value"]),
         )
         fields = F.concat(
-            _when_list(~is_blank(prompt_json), _field("raw", "prompt", cut(prompt_json))),
-            _when_list(~is_blank(workflow_json), _field("raw", "workflow", cut(workflow_json))),
+            _when_list(~is_blank(prompt_json), _field("raw", "prompt", prompt_json)),
+            _when_list(~is_blank(workflow_json), _field("raw", "workflow", workflow_json)),
             extras,
             _when_list(at("checkpoints", 0).isNotNull(), _field("param", "model", at("checkpoints", 0))),
             _when_list(at("vaes", 0).isNotNull(), _field("param", "vae", at("vaes", 0))),
@@ -431,42 +419,32 @@ _NEGATIVE_KEYS = ["uc", "undesired_content", "negative_prompt"]
 
 def comment_segment(comment: Column, software: Column, source: Column) -> Column:
     """Segment of a comment JSON with the software and source entries; source "unknown" if not recognized."""
-    nothing = _empty("array<struct<key:string,value:string>>")
-
-    def members_of(kind: Column) -> Column:
-        members = F.when(kind == "object", F.map_entries(marked_object(mark_json(comment)))).otherwise(nothing)
-        named = F.transform(
-            members,
-            lambda e: F.struct(
-                F.substring(e["key"], 2, REST).alias("name"), F.lower(F.substring(e["key"], 2, REST)).alias("low"),
-                marked_scalar(e["value"]).alias("scalar"), e["value"].alias("value"),
-            ),
-        )
-        return F.struct(kind.alias("kind"), named.alias("members"))
+    def named(r: Column) -> Column:
+        members = F.transform(r["members"], lambda m: m.withField("low", F.lower(m["name"])))
+        return F.struct(r["kind"].alias("kind"), members.alias("members"))
 
-    read = let(F.when(is_blank(comment), "blank").otherwise(json_kind(comment)), members_of)
-    cut = lambda s: left_utf16(s, fixed.MAX_FIELD_UNITS)
+    read = let(json_members(F.when(~is_blank(comment), comment)), named)
     marker = contains_marker(software, "NovelAI") | contains_marker(source, "NovelAI")
 
     def build(r: Column) -> Column:
-        ms, kind = r["members"], r["kind"]
+        ms, kind = F.coalesce(r["members"], _empty("array<struct<name:string,scalar:string,raw:string,low:string>>")), r["kind"]
         prompts = F.filter(ms, lambda m: m["low"] == "prompt")
         negatives = F.filter(ms, lambda m: m["low"].isin(_NEGATIVE_KEYS))
         others = F.filter(ms, lambda m: ~m["low"].isin("prompt", *_NEGATIVE_KEYS))
         recognized = marker | (F.size(prompts) + F.size(negatives) > 0)
         fields = F.concat(
-            _when_list(~is_blank(comment), _field("raw", "comment", cut(comment))),
+            _when_list(~is_blank(comment), _field("raw", "comment", comment)),
             F.transform(
                 others,
                 lambda m: F.when(m["scalar"].isNotNull(), _field("param", F.lower(trim_unicode(m["name"])), m["scalar"])).otherwise(
-                    _field("raw", F.concat(F.lit("comment:"), m["name"]), cut(F.coalesce(unmark_json(m["value"]), F.lit("null"))))
+                    _field("raw", F.concat(F.lit("comment:"), m["name"]), m["raw"])
                 ),
             ),
-            _when_list(software.isNotNull(), _field("raw", "software", cut(software))),
-            _when_list(source.isNotNull(), _field("raw", "source", cut(source))),
+            _when_list(software.isNotNull(), _field("raw", "software", software)),
+            _when_list(source.isNotNull(), _field("raw", "source", source)),
         )
         warnings = F.concat(
-            _when_list(kind == "other", F.lit(fixed.W_COMMENT_NOT_OBJECT)),
+            _when_list(kind.isin("array", "scalar"), F.lit(fixed.W_COMMENT_NOT_OBJECT)),
             _when_list(kind == "bad", F.lit(fixed.W_COMMENT_JSON)),
             _when_list(~recognized, F.lit(fixed.W_NOT_NOVELAI)),
         )
@@ -644,8 +622,10 @@ def warning_rows(reader_warnings: DataFrame, classified: DataFrame, segments: Da
 # --- limits ----------------------------------------------------------------------------------------------------
 
 
-def truncate_fields(rows: DataFrame, units: int = fixed.MAX_FIELD_UNITS, column: str = "value") -> DataFrame:
-    """Cut over-long values and flag them in ``was_cut``."""
+def truncate_fields(rows: DataFrame, units: int | None = None, column: str = "value") -> DataFrame:
+    """Cut values of more than ``units`` and flag them in ``was_cut``; without ``units`` nothing is cut."""
+    if units is None:
+        return rows.withColumn("was_cut", F.lit(False))
     flagged = rows.withColumn("was_cut", F.coalesce(utf16_length(F.col(column)) > units, F.lit(False)))
     return flagged.withColumn(column, left_utf16(F.col(column), units))
 
@@ -667,7 +647,7 @@ def _walk_budget(limit: int):
     return walk
 
 
-def over_budget(entries: DataFrame, limit: int = fixed.MAX_TOTAL_UNITS) -> DataFrame:
+def over_budget(entries: DataFrame, limit: int) -> DataFrame:
     """``image_id, key`` of the entries to drop: keys in order, an entry that would overflow is skipped.
 
     Only images whose total exceeds the limit take part, found by a sum with a partial step. Their
@@ -681,7 +661,7 @@ def over_budget(entries: DataFrame, limit: int = fixed.MAX_TOTAL_UNITS) -> DataF
     return walked.mapInPandas(_walk_budget(limit), f"image_id {image_type}, key string")
 
 
-def greedy_budget(entries: DataFrame, limit: int = fixed.MAX_TOTAL_UNITS) -> DataFrame:
+def greedy_budget(entries: DataFrame, limit: int) -> DataFrame:
     """The entries that stay within the budget."""
     return entries.join(over_budget(entries, limit), ["image_id", "key"], "left_anti")
 
@@ -697,22 +677,26 @@ class GenerationInfo:
     warnings: DataFrame
 
 
-def enforce_limits(info: GenerationInfo, field_units: int = fixed.MAX_FIELD_UNITS, total_units: int = fixed.MAX_TOTAL_UNITS) -> GenerationInfo:
-    """Cut fields, drop raw entries over the total, and say so in the warnings."""
+def enforce_limits(info: GenerationInfo, field_units: int | None = None, total_units: int | None = None) -> GenerationInfo:
+    """Cut fields, drop raw entries over the total, and say so in the warnings. A limit that is not given does not apply.
+
+    ``fixed.MAX_FIELD_UNITS`` and ``fixed.MAX_TOTAL_UNITS`` are the usual ones.
+    """
     parameters, raw = truncate_fields(info.parameters, field_units), truncate_fields(info.raw_entries, field_units)
-    dropped = materialize(over_budget(raw.drop("was_cut"), total_units), "over-budget")
+    sized = raw.drop("was_cut")
+    dropped = materialize(sized.select("image_id", "key").limit(0) if total_units is None else over_budget(sized, total_units), "over-budget")
     header = truncate_fields(info.header, field_units, "positive").withColumnRenamed("was_cut", "positive_cut")
     header = truncate_fields(header, field_units, "negative").withColumnRenamed("was_cut", "negative_cut")
 
     cut = lambda df, stage, key, label: df.select(
-        "image_id", F.lit(stage).alias("stage"), key.alias("seg_key"), F.lit(0).alias("at"), _message(fixed.W_FIELD_CUT, label).alias("warning")
+        "image_id", F.lit(stage).alias("stage"), key.alias("seg_key"), F.lit(0).alias("at"), _message(fixed.W_FIELD_CUT, label, F.lit(limit_text(field_units or 0))).alias("warning")
     )
     k = F.col("key")
     lost = dropped.groupBy("image_id").agg(F.count(F.lit(1)).alias("lost"))
     kept = raw.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(lost, "image_id")
     budget = kept.select(
         "image_id", F.lit(12).alias("stage"), F.lit("").alias("seg_key"), F.lit(0).alias("at"),
-        _message(fixed.W_BUDGET, (F.col("n") - F.col("lost")).cast("string")).alias("warning"),
+        _message(fixed.W_BUDGET, F.lit(limit_text(total_units or 0)), (F.col("n") - F.col("lost")).cast("string")).alias("warning"),
     )
     warnings = (
         info.warnings
@@ -728,27 +712,33 @@ def enforce_limits(info: GenerationInfo, field_units: int = fixed.MAX_FIELD_UNIT
     )
 
 
-def merge_segments(meta: DataFrame, segments: DataFrame | None = None) -> GenerationInfo:
-    """Classify, parse and merge, without limits.
+def merge_segments(meta: DataFrame, segments: DataFrame) -> GenerationInfo:
+    """Classify and merge, without limits; nothing runs yet.
 
-    All five results need the parsed segments. They are written once to the shared folder and read
-    back, so that the texts are parsed once and the merges start from a table. A caller that keeps
-    the segments in a table of its own passes them in.
+    All five results read ``segments``: rows of ``parse_segments(classify_entries(...))``. A caller that uses more than one result
+    writes them first, as ``written_segments`` does, so that the texts are parsed once.
     """
     entries, reader_warnings = split_warnings(meta)
-    classified = classify_entries(entries)
-    if segments is None:
-        segments = materialize(parse_segments(classified), "segments")
     header = merge_header(entries, segments)
     return GenerationInfo(
         header, merge_parameters(segments), merge_raw_entries(entries, segments),
-        distinct_resources(resource_rows(segments)), warning_rows(reader_warnings, classified, segments, header),
+        distinct_resources(resource_rows(segments)), warning_rows(reader_warnings, classify_entries(entries), segments, header),
     )
 
 
-def generation_info(meta: DataFrame, field_units: int = fixed.MAX_FIELD_UNITS, total_units: int = fixed.MAX_TOTAL_UNITS) -> GenerationInfo:
-    """Merged and limited metadata of every image that has any entry."""
-    info = merge_segments(meta)
+def segments_of(meta: DataFrame) -> DataFrame:
+    """Parsed segments of all entries, as a plan."""
+    return parse_segments(classify_entries(split_warnings(meta)[0]))
+
+
+def written_segments(meta: DataFrame) -> DataFrame:
+    """``segments_of`` written to the shared folder and read back: runs a job. The folder is the caller's to remove."""
+    return materialize(segments_of(meta), "segments")
+
+
+def generation_info(meta: DataFrame, field_units: int | None = None, total_units: int | None = None) -> GenerationInfo:
+    """Merged metadata of every image that has any entry, within the limits given. Writes the segments and the raw entries first."""
+    info = merge_segments(meta, written_segments(meta))
     raw = materialize(info.raw_entries, "raw-entries")
     return enforce_limits(replace(info, raw_entries=raw), field_units, total_units)
 

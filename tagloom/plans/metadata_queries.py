@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tagloom.functions import (
-    combine_strengths, contains_marker, json_is_valid, left_utf16, looks_like_json, mark_json, marked_object, marked_scalar, size_text,
+    combine_strengths, contains_marker, json_is_valid, left_utf16, limit_text, looks_like_json, marked_object, marked_scalar, read_json, size_text,
     split_top_level, suffix_key, tag_of_key, utf16_length,
 )
 from tagloom.operators import metadata as M
@@ -135,15 +135,10 @@ def classify(spark, sf):
     return c.select("image_id", "key", "tag", F.concat(*[F.when(F.col(f), letter).otherwise("") for f, letter in flags.items()]).alias("kinds"))
 
 
-_INFO: dict = {}
-
-
 def info(spark, sf) -> M.GenerationInfo:
-    """Merged metadata; the parsed segments are written once per session and input folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INFO:
-        _INFO[key] = M.merge_segments(B.meta(spark, sf))
-    return _INFO[key]
+    """Merged metadata as one plan; each query below parses for itself."""
+    meta = B.meta(spark, sf)
+    return M.merge_segments(meta, M.segments_of(meta))
 
 
 @query("meta_merge_header", f"WITH {META}" + """
@@ -240,11 +235,11 @@ def budget(spark, sf):
 
 @query("meta_limits", f"WITH {META}" + f"""
 , t AS (SELECT k AS image_id, {TEXT} AS text, p_name FROM m)
-SELECT image_id, 'Png/parameters' AS key, left(text, 60) AS value, CASE WHEN length(text) > 60 THEN '字段“Png/parameters”超过2MiB，已截断展示。' END AS warning FROM t""")
+SELECT image_id, 'Png/parameters' AS key, left(text, 60) AS value, CASE WHEN length(text) > 60 THEN '字段“Png/parameters”超过60，已截断展示。' END AS warning FROM t""")
 def limits(spark, sf):
     rows = part(spark, sf).select(F.col("p_partkey").alias("image_id"), F.lit("Png/parameters").alias("key"), B.gen_text().alias("value"))
     cut = M.truncate_fields(rows, 60)
-    return cut.select("image_id", "key", "value", F.when(F.col("was_cut"), F.format_string(M.fixed.W_FIELD_CUT, F.col("key"))).alias("warning"))
+    return cut.select("image_id", "key", "value", F.when(F.col("was_cut"), F.format_string(M.fixed.W_FIELD_CUT, F.col("key"), F.lit(limit_text(60)))).alias("warning"))
 
 
 @query("meta_parameter_rows", PART + """
@@ -272,7 +267,7 @@ def order_nodes(spark, sf):
 
 @query("entries_normalize", """
 SELECT user_id AS image_id, event_id AS seq, CASE WHEN n = 1 THEN event_type ELSE event_type || ' #' || n END AS key, left(props, 8) AS value,
-       CASE WHEN length(props) > 8 THEN '字段“' || event_type || '”超过2MiB，已截断展示。' END AS warning
+       CASE WHEN length(props) > 8 THEN '字段“' || event_type || '”超过8，已截断展示。' END AS warning
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)""")
 def normalize(spark, sf):
     e = B.table(spark, sf, "events")
@@ -310,7 +305,7 @@ def json_checks(spark, sf):
     """Event properties as JSON, every third text cut short."""
     text = F.when(F.col("event_id") % 3 == 1, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.concat(F.lit(" "), "props"))
     e = B.table(spark, sf, "events").select("event_id", text.alias("t"))
-    k = marked_scalar(F.try_element_at(marked_object(mark_json(F.col("t"))), F.lit("sk")))
+    k = marked_scalar(F.try_element_at(marked_object(read_json(F.col("t"))["marked"]), F.lit("sk")))
     return e.select("event_id", looks_like_json(F.col("t")).alias("looks"), json_is_valid(F.col("t")).alias("valid"), F.when(json_is_valid(F.col("t")), k).alias("k"))
 
 

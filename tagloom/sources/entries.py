@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import fixed
-from tagloom.functions import left_utf16, trim_unicode, utf16_length
+from tagloom.functions import left_utf16, limit_text, trim_unicode, utf16_length
 from tagloom.operators.ranking import row_numbers
 from tagloom.session import unnest
 
@@ -19,18 +19,29 @@ def split_textual_entries(rows: DataFrame) -> DataFrame:
     )
 
 
-def normalize_entries(rows: DataFrame, units: int = fixed.MAX_FIELD_UNITS) -> DataFrame:
-    """``image_id, seq, key, value`` with over-long values cut and repeated keys numbered ``key #2``, ``key #3``.
+def normalize_entries(rows: DataFrame, units: int | None = None) -> DataFrame:
+    """``image_id, seq, key, value, warning`` with repeated keys numbered ``key #2``, ``key #3`` by reading order ``seq``.
 
-    ``seq`` is the reading order. A key repeated very often in one image is numbered block by block.
+    Numbers whose spelling the image has as a key of its own are passed over, so no two rows share a key: with ``a``, ``a #2``, ``a`` the last becomes
+    ``a #3``. Values of more than ``units`` are cut with a warning, where that is given. A key repeated very often in one image is numbered block by block.
     """
     numbered = row_numbers(rows, ["image_id", "key"], "seq")
+    # Literal keys that look numbered, with the number they take from their base key: few beside the rows. Of several only the first keeps its spelling.
+    base, taken = F.regexp_extract("key", r"(?s)^(.*) #([2-9]|[1-9][0-9]+)$", 1), F.regexp_extract("key", r"(?s)^(.*) #([2-9]|[1-9][0-9]+)$", 2)
+    literal = numbered.filter("row_number = 1").select("image_id", base.alias("key"), taken.try_cast("long").alias("taken")).filter("taken is not null")
+    # The j-th taken number t is passed by every row that would get t - j or more before it: candidates move past it.
+    order = Window.partitionBy("image_id", "key").orderBy("taken")
+    gaps = literal.withColumn("from", F.col("taken") - F.row_number().over(order) + 1).groupBy("image_id", "key").agg(F.array_sort(F.collect_list("from")).alias("gaps"))
     n = F.col("row_number")
-    return numbered.select(
+    moved = n + F.when(n > 1, F.size(F.filter(F.coalesce("gaps", F.array().cast("array<bigint>")), lambda g: g <= n))).otherwise(0)
+    value = F.col("value") if units is None else left_utf16(F.col("value"), units)
+    warning = F.lit(None).cast("string") if units is None else F.when(
+        utf16_length(F.col("value")) > units, F.format_string(fixed.W_FIELD_CUT, F.col("key"), F.lit(limit_text(units)))
+    )
+    return numbered.join(gaps, ["image_id", "key"], "left").select(
         "image_id", "seq",
-        F.when(n > 1, F.concat("key", F.lit(" #"), n.cast("string"))).otherwise(F.col("key")).alias("key"),
-        left_utf16(F.col("value"), units).alias("value"),
-        F.when(utf16_length(F.col("value")) > units, F.format_string(fixed.W_FIELD_CUT, F.col("key"))).alias("warning"),
+        F.when(n > 1, F.concat("key", F.lit(" #"), moved.cast("string"))).otherwise(F.col("key")).alias("key"),
+        value.alias("value"), warning.alias("warning"),
     )
 
 
