@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import file_name_of, is_blank, literal_map
-from tagloom.session import hint_small
 
 # --- list ------------------------------------------------------------------------------------------------------
 
@@ -141,32 +142,35 @@ def job_ok(images: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
-def run_batch(images: DataFrame, predictions: DataFrame, scored: DataFrame, fingerprint: str) -> DataFrame:
-    """Every image with its outcome: skipped if done, else what ``scored`` says (``state, error, probabilities``).
+def run_batch(images: DataFrame, predictions: DataFrame, score: Callable[[DataFrame], DataFrame], fingerprint: str) -> DataFrame:
+    """Every image after the batch, with its ``outcome`` and the ``probabilities`` of those that succeeded.
 
-    ``scored`` comes from ``tensors.score`` over the pending images, where a bad image carries an
-    error instead of failing the job. An image without a score was canceled.
+    Images that succeeded with a prediction of ``fingerprint`` are skipped. ``score`` gets the rows of all others only and gives
+    ``image_id, state, error, probabilities`` (see ``tensors.score``); a bad image carries an error instead of failing the job, one without a score
+    was canceled. Success stores the fingerprint and clears the error, so a second run over the result skips it. Other states keep the old fingerprint.
     """
-    pending = pending_images(images, predictions, fingerprint)
-    work = pending.select("image_id").join(
-        scored.select("image_id", F.col("state").alias("outcome"), F.col("error").alias("batch_error")), "image_id", "left"
+    known = predictions.filter(F.col("fingerprint") == fingerprint).select("image_id").distinct().withColumn("known", F.lit(True))
+    flagged = images.join(known, "image_id", "left").withColumn("skip", (F.col("state") == "succeeded") & F.col("known").isNotNull()).drop("known")
+    skip = F.coalesce("skip", F.lit(False))
+    scored = score(flagged.filter(~skip).drop("skip")).select(
+        "image_id", F.col("state").alias("batch_state"), F.col("error").alias("batch_error"), "probabilities"
     )
-    done = images.join(work, "image_id", "left")
-    is_pending = pending.select("image_id").withColumn("is_pending", F.lit(True))
-    outcome = F.when(F.col("is_pending").isNull(), "skipped").otherwise(F.coalesce("outcome", F.lit("canceled")))
-    return done.join(is_pending, "image_id", "left").select(
-        *[images[c] for c in images.columns if c not in ("state", "last_error")],
-        F.when(outcome == "skipped", images["state"]).otherwise(outcome).alias("state"),
-        F.when(outcome == "failed", F.col("batch_error")).when(outcome == "skipped", images["last_error"]).alias("last_error"),
-        outcome.alias("outcome"),
+    outcome = F.when(skip, "skipped").otherwise(F.coalesce("batch_state", F.lit("canceled")))
+    done = flagged.join(scored, "image_id", "left").withColumn("outcome", outcome)
+    won = F.col("outcome") == "succeeded"
+    return done.select(
+        *[c for c in images.columns if c not in ("state", "last_error", "fingerprint", "probabilities")],
+        F.when(skip, F.col("state")).otherwise(F.col("outcome")).alias("state"),
+        F.when(won, F.lit(fingerprint)).otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(F.col("outcome") == "failed", F.col("batch_error")).when(skip, F.col("last_error")).alias("last_error"),
+        "outcome", F.when(won, F.col("probabilities")).alias("probabilities"),
     )
 
 
 def carry_overrides(overrides: DataFrame, old_catalog: DataFrame, new_catalog: DataFrame) -> DataFrame:
     """Exclusions follow the label name to its index in another catalog; unmatched ones are dropped."""
     moved = old_catalog.select("tag_index", "name").join(new_catalog.select("name", F.col("tag_index").alias("new_index")), "name")
-    moved = hint_small(moved.select("tag_index", "new_index"))
-    return overrides.join(moved, "tag_index").select("image_id", F.col("new_index").alias("tag_index")).distinct()
+    return overrides.join(moved.select("tag_index", "new_index"), "tag_index").select("image_id", F.col("new_index").alias("tag_index")).distinct()
 
 
 # --- errors ----------------------------------------------------------------------------------------------------

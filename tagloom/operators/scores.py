@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom import fixed
 from tagloom.functions import is_finite, is_visible
 from tagloom.rules import check_threshold
-from tagloom.session import hint_small, unnest
+from tagloom.session import unnest
 
 RATING = fixed.RATING_GROUP
 
@@ -103,11 +103,11 @@ def _tags(labelled: Column) -> Column:
 
 
 def attach_catalog(predictions: DataFrame, catalog: DataFrame, *keep: str) -> DataFrame:
-    """One row per image and label, joined by position. The catalog is broadcast once it is counted to be small."""
+    """One row per image and label, joined by position. Spark broadcasts the catalog if its size allows."""
     p = F.col("probabilities")
     checked = require_length(p, p, catalog_size(catalog))
     scores = unnest(predictions, ["image_id", *keep], checked, "tag_index", "probability")
-    return scores.join(hint_small(catalog), "tag_index")
+    return scores.join(catalog, "tag_index")
 
 
 def activate_logits(logits: DataFrame, kind: str = "sigmoid") -> DataFrame:
@@ -141,8 +141,8 @@ def explode_tags(df: DataFrame, *keep: str) -> DataFrame:
 
 def topk(predictions: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """Add ``tags``: the k best labels of each image, ties by index. NaN never ranks."""
-    df = bind(predictions, labels=label_vector(catalog, "name", "translation", "group"))
-    return unbind(df.withColumn("tags", _tags(_labelled(_best_k(F.col("probabilities"), k)))))
+    df, p = bind(predictions, labels=label_vector(catalog, "name", "translation", "group"), n=catalog_size(catalog)), F.col("probabilities")
+    return unbind(df.withColumn("tags", require_length(_tags(_labelled(_best_k(p, k))), p, F.col("__n"))))
 
 
 def _best_k(values: Column, k: int) -> Column:
@@ -209,12 +209,12 @@ def selection_digest(predictions: DataFrame, catalog: DataFrame, threshold: floa
     The selection compares in single precision, as the published digests were made.
     """
     t, p = F.lit(float(threshold)).cast("float"), F.col("probabilities")
-    df = bind(predictions, labels=label_vector(catalog, "name"))
+    df = bind(predictions, labels=label_vector(catalog, "name"), n=catalog_size(catalog))
     chosen = F.filter(positions(p), lambda i: ~F.isnan(F.get(p, i)) & (F.get(p, i) >= t))
     parts = F.transform(
         chosen, lambda i: F.concat(i.cast("string"), F.lit(":"), F.get(F.col("__labels"), i)["name"])
     )
-    rows = df.select("image_id", parts.alias("parts"))
+    rows = df.select("image_id", require_length(parts, p, F.col("__n")).alias("parts"))
     return rows.select("image_id", F.size("parts").alias("selected"), F.sha2(F.array_join("parts", ","), 256).alias("digest"))
 
 

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tagloom.functions import activate
-from tagloom.session import hint_small
 
 
 def decode_images(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -204,7 +203,7 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], isolate: bool = False)
                 except Exception as problem:
                     if not isolate:
                         raise
-                    out, shape, error = None, (None, None, None), str(problem)[:500]
+                    out, shape, error = None, (None, None, None), str(problem)
                 flats.append(out)
                 shapes.append(shape)
                 errors.append(error)
@@ -398,7 +397,7 @@ def score(
                     try:
                         rows.append((image_id, "succeeded", None, 1, infer([tensor])[0]))
                     except Exception as error:
-                        rows.append((image_id, "failed", str(error)[:500], 1, None))
+                        rows.append((image_id, "failed", str(error), 1, None))
             yield pd.DataFrame(rows, columns=["image_id", "state", "error", "batch_size", "logits"])
 
     scored = tensors.select("image_id", "tensor").mapInPandas(run, schema)
@@ -407,13 +406,3 @@ def score(
         F.lit(provider).alias("provider"), "batch_size",
         F.transform("logits", lambda x: activate(x, activation)).alias("probabilities"),
     )
-
-
-def linear_head(tensors: DataFrame, weights: DataFrame) -> DataFrame:
-    """Logits of a linear head ``weights(feature, label, w)`` as a plain join and sum.
-
-    The sum has a partial step, so an image's features shrink to one row per label before the shuffle.
-    """
-    features = tensors.select("image_id", F.posexplode("tensor").alias("feature", "x"))
-    joined = features.join(hint_small(weights), "feature")
-    return joined.groupBy("image_id", "label").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("logit"))

@@ -99,13 +99,13 @@ def _load_model():
     return lambda x: x @ w
 
 
-def _scored(spark, sf):
-    """All embeddings through a linear head; every 23rd is too short to score, every 29th is left out."""
+def _scorer(spark, sf):
+    """A linear head over the embeddings of given images; every 23rd is too short to score, every 29th is left out."""
     t = B.table(spark, sf, "embeddings").filter("vec_id % 29 <> 0").select(
         F.col("vec_id").alias("image_id"),
         F.when(F.col("vec_id") % 23 == 0, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")).alias("tensor"),
     )
-    return T.score(t, _load_model, 16, "fp1")
+    return lambda images: T.score(images.select("image_id").join(t, "image_id"), _load_model, 16, "fp1")
 
 
 OUTCOME = """outcomes AS (SELECT image_id, state, CASE WHEN state = 'succeeded' AND fingerprint = 'fp1' THEN 'skipped'
@@ -113,11 +113,23 @@ OUTCOME = """outcomes AS (SELECT image_id, state, CASE WHEN state = 'succeeded'
 
 
 @query("batch_run", with_(IMAGES, OUTCOME) + """
-SELECT image_id, outcome, CASE WHEN outcome = 'skipped' THEN state ELSE outcome END AS state FROM outcomes""")
+SELECT image_id, outcome, CASE WHEN outcome = 'skipped' THEN o.state ELSE outcome END AS state, CASE WHEN outcome = 'succeeded' THEN 'fp1' ELSE i.fingerprint END AS fingerprint,
+       outcome = 'failed' AS has_error, CASE WHEN outcome = 'succeeded' THEN 16 END AS scores FROM outcomes o JOIN images i USING (image_id)""")
 def run_batch(spark, sf):
     images = B.images(spark, sf)
-    done = I.run_batch(images, images.select("image_id", "fingerprint"), _scored(spark, sf), "fp1")
-    return done.select("image_id", "outcome", "state")
+    done = I.run_batch(images, images.select("image_id", "fingerprint"), _scorer(spark, sf), "fp1")
+    return done.select(
+        "image_id", "outcome", "state", "fingerprint", F.col("last_error").isNotNull().alias("has_error"), F.size("probabilities").alias("scores")
+    )
+
+
+@query("batch_run_again", with_(IMAGES, OUTCOME) + """
+SELECT image_id, CASE WHEN outcome = 'succeeded' THEN 'skipped' ELSE outcome END AS outcome FROM outcomes""")
+def run_batch_again(spark, sf):
+    """A batch over the result of another: what succeeded is skipped."""
+    images, score = B.images(spark, sf), _scorer(spark, sf)
+    first = I.run_batch(images, images.select("image_id", "fingerprint"), score, "fp1").drop("outcome", "probabilities")
+    return I.run_batch(first, first.select("image_id", "fingerprint"), score, "fp1").select("image_id", "outcome")
 
 
 @query("batch_summary", with_(IMAGES, OUTCOME) + """

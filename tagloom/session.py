@@ -48,17 +48,6 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it is small; otherwise leave the join to Spark.
-
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the caller's join is planned as
-    a shuffled join with adaptive skew handling, so the result is the same either way.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
     """A handful of literal rows (arguments of an operator) as a local relation of known size."""
     struct = StructType.fromDDL(schema)

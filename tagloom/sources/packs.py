@@ -20,9 +20,11 @@ def read_catalog(spark: SparkSession, path: str, groups: DataFrame, label_count:
     """The checked catalog; any problem found by ``check_catalog`` is an error."""
     rows = read_catalog_file(spark, path)
     catalog = catalog_of(rows).withColumn("seq", F.col("tag_index").cast("long"))
-    problems = check_catalog(catalog, groups, label_count).limit(3).collect()
+    # one row per kind of check, whatever the number of problems
+    found = check_catalog(catalog, groups, label_count).groupBy("check").agg(F.count("*").alias("n"), F.min(F.struct("subject", "detail")).alias("first"))
+    problems = found.orderBy("check").collect()
     if problems:
-        raise ValueError("catalog is invalid: " + "; ".join(f"{p['check']} {p['subject']} {p['detail']}" for p in problems))
+        raise ValueError("catalog is invalid: " + "; ".join(f"{p['check']} ({p['n']}): {p['first']['subject']} {p['first']['detail']}" for p in problems))
     return catalog.drop("seq")
 
 
@@ -42,8 +44,9 @@ def last_line_per_id(lines: DataFrame) -> DataFrame:
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
-    """Line order within a file follows the ids Spark gives to rows as it reads."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """Lines count in the order of file names, and within a file in its own order, however Spark splits and orders the files."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(place.alias("line_no"), "value")
     return last_line_per_id(lines)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions import file_name_of
-from tagloom.operators.scores import bind, label_vector, positions
+from tagloom.operators.scores import bind, catalog_size, label_vector, positions, require_length
 from tagloom.rules import check_threshold
 
 
@@ -16,7 +16,7 @@ def image_results(images: DataFrame, catalog: DataFrame, threshold: float, model
     Here +Inf passes the threshold and NaN does not.
     """
     t, p = check_threshold(threshold), F.col("probabilities")
-    df = bind(images, labels=label_vector(catalog, "name", "translation", "group"))
+    df = bind(images, labels=label_vector(catalog, "name", "translation", "group"), n=catalog_size(catalog))
     chosen = F.filter(positions(p), lambda i: ~F.isnan(F.get(p, i)) & (F.get(p, i).cast("double") >= F.lit(t)))
     pairs = F.sort_array(F.transform(chosen, lambda i: F.struct((-F.get(p, i)).alias("neg"), i.alias("i"))))
     hits = F.transform(pairs, lambda x: F.struct(x["neg"].alias("neg"), F.get(F.col("__labels"), x["i"]).alias("label")))
@@ -28,7 +28,7 @@ def image_results(images: DataFrame, catalog: DataFrame, threshold: float, model
         ),
     )
     none = F.array().cast("array<struct<index:int,name:string,translation:string,group:string,probability:float>>")
-    df = df.withColumn("tags", F.when(p.isNull(), none).otherwise(tags))
+    df = df.withColumn("tags", F.when(p.isNull(), none).otherwise(require_length(tags, p, F.col("__n"))))
     return df.select(
         F.lit(1).alias("schema_version"), F.lit("image_result").alias("type"), F.replace("state", F.lit("_"), F.lit("")).alias("status"), "path", "file_name",
         "format", "width", "height", "file_size", F.lit(t).alias("threshold"),
