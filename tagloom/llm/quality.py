@@ -115,8 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio = ratio.astype(np.float32)
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    got = _sample(fit, sizes.get(0, 0), fit_rows, 17).mapInArrow(_rows_of, "label int, found binary").collect()
-    weights = dual_descent([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["label"] for r in got]), ratio)
+    got = _sample(fit, sizes.get(0, 0), fit_rows, 17).mapInArrow(_rows_of, "label int, found binary").toArrow()
+    weights = dual_descent([np.frombuffer(found.as_buffer(), np.int32) for found in got["found"]], got["label"].to_numpy(), ratio)
     model = Model(ratio, (weights * ratio).astype(np.float32), np.zeros(2))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -124,8 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
         for batch in W.slices(batches, "text"):
             yield pa.record_batch([batch.column("label"), pa.array(shared.value.margins(batch.column("text")))], ["label", "margin"])
 
-    seen = _sample(rest, sizes.get(1, 0), CALIBRATION_ROWS, 23).mapInArrow(margin, "label int, margin double").collect()
-    model.calibration = logistic(np.array([[r["margin"]] for r in seen]).reshape(-1, 1), np.array([r["label"] for r in seen], float))
+    seen = _sample(rest, sizes.get(1, 0), CALIBRATION_ROWS, 23).mapInArrow(margin, "label int, margin double").toArrow()
+    model.calibration = logistic(seen["margin"].to_numpy()[:, None], seen["label"].to_numpy())
     return model
 
 

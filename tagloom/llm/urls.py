@@ -22,7 +22,7 @@ U = np.uint64
 ORDER = 5
 BUCKETS = 1 << 20
 STRENGTH = 2.0
-CALIBRATION_ROWS = 50_000
+CALIBRATION_ROWS = 20_000
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,8 +112,8 @@ def train(decided: DataFrame) -> Model:
             yield pa.record_batch([batch.column("label"), pa.array(shared.value.differences(batch.column("address")))], ["label", "difference"])
 
     held = rows.filter("part = 0").withColumn("h", F.xxhash64("address", F.lit(6))).orderBy("h").limit(CALIBRATION_ROWS).select("address", "label")
-    seen = held.mapInArrow(difference, "label int, difference double").collect()
-    model.calibration = logistic(np.array([[r["difference"]] for r in seen]).reshape(-1, 1), np.array([r["label"] for r in seen], float))
+    seen = held.mapInArrow(difference, "label int, difference double").toArrow()
+    model.calibration = logistic(seen["difference"].to_numpy()[:, None], seen["label"].to_numpy())
     return model
 
 
