@@ -137,22 +137,34 @@ def confirmed(k: int, percent: int):
     return apply
 
 
+def shingle_rows(k: int):
+    """A batch function: node, text -> node, shingle: one row per distinct shingle."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            sets = [W.distinct(s) for s in W.shingles_of(W.words_of(*W.utf8(batch.column("text"))), k)]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    return apply
+
+
 def _pivot_pairs(members: DataFrame, slots: int, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of this round and the members left. ``members``: bucket, node, n, root.
+    """Pairs of this round and the members left. ``members``: bucket, node, n, own, root.
 
     Each bucket's members fall into ``slots`` slots; the member with the least hash of each slot is a pivot.
     """
     spread = members.withColumn("h", F.xxhash64("node", F.lit(round_no))).withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(slots)))
-    pivots = spread.groupBy("bucket", "slot").agg(F.min(F.struct("h", "node", "n", "root")).alias("p")).select(
-        "bucket", "slot", F.col("p.h").alias("ph"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot")
+    pivots = spread.groupBy("bucket", "slot").agg(F.min(F.struct("h", "node", "n", "own", "root")).alias("p")).select(
+        "bucket", "slot", F.col("p.h").alias("ph"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"), F.col("p.root").alias("proot")
     )
     met = spread.join(pivots.drop("slot"), "bucket")
-    # Between two pivots the pair counts once; sets whose sizes differ too much cannot be linked.
-    pairs = met.filter(
-        (F.col("root") != F.col("proot"))
-        & (F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn"))
-    ).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left = spread.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+    # At most the shingles that neither side has alone are common: pairs that cannot reach the bound for that are no candidates.
+    most = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("pown"))
+    pairs = met.filter((F.col("root") != F.col("proot")) & (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("pn") - most))).select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    ).distinct()
+    left = spread.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "own")
     return pairs, left
 
 
@@ -185,12 +197,16 @@ def _resolve(docs: DataFrame, k: int, percent: int, bands: int, rows: int, permu
         plain.select("text").mapInArrow(keyed_texts(k), "key binary, text string").join(wanted, "key").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")),
         "texts",
     )
-    roots, links, slots, round_no = None, None, 1, 0
+    # Shingles that only one of these texts has, per text: they are common with nothing.
+    single = texts.select("node", "text").mapInArrow(shingle_rows(k), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node"))
+    own = single.filter("held = 1").groupBy("node").agg(F.count("*").alias("own"))
+    left = materialize(left.join(own, "node", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own")), "buckets")
+    roots, slots, round_no = None, 1, 0
     while True:
         if roots is None:
             members = left.withColumn("root", F.col("node"))
         else:
-            members = left.join(roots.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", F.coalesce("r", "node").alias("root"))
+            members = left.join(roots.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", "own", F.coalesce("r", "node").alias("root"))
             open_buckets = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
             members = materialize(members.join(open_buckets, "bucket", "left_semi"), "members")
             if members.isEmpty():
