@@ -146,3 +146,18 @@ MODEL_TASK = "multi-label-image-tagging"
 GROUP_STRATEGIES = ["threshold", "rating"]
 ACTIVATIONS = ["sigmoid", "none"]
 GROUP_ID_PATTERN = "^[a-z][a-z-]*$"
+
+#: The preparation steps of the published pack format.
+STANDARD_STEPS = [
+    {"op": "decode", "frame": "first", "colorManagement": "ignore"},
+    {"op": "exif-transpose"},
+    {"op": "ensure-color", "mode": "rgb-or-rgba-if-transparent"},
+    {"op": "alpha-composite", "when": "has-alpha", "background": [255, 255, 255]},
+    {"op": "pad-to-square", "anchor": "floor-center", "background": [255, 255, 255]},
+    {"op": "resize", "width": 448, "height": 448, "sampler": "pillow-bicubic-v1"},
+    {"op": "reorder-channels", "order": [2, 1, 0]},
+    {"op": "cast", "dtype": "float32"},
+    {"op": "divide", "value": 255},
+    {"op": "normalize", "mean": [0.5, 0.5, 0.5], "std": [0.5, 0.5, 0.5]},
+    {"op": "permute", "order": [2, 0, 1]},
+]

@@ -8,21 +8,54 @@ one image inside an Arrow batch, and a list of steps runs in one pass.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagloom.functions import activate
 
 
 def decode_images(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Spark's image reader with pixels unpacked to RGBA; unreadable files have null pixels."""
+    """Spark's image reader with pixels unpacked to RGBA, and the EXIF ``orientation`` (1 without one); unreadable files have null pixels."""
     rows = spark.read.format("image").option("dropInvalid", "false").load(paths)
     rows = rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
-    return rows.mapInPandas(_unpack_batches, "path string, width int, height int, channels int, pixels array<int>")
+    pixels = rows.mapInPandas(_unpack_batches, "path string, width int, height int, channels int, pixels array<int>")
+    place = lambda path: F.regexp_replace(F.url_decode(path), "^file:/+", "/")  # noqa: E731  the two readers spell local paths differently
+    turns = spark.read.format("binaryFile").load(paths).select(place(F.col("path")).alias("place"), exif_orientation("content").alias("orientation"))
+    joined = pixels.withColumn("place", place(F.col("path"))).join(turns, "place", "left").drop("place")
+    return joined.withColumn("orientation", F.coalesce("orientation", F.lit(1)))
+
+
+def exif_orientation(content: Column | str) -> Column:
+    """Orientation tag of image files (JPEG or PNG with an EXIF block, TIFF); 1 where there is none."""
+    @F.arrow_udf("int")
+    def read(files: pa.Array) -> pa.Array:
+        return pa.array([_orientation(raw) for raw in files.to_pylist()], pa.int32())
+
+    return read(content)
+
+
+def _orientation(raw: bytes | None) -> int:
+    at = max((raw or b"").find(mark, 0, 1 << 17) + len(mark) if mark in (raw or b"")[: 1 << 17] else -1 for mark in (b"Exif\x00\x00", b"eXIf"))
+    tiff = (raw or b"") if at < 0 else raw[at:]
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if order is None:
+        return 1
+    number = lambda where, size: int.from_bytes(tiff[where : where + size], order)
+    first = number(4, 4)
+    for entry in range(number(first, 2)):
+        where = first + 2 + 12 * entry
+        if where + 12 > len(tiff):
+            break
+        if number(where, 2) == 0x0112:
+            value = number(where + 8, 2)
+            return value if 1 <= value <= 8 else 1
+    return 1
 
 
 def _unpack(raw: bytes | None, channels: int) -> np.ndarray | None:
@@ -173,7 +206,9 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], isolate: bool = False)
     takes = _PIXEL_COLUMNS if "pixels" in df.columns else _TENSOR_COLUMNS
     gives = _TENSOR_COLUMNS if takes is _TENSOR_COLUMNS or any(s["op"] == "cast" for s in steps) else _PIXEL_COLUMNS
     others = [c for c in df.columns if c not in takes]
-    turn = any(s["op"] == "exif-transpose" for s in steps) and "orientation" in df.columns
+    turn = any(s["op"] == "exif-transpose" for s in steps)
+    if turn and "orientation" not in df.columns:
+        raise ValueError("exif-transpose needs an orientation column")
     name, *dims = gives
     kind = T.ArrayType(T.IntegerType() if gives is _PIXEL_COLUMNS else T.FloatType())
     schema = T.StructType([df.schema[c] for c in others])
@@ -374,35 +409,42 @@ def score(
     """Run a model over ``image_id, tensor``. The model is loaded once per task and gets Arrow batches.
 
     A batch that fails is run image by image, so a bad image gets ``state = failed`` and its error
-    while the others succeed. Probabilities come from the activation in Spark.
+    while the others succeed. Rows that bring an ``error`` of their preparation keep it and do not reach the model. ``duration_ms`` is the
+    model's time of an image's batch, shared evenly. Probabilities come from the activation in Spark.
     """
-    schema = "image_id long, state string, error string, batch_size int, logits array<float>"
+    kind = tensors.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, state string, error string, batch_size int, duration_ms double, logits array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
 
-        def infer(tensors) -> np.ndarray:
+        def infer(tensors) -> tuple[np.ndarray, float]:
+            started = time.perf_counter()
             out = np.asarray(model(np.stack([np.asarray(t, np.float32) for t in tensors])), np.float32)
             if out.shape != (len(tensors), label_count):
                 raise ValueError(f"model gave {out.shape[1:]} scores, the catalog has {label_count}")
-            return out
+            return out, (time.perf_counter() - started) * 1000 / len(tensors)
 
         for batch in batches:
-            rows = []
+            before = batch["error"].notna()
+            rows = [(i, "failed", e, 0, None, None) for i, e in zip(batch["image_id"][before], batch["error"][before])]
+            ready = batch[~before]
             try:
-                for image_id, logits in zip(batch["image_id"], infer(list(batch["tensor"]))):
-                    rows.append((image_id, "succeeded", None, len(batch), logits))
+                scores, each = infer(list(ready["tensor"])) if len(ready) else ([], 0.0)
+                rows += [(image_id, "succeeded", None, len(ready), each, logits) for image_id, logits in zip(ready["image_id"], scores)]
             except Exception:
-                for image_id, tensor in zip(batch["image_id"], batch["tensor"]):
+                for image_id, tensor in zip(ready["image_id"], ready["tensor"]):
                     try:
-                        rows.append((image_id, "succeeded", None, 1, infer([tensor])[0]))
+                        scores, each = infer([tensor])
+                        rows.append((image_id, "succeeded", None, 1, each, scores[0]))
                     except Exception as error:
-                        rows.append((image_id, "failed", str(error), 1, None))
-            yield pd.DataFrame(rows, columns=["image_id", "state", "error", "batch_size", "logits"])
+                        rows.append((image_id, "failed", str(error), 1, None, None))
+            yield pd.DataFrame(rows, columns=["image_id", "state", "error", "batch_size", "duration_ms", "logits"])
 
-    scored = tensors.select("image_id", "tensor").mapInPandas(run, schema)
+    error = F.col("error").cast("string") if "error" in tensors.columns else F.lit(None).cast("string")
+    scored = tensors.select("image_id", "tensor", error.alias("error")).mapInPandas(run, schema)
     return scored.select(
         "image_id", "state", "error", F.lit(fingerprint).alias("fingerprint"), F.lit(runtime).alias("runtime"),
-        F.lit(provider).alias("provider"), "batch_size",
+        F.lit(provider).alias("provider"), "batch_size", F.current_timestamp().alias("created_at"), "duration_ms",
         F.transform("logits", lambda x: activate(x, activation)).alias("probabilities"),
     )

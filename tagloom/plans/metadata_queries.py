@@ -136,9 +136,9 @@ def classify(spark, sf):
 
 
 def info(spark, sf) -> M.GenerationInfo:
-    """Merged metadata as one plan; each query below parses for itself."""
+    """Merged metadata; the segments are parsed and written for each query."""
     meta = B.meta(spark, sf)
-    return M.merge_segments(meta, M.segments_of(meta))
+    return M.merge_segments(meta, M.written_segments(meta))
 
 
 @query("meta_merge_header", f"WITH {META}" + """
@@ -151,6 +151,21 @@ def merge_header(spark, sf):
     return info(spark, sf).header
 
 
+@query("meta_generation_info", "WITH h AS (" + f"WITH {META}" + """
+SELECT k AS image_id, CASE WHEN a THEN 'automatic1111' WHEN n OR w THEN 'comfyui' WHEN novel THEN 'novelai' ELSE 'unknown' END AS source,
+       CASE WHEN novel AND software = 'NovelAI 1.0' THEN software WHEN novel THEN software END AS version,
+       CASE WHEN a THEN p_name WHEN n AND w THEN 'wf ' || p_name WHEN n THEN p_type WHEN w THEN 'wf ' || p_name WHEN novel AND c AND doc IS NULL THEN p_name END AS positive,
+       CASE WHEN a AND k % 3 <> 0 THEN p_type WHEN n AND w THEN p_type WHEN n THEN p_name WHEN novel AND c AND doc IS NULL THEN p_type END AS negative,
+       CAST(a::INT + (n OR w)::INT + novel::INT AS INTEGER) AS sources FROM src""" + """)
+SELECT image_id, source, left(positive, 12) AS positive, left(negative, 12) AS negative, (coalesce(length(positive) > 12, false))::INT + (coalesce(length(negative) > 12, false))::INT AS cuts FROM h""")
+def generation_info(spark, sf):
+    """The whole result within limits: prompts of more than 12 characters are cut, each with a warning."""
+    found = M.generation_info(B.meta(spark, sf), field_units=12, total_units=200)
+    texts = [F.format_string(M.fixed.W_FIELD_CUT, F.lit(label), F.lit("12")) for label in (M.fixed.L_POSITIVE, M.fixed.L_NEGATIVE)]
+    cuts = found.warnings.filter(F.col("warning").isin(*texts)).groupBy("image_id").agg(F.count("*").cast("int").alias("cuts"))
+    return found.header.join(cuts, "image_id", "left").select("image_id", "source", "positive", "negative", F.coalesce("cuts", F.lit(0)).alias("cuts"))
+
+
 @query("meta_merge_parameters", f"WITH {META}" + """
 , p AS (
   SELECT k, 0 AS o, unnest(['steps', 'sampler', 'cfg', 'seed', 'model']) AS key, unnest([p_size::VARCHAR, 'S (a, b)', '7', k::VARCHAR, p_brand]) AS value FROM src WHERE a
@@ -250,15 +265,15 @@ def raw_text(spark, sf):
     return M.raw_text(rows)
 
 
-@query("meta_order_nodes", PART + """
-SELECT k AS image_id, CASE WHEN k % 3 = 0 THEN array_to_string(list_sort([(p_size)::VARCHAR || 'x', k::VARCHAR || 'y', 'a']), ',')
-  ELSE array_to_string(list_transform(list_sort([p_size::BIGINT, k::BIGINT, 7]), lambda x: x::VARCHAR), ',') END AS ids FROM m""")
+@query("meta_order_nodes", PART + """, ids AS (
+  SELECT k, i, CASE WHEN (i * 7 + k) % 3 = 0 THEN (i * 7 + k) || 'x' ELSE (i * 7 + k)::VARCHAR END AS id FROM m, range(60) r(i) WHERE i < 3 + k % 58)
+SELECT k AS image_id, string_agg(id, ',' ORDER BY try_cast(id AS INTEGER) IS NULL, try_cast(id AS INTEGER), id) AS ids FROM ids GROUP BY k""")
 def order_nodes(spark, sf):
-    number = lambda c: F.col(c).cast("string")
-    ids = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(number("p_size"), F.lit("x")), F.concat(number("p_partkey"), F.lit("y")), F.lit("a"))).otherwise(
-        F.array(number("p_size"), number("p_partkey"), F.lit("7"))
-    )
-    p = part(spark, sf).select(F.col("p_partkey").alias("image_id"), F.transform(ids, lambda i: F.struct(i.alias("node"), i.alias("text"))).alias("t"))
+    """3 to 60 ids of which a third are no numbers."""
+    k = F.col("p_partkey")
+    number = lambda i: i * 7 + k
+    ids = F.transform(F.sequence(F.lit(0), (k % 58 + 2).cast("int")), lambda i: F.concat(number(i).cast("string"), F.when(number(i) % 3 == 0, "x").otherwise("")))
+    p = part(spark, sf).select(k.alias("image_id"), F.transform(ids, lambda i: F.struct(i.alias("node"), i.alias("text"))).alias("t"))
     return p.select("image_id", F.array_join(F.transform(M.order_nodes(F.col("t")), lambda x: x["node"]), ",").alias("ids"))
 
 
@@ -266,12 +281,17 @@ def order_nodes(spark, sf):
 
 
 @query("entries_normalize", """
-SELECT user_id AS image_id, event_id AS seq, CASE WHEN n = 1 THEN event_type ELSE event_type || ' #' || n END AS key, left(props, 8) AS value,
-       CASE WHEN length(props) > 8 THEN '字段“' || event_type || '”超过8，已截断展示。' END AS warning
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)""")
+WITH e AS (SELECT user_id, event_id, props, event_type || CASE WHEN event_id % 7 = 0 THEN ' #2' ELSE '' END AS key FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY event_id) AS n FROM e),
+taken AS (SELECT DISTINCT user_id, left(key, length(key) - 3) AS base FROM e WHERE key LIKE '% #2')
+SELECT n.user_id AS image_id, event_id AS seq, CASE WHEN n = 1 THEN key ELSE key || ' #' || (n + (base IS NOT NULL)::INT) END AS key, left(props, 8) AS value,
+       CASE WHEN length(props) > 8 THEN '字段“' || key || '”超过8，已截断展示。' END AS warning
+FROM n LEFT JOIN taken t ON t.user_id = n.user_id AND t.base = n.key""")
 def normalize(spark, sf):
+    """Event types as keys; every seventh event brings a key that looks numbered."""
     e = B.table(spark, sf, "events")
-    return E.normalize_entries(e.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.col("props").alias("value")), 8)
+    key = F.concat("event_type", F.when(F.col("event_id") % 7 == 0, " #2").otherwise(""))
+    return E.normalize_entries(e.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("seq"), key.alias("key"), F.col("props").alias("value")), 8)
 
 
 @query("entries_split_textual", PART + """
@@ -300,10 +320,16 @@ def key_tag(spark, sf):
 
 
 @query("text_json_checks", """
-SELECT event_id, true AS looks, event_id % 3 <> 1 AS valid, CASE WHEN event_id % 3 <> 1 THEN json_extract_string(props, '$.k') END AS k FROM events""")
+SELECT event_id, event_id % 6 <> 5 AS looks, event_id % 6 NOT IN (1, 4, 5) AS valid,
+       CASE event_id % 6 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN event_id || 'e3' END AS k FROM events""")
 def json_checks(spark, sf):
-    """Event properties as JSON, every third text cut short."""
-    text = F.when(F.col("event_id") % 3 == 1, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.concat(F.lit(" "), "props"))
+    """Event properties as JSON; cut short; a name given twice; a number as spelled beside private characters; nested 70 deep; no JSON."""
+    number = F.col("event_id").cast("string")
+    kinds = [
+        F.concat(F.lit(" "), "props"), F.substring("props", F.lit(1), F.length("props") - 1), F.concat(F.lit('{"k":"old","k":'), number, F.lit("}")),
+        F.concat(F.lit('{"\ue001":"\ue002","k":'), number, F.lit("e3}")), F.concat(F.lit('{"k":' + "[" * 70 + "]" * 70), F.lit("}")), F.concat(F.lit("k "), "props"),
+    ]
+    text = F.element_at(F.array(*kinds), (F.col("event_id") % 6 + 1).cast("int"))
     e = B.table(spark, sf, "events").select("event_id", text.alias("t"))
     k = marked_scalar(F.try_element_at(marked_object(read_json(F.col("t"))["marked"]), F.lit("sk")))
     return e.select("event_id", looks_like_json(F.col("t")).alias("looks"), json_is_valid(F.col("t")).alias("valid"), F.when(json_is_valid(F.col("t")), k).alias("k"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tagloom.operators.images import run_batch
 from tagloom.sources.images import has_image_extension
 
 __all__ = ["stream_import", "first_listing", "stream_score", "stream_suppress", "stream_latest", "run_available"]
@@ -34,13 +35,15 @@ def first_listing(listing: DataFrame, forget_after: str | None = None, time: str
     return listing.withWatermark(time, forget_after).dropDuplicatesWithinWatermark(["path"])
 
 
-def stream_score(images: DataFrame, score_batch: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Score each micro-batch of a stream of images and append the outcomes. Twin: ``run_batch``.
+def stream_score(
+    images: DataFrame, predictions: DataFrame, score: Callable[[DataFrame], DataFrame], fingerprint: str, out: str, checkpoint: str
+) -> StreamingQuery:
+    """``run_batch`` on each micro-batch of a stream of images, outcomes appended to ``out``; images done under ``fingerprint`` are skipped.
 
     The batch id names the output folder, so a batch repeated after a failure overwrites itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        run_batch(batch, predictions, score, fingerprint).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -228,3 +228,27 @@ def test_stream_import(spark, folder, tmp_path):
 
 def test_session_helpers(spark):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+@pytest.mark.parametrize("order,mark", [("little", b"II*\x00"), ("big", b"MM\x00*")])
+def test_exif_orientation(spark, order, mark):
+    number = lambda n, size: n.to_bytes(size, order)
+    entry = lambda tag, value: number(tag, 2) + number(3, 2) + number(1, 4) + number(value, 2) + b"\x00\x00"
+    tiff = mark + number(8, 4) + number(2, 2) + entry(0x0100, 640) + entry(0x0112, 6) + bytes(4)
+    files = [b"\xff\xd8\xff\xe1\x00\x00Exif\x00\x00" + tiff, tiff, b"\x89PNG\r\n....eXIf" + tiff, b"\xff\xd8 none", b"", None, tiff.replace(number(6, 2) + b"\x00\x00", number(99, 2) + b"\x00\x00"), tiff[:20]]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "i int, f binary").select("i", T.exif_orientation("f").alias("o"))
+    assert [r["o"] for r in df.orderBy("i").collect()] == [6, 6, 6, 1, 1, 1, 1, 1]
+
+
+def test_transposing_needs_the_orientation(spark):
+    images = spark.createDataFrame([([1] * 8, 2, 1, 4)], "pixels array<int>, width int, height int, channels int")
+    with pytest.raises(ValueError, match="orientation"):
+        T.exif_transpose(images)
+
+
+def test_scoring_keeps_earlier_errors(spark):
+    rows = [("a", [1.0, 2.0], None), ("b", None, "cannot decode"), ("c", [3.0], None)]
+    tensors = spark.createDataFrame(rows, "image_id string, tensor array<float>, error string")
+    out = {r["image_id"]: r for r in T.score(tensors, lambda: lambda x: x * 2, 2, "fp", activation="none").collect()}
+    assert out["a"]["probabilities"] == [2.0, 4.0] and out["a"]["duration_ms"] >= 0 and out["a"]["created_at"]
+    assert (out["b"]["state"], out["b"]["error"]) == ("failed", "cannot decode") and out["c"]["state"] == "failed"
