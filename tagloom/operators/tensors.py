@@ -448,3 +448,15 @@ def score(
         F.lit(provider).alias("provider"), "batch_size", F.current_timestamp().alias("created_at"), "duration_ms",
         F.transform("logits", lambda x: activate(x, activation)).alias("probabilities"),
     )
+
+
+def linear_head(tensors: DataFrame, weights: DataFrame) -> DataFrame:
+    """``image_id, logits array<double>`` of a linear head ``weights(feature, label, w)``, labels in ascending order.
+
+    The head is one array of weights per label, as large as the model whatever the number of images; the products stay inside the row.
+    """
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    per_label = weights.groupBy("label").agg(ordered("feature", "w").alias("of_label"))
+    head = per_label.agg(ordered("label", "of_label").alias("head")).scalar()
+    product = lambda w: F.aggregate(F.zip_with("tensor", w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b)
+    return tensors.withColumn("head", head).select("image_id", F.transform("head", product).alias("logits"))

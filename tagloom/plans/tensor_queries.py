@@ -141,6 +141,18 @@ def prepare_with_resize(spark, sf):
 WEIGHTS = "((j * 31 + k * 17) % 7 - 3) / 8.0::DOUBLE"
 
 
+@query("tensor_linear_head", f"""
+SELECT image_id, CAST(k AS INTEGER) AS label, round(sum(x * {WEIGHTS}), 6) AS logit
+FROM (SELECT vec_id AS image_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), range(16) r(k) GROUP BY image_id, k""")
+def linear_head(spark, sf):
+    weights = spark.range(64 * 16).select(
+        F.floor(F.col("id") / 16).cast("int").alias("feature"), (F.col("id") % 16).cast("int").alias("label")
+    ).withColumn("w", ((F.col("feature") * 31 + F.col("label") * 17) % 7 - 3) / F.lit(8.0))
+    tensors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("tensor"))
+    out = unnest(T.linear_head(tensors, weights), ["image_id"], "logits", "label", "logit")
+    return out.withColumn("logit", F.round("logit", 6))
+
+
 @query("tensor_score", f"""
 SELECT image_id, 'succeeded' AS state, CAST(k AS INTEGER) AS label, round(1 / (1 + exp(-sum(x * {WEIGHTS}))), 4) AS p
 FROM (SELECT vec_id AS image_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), range(16) r(k) GROUP BY image_id, k""")
