@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagloom.functions import (
     escape_parens, is_blank, literal_map, tag_weight, trim_unicode, underscore_to_space, utf16_length, weighted_text,
 )
-from tagloom.operators.scores import RATING, best_of, bind, catalog_size, excluded_arrays, label_vector, positions
+from tagloom.operators.scores import RATING, best_of, bind, excluded_arrays, label_entries, positions
 from tagloom.rules import NAME, PromptRules, check_threshold
 from tagloom.session import literal_rows
 
@@ -143,27 +143,24 @@ def prompt_candidates(
     The best rating is picked before overrides and exclusions, so an excluded winner leaves none.
     """
     plan = label_plan(catalog, groups, rules, default_threshold)
-    labels = label_vector(plan, "name", "text", "spelling", "shared", "group_rank", "by_name", "threshold", "keep")
     # a null threshold makes the comparison false: excluded labels and rating labels are never picked here
-    bars = plan.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(
-                "tag_index", F.when(F.col("keep") & ~F.col("is_rating"), F.col("threshold")).alias("bar")
-            ))),
-            lambda x: x["bar"],
-        ).alias("bars")
-    ).scalar()
-    ratings = plan.filter("is_rating").agg(F.sort_array(F.collect_list("tag_index")).alias("ix")).scalar()
+    bar = lambda label: F.when(label["keep"] & ~label["is_rating"], label["threshold"])
+    one_row = plan.agg(label_entries("name", "text", "spelling", "shared", "group_rank", "by_name", "threshold", "keep", "is_rating").alias("labels"))
+    # one subquery for all that is known about the labels, so the catalog is read once
+    facts = one_row.select(F.struct(
+        "labels", F.transform("labels", bar).alias("bars"),
+        F.transform(F.filter("labels", lambda label: label["is_rating"]), lambda label: label["tag_index"]).alias("ratings"), F.size("labels").alias("n"),
+    ).alias("facts")).scalar()
 
     p = F.col("probabilities")
     infinity = F.lit(float("inf")).cast("float")
-    df = bind(predictions, labels=labels, bars=bars, ratings=ratings)
+    df = bind(predictions, labels=facts["labels"], bars=facts["bars"], ratings=facts["ratings"], n=facts["n"])
     # NaN is above infinity in Spark's order, so the upper bound drops it as well
     above = F.filter(
         positions(p), lambda i: (F.get(p, i) < infinity) & (F.get(p, i).cast("double") >= F.get(F.col("__bars"), i))
     )
     best = F.filter(F.array(best_of(p, F.col("__ratings"))["tag_index"]), lambda i: i.isNotNull())
-    valid = F.coalesce(p.isNotNull() & (F.size(p) == catalog_size(catalog)), F.lit(False))
+    valid = F.coalesce(p.isNotNull() & (F.size(p) == F.col("__n")), F.lit(False))
     hits = F.transform(
         F.concat(above, best),
         lambda i: F.struct(i.alias("i"), F.get(p, i).alias("p"), F.get(F.col("__labels"), i).alias("label")),

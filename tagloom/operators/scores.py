@@ -21,14 +21,16 @@ from tagloom.session import unnest
 RATING = fixed.RATING_GROUP
 
 
-def label_vector(catalog: DataFrame, *fields: str) -> Column:
-    """The catalog as one array of structs in index order. A gap in the indices is an error."""
+def label_entries(*fields: str) -> Column:
+    """Aggregate of a catalog to one array of structs in index order. A gap in the indices is an error."""
     entries = F.sort_array(F.collect_list(F.struct("tag_index", *fields)))
     contiguous = (F.min("tag_index") == 0) & (F.max("tag_index") + 1 == F.count(F.lit(1)))
-    vector = F.when(contiguous, entries).otherwise(
-        F.raise_error(F.lit("catalog indices are not contiguous from 0"))
-    )
-    return catalog.agg(vector.alias("labels")).scalar()
+    return F.when(contiguous, entries).otherwise(F.raise_error(F.lit("catalog indices are not contiguous from 0")))
+
+
+def label_vector(catalog: DataFrame, *fields: str) -> Column:
+    """``label_entries`` as a scalar subquery."""
+    return catalog.agg(label_entries(*fields).alias("labels")).scalar()
 
 
 def catalog_size(catalog: DataFrame) -> Column:
