@@ -13,8 +13,8 @@ def _write(path, name, columns):
 def test_stages_keep_clean_documents(spark, tmp_path):
     clean = [brute.prose(80, n, 5000) for n in range(150)]
     toxic = [f"{brute.prose(20, 900 + n, 5000)} vile {brute.prose(9, 800 + n, 5000)} nasty" for n in range(60)]
-    item = brute.prose(40, 77, 5000)
-    leak = brute.prose(30, 78, 5000) + " " + item
+    item = brute.prose(40, 5077, 5000)
+    leak = brute.prose(30, 5078, 5000) + " " + item
     texts = clean + toxic + [leak, clean[0], brute.edited(clean[1], 1, 1), None, ""]
     ids = list(range(len(texts)))
     _write(tmp_path, "documents", {"doc_id": ids, "text": pa.array(texts, pa.string()), "lang": ["en"] * len(ids), "source": [f"s{i % 4}" for i in ids], "n_chars": [len(t or "") for t in texts]})
