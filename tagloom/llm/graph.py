@@ -20,19 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("hi") > F.col("lo")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads to a root: no ``hi`` has two edges, none is the ``lo`` of another."""
+    ends = edges.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows ``(node, root)`` for every node of ``edges (a, b)`` that is not its own root; the root is the smallest node reachable.
 
-    Both columns are long and not null. Loops and repeated edges are allowed; an empty table gives an empty one.
-    Every step is written to the shared folder, so lost executors repeat one step at most.
+    Both columns are long and not null. Loops and repeated edges are allowed; an empty table gives an empty one. ``edges`` is read
+    several times: pass a written table. Every step is written to the shared folder, so lost executors repeat one step at most.
     """
-    now = materialize(
-        edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct(), "edges"
-    )
-    state = None
+    now = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo")
     while True:
         now = materialize(_star(_star(now, large=True), large=False), "edges")
-        check = now.select(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if tuple(check) == state or not check[0]:
+        if _settled(now):
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        state = tuple(check)

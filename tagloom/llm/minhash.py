@@ -220,7 +220,7 @@ def _resolve(docs: DataFrame, k: int, percent: int, bands: int, rows: int, permu
             roots = components(found)
         elif not found.isEmpty():
             roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        slots, round_no = min(4096, slots * 16), round_no + 1
+        slots, round_no = min(4096, slots * 64), round_no + 1
     return rows_seen, nodes, roots
 
 
