@@ -56,8 +56,10 @@ def dedup_units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST
     form = units.select("doc_id", "place", normal(F.col("unit")).alias("form")).filter(F.size(F.split("form", " ")) >= least_words)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     hashed = materialize(form.select(F.unhex(F.md5("form")).alias("digest"), "doc_id", "place"), "units")
-    # A unit of a third of all documents is combined before it is dealt, and joined back to rows that may be split.
+    # A unit of a third of all documents is combined before it is dealt. Written, the repeated digests are a plain side of a join, of
+    # which Spark can split the hot partitions.
     first = hashed.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    first = materialize(first, "first")
     gone = hashed.join(first, "digest").filter(rank != F.col("first")).groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
     known = gone.select(F.col("doc_id").alias("of"), F.transform("gone", lambda p: p.cast("long")).alias("gone"))
     joined = plain.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left")
