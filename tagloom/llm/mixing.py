@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tagloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_ROWS = 20_000  # documents of one source that a sorted block holds on average
+BLOCK_ROWS = 2_000  # documents of one source that a sorted block holds on average
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
