@@ -1,7 +1,8 @@
 """Repeated lines and paragraphs: units are hashed, digests meet globally, the earliest occurrence stays.
 
 A unit's normal form has A-Z in lower case and each run of white space as one space, none at the ends. The first in order of (doc_id, place)
-keeps its place, the others are removed; offsets of what is removed refer to the original text.
+keeps its place, the others are removed; offsets of what is removed refer to the original text. Rows have an identity of their own: rows
+with equal or null ids rank by a hash of their text, exact copies by a row number that is written once.
 """
 
 from __future__ import annotations
@@ -47,22 +48,24 @@ def dedup_units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST
 
     ``docs`` needs doc_id and text; other columns are ignored. Units are what ``separator`` parts (a newline: lines; two: paragraphs). Units of fewer than
     ``least_words`` words neither count as repeats nor go. ``removed`` is a flat array of code point starts and ends in the original text, ``kept`` the
-    remaining units joined again. Null text is empty (one empty unit). Null ids rank last. Rows with equal ids count as one document: a unit at the same place of
-    both ranks equally and stays in both. An empty table gives an empty one.
+    remaining units joined again. Null text is empty (one empty unit). Null ids rank last. Rows with equal or null ids are rows of their own: each
+    loses only its own repeats, and of exact copies one keeps its units. An empty table gives an empty one.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = materialize(plain.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "rows")
+    own = ["doc_id", "tie", "row", "place"]
     pattern = F.lit(separator.replace("\n", "\\n") if separator.strip() == "" else "\\Q" + separator + "\\E")
-    units = plain.select("doc_id", F.posexplode(F.split("text", pattern, -1)).alias("place", "unit"))
-    form = units.select("doc_id", "place", normal(F.col("unit")).alias("form")).filter(F.size(F.split("form", " ")) >= least_words)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    hashed = materialize(form.select(F.unhex(F.md5("form")).alias("digest"), "doc_id", "place"), "units")
+    units = plain.select("doc_id", F.xxhash64("text").alias("tie"), "row", F.posexplode(F.split("text", pattern, -1)).alias("place", "unit"))
+    form = units.select(*own, normal(F.col("unit")).alias("form")).filter(F.size(F.split("form", " ")) >= least_words)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), *own)
+    hashed = materialize(form.select(F.unhex(F.md5("form")).alias("digest"), *own), "units")
     # A unit of a third of all documents is combined before it is dealt. Written, the repeated digests are a plain side of a join, of
     # which Spark can split the hot partitions.
     first = hashed.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = materialize(first, "first")
-    gone = hashed.join(first, "digest").filter(rank != F.col("first")).groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
-    known = gone.select(F.col("doc_id").alias("of"), F.transform("gone", lambda p: p.cast("long")).alias("gone"))
-    joined = plain.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    gone = hashed.join(first, "digest").filter(rank != F.col("first")).groupBy("row").agg(F.collect_set("place").alias("gone"))
+    known = gone.select("row", F.transform("gone", lambda p: p.cast("long")).alias("gone"))
+    joined = plain.join(known, "row", "left")
     return joined.select("doc_id", _cut(separator)("text", "gone").alias("d")).select("doc_id", "d.*")
 
 

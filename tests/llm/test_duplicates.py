@@ -86,6 +86,13 @@ def test_lines(spark):
     assert paragraphs.kept == "a b c d\ne" and paragraphs.n_units == 2
 
 
+def test_lines_of_rows_with_equal_and_null_ids(spark):
+    hot, alone = "this line is in many rows", [f"line {n} is found only here" for n in range(4)]
+    rows = [(1, f"{hot}\n{alone[0]}"), (7, f"{alone[1]}\n{hot}"), (7, f"{hot}\n{alone[2]}"), (None, f"{hot}\nx"), (None, f"{alone[3]}\n{hot}"), (9, "an exact copy is here"), (9, "an exact copy is here")]
+    got = sorted((r.doc_id or 0, r.kept) for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, rows[0][1]), (7, alone[1]), (7, alone[2]), (0, "x"), (0, alone[3]), (9, ""), (9, "an exact copy is here")])
+
+
 def _best(item, text, k):
     """Highest similarity of the item with any window of the text, by trying all."""
     from collections import Counter
