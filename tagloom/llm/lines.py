@@ -47,7 +47,7 @@ def dedup_units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST
     """Per row of ``docs``: doc_id, n_units, n_removed, removed, kept, kept_sha256.
 
     ``docs`` needs doc_id and text; other columns are ignored. Units are what ``separator`` parts (a newline: lines; two: paragraphs). Units of fewer than
-    ``least_words`` words neither count as repeats nor go. ``removed`` is a flat array of code point starts and ends in the original text, ``kept`` the
+    ``least_words`` words neither count as repeats nor go; 1 takes every unit but blank ones, which always stay. ``removed`` is a flat array of code point starts and ends in the original text, ``kept`` the
     remaining units joined again. Null text is empty (one empty unit). Null ids rank last. Rows with equal or null ids are rows of their own: each
     loses only its own repeats, and of exact copies one keeps its units. An empty table gives an empty one.
     """
@@ -56,7 +56,7 @@ def dedup_units(docs: DataFrame, separator: str = "\n", least_words: int = LEAST
     own = ["doc_id", "tie", "row", "place"]
     pattern = F.lit(separator.replace("\n", "\\n") if separator.strip() == "" else "\\Q" + separator + "\\E")
     units = plain.select("doc_id", F.xxhash64("text").alias("tie"), "row", F.posexplode(F.split("text", pattern, -1)).alias("place", "unit"))
-    form = units.select(*own, normal(F.col("unit")).alias("form")).filter(F.size(F.split("form", " ")) >= least_words)
+    form = units.select(*own, normal(F.col("unit")).alias("form")).filter((F.col("form") != "") & (F.size(F.split("form", " ")) >= least_words))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *own)
     hashed = materialize(form.select(F.unhex(F.md5("form")).alias("digest"), *own), "units")
     # A unit of a third of all documents is combined before it is dealt. Written, the repeated digests are a plain side of a join, of

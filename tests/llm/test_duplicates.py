@@ -93,6 +93,12 @@ def test_lines_of_rows_with_equal_and_null_ids(spark):
     assert got == sorted([(1, rows[0][1]), (7, alone[1]), (7, alone[2]), (0, "x"), (0, alone[3]), (9, ""), (9, "an exact copy is here")])
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    rows = [(1, "les.\n\n\nand ornd.\n同一行文字"), (2, "Les.\n \nnew\nand  ornd.\n同一行文字\n"), (3, "")]
+    got = {r.doc_id: (r.kept, r.n_removed) for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), least_words=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (" \nnew\n", 3), 3: ("", 0)}
+
+
 def _best(item, text, k):
     """Highest similarity of the item with any window of the text, by trying all."""
     from collections import Counter
