@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.llm import words as W
+from tagloom.session import materialize
 
 U = np.uint64
 STEP = 4
 BLOCKS = 4  # of 16 bits; the radius is one less
+BYTES_PER_PASS = 16 << 20
 
 
 def clean_run(n_words: int, k: int, percent: int) -> int:
@@ -182,39 +184,70 @@ def leak_rows(index: Index):
     return apply
 
 
-def _passes(benchmark: DataFrame, k: int, percent: int, items_per_pass: int) -> Iterator[Index]:
-    """Indexes over blocks of the items: only ``items_per_pass`` of them are on the driver and in a task at a time."""
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-named.count() // items_per_pass))
-    for part in range(passes):
-        rows = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == part) if passes > 1 else named
-        yield Index([tuple(r) for r in rows.collect()], k, percent)
+class _Passes:
+    """Blocks of about ``items_per_pass`` items and BYTES_PER_PASS bytes, dealt by a hash. Each is collected when its index is asked for and held by the caller alone."""
+
+    def __init__(self, benchmark: DataFrame, k: int, percent: int, items_per_pass: int):
+        self.k, self.percent = k, percent
+        named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        self.items = named.filter("item_id is not null and text is not null").distinct()
+        n, size = self.items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.number = max(1, -(-n // items_per_pass), -(-size // BYTES_PER_PASS))
+
+    def index(self, part: int) -> Index:
+        rows = self.items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.number)) == part)
+        return Index([tuple(r) for r in rows.collect()], self.k, self.percent)
+
+
+def _found(rows: DataFrame, key: str, passes: _Passes) -> DataFrame:
+    """key, items, similarity of the ``rows (key, text)`` with a hit in any pass: each pass's hits are written before the next index is built."""
+
+    def written(part: int) -> DataFrame:
+        found = rows.select(F.col(key).alias("doc_id"), "text").mapInArrow(leak_rows(passes.index(part)), "doc_id long, items array<long>, similarity double")
+        return materialize(found.filter(F.size("items") > 0).withColumnRenamed("doc_id", key), "leaks")
+
+    out = written(0)
+    for part in range(1, passes.number):
+        out = out.unionByName(written(part))
+    return out.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("similarity").alias("similarity"))
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once with a number of their own, and the name of its column."""
+    key = "row"
+    while key in {c.lower() for c in rows.columns}:
+        key += "_"
+    return materialize(rows.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, items_per_pass: int = 20_000) -> DataFrame:
-    """One row per row of ``docs`` for each pass over the items: doc_id, items, similarity.
+    """One row per row of ``docs``: doc_id, items, similarity.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. ``items`` are the ids of all items that the text holds at
     ``percent`` or more, ascending; empty with similarity 0 for clean, empty and null texts. Items without words or id find nothing;
-    items shorter than ``k`` words are one shingle. Only ``items_per_pass`` items are on the driver and in a task at a time; a larger benchmark takes several passes
-    over the documents, whose rows are then combined per document. An empty benchmark leaves all clean.
+    items shorter than ``k`` words are one shingle. About ``items_per_pass`` items are on the driver and in a task at a time; a larger benchmark takes several passes
+    over the documents, written once with row numbers, by which the hits of all passes are combined. An empty benchmark leaves all clean.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    indexes = list(_passes(benchmark, k, percent, items_per_pass))
-    out = None
-    for index in indexes:
-        found = plain.mapInArrow(leak_rows(index), "doc_id long, items array<long>, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if len(indexes) > 1:  # an id stands for all its rows here
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("similarity").alias("similarity"))
-    return out
+    passes = _Passes(benchmark, k, percent, items_per_pass)
+    if passes.number == 1:
+        return plain.mapInArrow(leak_rows(passes.index(0)), "doc_id long, items array<long>, similarity double")
+    rows, key = _numbered(plain)
+    joined = rows.select("doc_id", key).join(_found(rows, key, passes), key, "left")
+    return joined.select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, items_per_pass: int = 20_000) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, all columns as they are; null and empty texts stay. No text is moved."""
-    for index in _passes(benchmark, k, percent, items_per_pass):
-        docs = docs.filter(~_leaked(index)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return docs
+    """Rows of ``docs`` that hold no benchmark item, all columns as they are; null and empty texts stay.
+
+    No text is moved in a single pass over the items; for several the rows are written once with row numbers, which those with hits are dropped by.
+    """
+    passes = _Passes(benchmark, k, percent, items_per_pass)
+    if passes.number == 1:
+        return docs.filter(~_leaked(passes.index(0))(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows, key = _numbered(docs)
+    texts = rows.select(key, F.col("text").cast("string").alias("text"))
+    return rows.join(_found(texts, key, passes).select(key), key, "left_anti").select(*docs.columns)
 
 
 def _leaked(index: Index):

@@ -135,3 +135,35 @@ def test_leaks(spark):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [i for i, found in want.items() if not found]
     assert decontaminate.leaks(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaks_of_several_passes_keep_every_row(spark):
+    items = [(n, brute.prose(30, 600 + n, 9000)) for n in range(6)]
+    rows = [(None, items[0][1], 1), (None, items[5][1], 2), (None, "clean", 3), (8, items[2][1] + " x " + items[4][1], 4), (8, "clean too", 5), (8, "clean too", 5), (9, None, 6)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, row int"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(0, [0]), (0, [5]), (0, []), (8, [2, 4]), (8, []), (8, []), (9, [])])
+    for most in (1, 2, 20_000):
+        assert sorted((r.doc_id or 0, r["items"]) for r in decontaminate.leaks(docs, bench, items_per_pass=most).collect()) == want
+        clean = decontaminate.without_leaks(docs, bench, items_per_pass=most)
+        assert clean.columns == docs.columns and sorted(r.row for r in clean.collect()) == [3, 5, 5, 6]
+
+
+def test_one_index_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    live, most, build = weakref.WeakSet(), [], decontaminate.Index.__init__
+
+    def counted(self, *given):
+        gc.collect()
+        live.add(self)
+        most.append(len(live))
+        build(self, *given)
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", counted)
+    items = spark.createDataFrame([(n, brute.prose(20, 700 + n)) for n in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "clean")], "doc_id long, text string")
+    for results in (decontaminate.leaks, decontaminate.without_leaks):
+        most.clear()
+        results(docs, items, items_per_pass=2).count()
+        assert len(most) == 3 and max(most) == 1
