@@ -2,11 +2,11 @@
 
 A document is leaked when some window of it has a weighted-shingle similarity of at least ``percent`` / 100 with a benchmark item.
 An item of n shingles can lose few of them then, so some run of its words, whose length follows from n alone, occurs unchanged. Windows are
-cut to that length (a multiple of STEP words, so a document needs windows at every STEP-th word only), each fingerprinted by SimHash over its
+cut to that length (a multiple of STEP shingles, so a document needs windows at every STEP-th word only), each fingerprinted by SimHash over its
 shingles, and compared with the fingerprints of all equally long windows of the items. The fingerprint is split into blocks: two
 fingerprints within ``blocks - 1`` differing bits agree on one block at least, so looking up each block finds all
 fingerprints within that radius. What lies within it is verified: the exact weighted similarity (shingles count as
-often as they occur) of the item and of every placement of it around the hit.
+often as they occur) of the item and of every window around the hit.
 """
 
 from __future__ import annotations
@@ -30,25 +30,27 @@ BYTES_PER_PASS = 16 << 20
 def clean_run(n_words: int, k: int, percent: int) -> int:
     """Words that surely occur in one unchanged run if the similarity with an item of ``n_words`` is ``percent`` or more.
 
-    With e changes inside the item and t words missing at its ends, at most ``n - 4e - t`` of n shingles (for k = 5) are common and the union
-    has ``n + 5e`` at least; the runs between share the other words.
+    Between two runs at least ``k - 1`` shingles of the item are missing (cuts ``lost``) or as many others stand in the window (cuts ``added``), whether words
+    were changed, left out, put in or moved. So at most ``n - (k - 1) lost`` of n shingles are common, the union has ``n + (k - 1) added`` at least, and
+    the longest of the runs has its share of the common ones. Items that repeat runs of ``k - 1`` words can be put together anew without a cut; they are not covered.
     """
-    n = max(1, n_words - k + 1)
-    least, e = n_words, 0
-    while True:
-        common = -(-percent * (n + k * e) // 100)  # shingles that must stay
-        t = n - (k - 1) * e - common
-        if t < 0:
-            return max(1, least)
-        least = min(least, -(-(n_words - t - e) // (e + 1)))
-        e += 1
+    k = min(k, n_words)
+    if k < 2:
+        return 1
+    n = n_words - k + 1
+    least, added = n_words, 0
+    while added <= n and (common := -(-percent * (n + (k - 1) * added) // 100)) <= n:  # shingles that must stay
+        lost = (n - common) // (k - 1)
+        least = min(least, -(-common // (added + lost + 1)) + k - 1)
+        added += 1
+    return max(1, least)
 
 
 def window_length(n_words: int, k: int, percent: int) -> tuple[int, int]:
-    """(length, step) of the windows for an item: a multiple of STEP at every STEP-th word, or for short items any length at every word."""
+    """(length, step) of the windows for an item: a multiple of STEP shingles at every STEP-th word, or for short items any length at every word."""
     run = clean_run(n_words, k, percent)
-    length = (run - STEP + 1) // STEP * STEP
-    return (length, STEP) if length >= k else (run, 1)
+    count = (run - STEP + 1 - k + 1) // STEP * STEP
+    return (count + k - 1, STEP) if count >= STEP else (run, 1)
 
 
 def _bit_sums(grams: np.ndarray, step: int, most: int) -> np.ndarray:
@@ -129,25 +131,46 @@ class Index:
                 seen.update(zip(start[whole].tolist(), items[entry[whole]].tolist(), places[entry[whole]].tolist()))
             yield from seen
 
-    def best(self, grams: np.ndarray, item: int, start: int) -> float:
-        """Highest similarity of the item with a window of the text near ``start``, where the item would begin.
+    def best(self, grams: np.ndarray, item: int, places: list[int]) -> float:
+        """Highest similarity of the item with a window of the text that holds one of the ``places``; 0 where all are below ``percent``.
 
-        ``grams`` are the text's shingles. Windows begin and end up to a fifth of the item's length beside.
+        ``grams`` are the text's shingles. Windows of up to ``100 / percent`` of the item's shingles are tried; longer ones cannot be similar enough.
         """
-        _, n, bag = self.items[item]
+        bag = self.items[item][2]
         size = sum(bag.values())
-        slack = n - n * self.percent // 100
-        low, high = max(0, start - slack), min(len(grams), start + size + slack)
-        values = grams[low:high].tolist()
+        longest = size * 100 // self.percent if self.percent else len(grams)
         best = 0.0
-        for a in range(0, min(len(values), 2 * slack + 1)):
-            left, common = dict(bag), 0
-            for length, value in enumerate(values[a : a + size + slack], 1):
-                if left.get(value, 0):
-                    left[value] -= 1
-                    common += 1
-                    best = max(best, common / (size + length - common))
-        return best
+        for begin, end in _merged(places, longest):
+            low, high = begin, min(len(grams), end)
+            values = grams[low:high]
+            # A shingle is common to a window unless it is not the item's, or the window already holds as many of it as the item.
+            before = np.full(len(values), len(values), np.int64)
+            for value in set(values.tolist()) & bag.keys():
+                at = np.flatnonzero(values == value)
+                before[at] = np.concatenate((np.full(bag[value], -1), at))[: len(at)]
+            own = before < len(values)
+            held = np.concatenate(([0], np.cumsum(own)))
+            ends = np.minimum(np.arange(len(values)) + longest, len(values))
+            for a in np.flatnonzero(own & ((held[ends] - held[:-1]) * 100 >= self.percent * size)).tolist():
+                common = np.cumsum(before[a : a + longest] < a)
+                best = max(best, float((common / (size + np.arange(1, len(common) + 1) - common)).max()))
+                if best == 1:
+                    return best
+        return best if best * 100 >= self.percent else 0.0
+
+
+def _merged(places: list[int], longest: int) -> Iterator[tuple[int, int]]:
+    """Spans of shingles that windows of up to ``longest`` around the places can cover; overlapping ones are one."""
+    begin = end = None
+    for place in sorted(set(places)):
+        if end is not None and place - longest + 1 <= end:
+            end = place + longest
+            continue
+        if end is not None:
+            yield begin, end
+        begin, end = max(0, place - longest + 1), place + longest
+    if end is not None:
+        yield begin, end
 
 
 def search(index: Index, texts: pa.Array) -> tuple[list[list[int]], list[float]]:
@@ -155,21 +178,19 @@ def search(index: Index, texts: pa.Array) -> tuple[list[list[int]], list[float]]
     k, percent = index.k, index.percent
     words = W.words_of(*W.utf8(texts))
     found: list[dict[int, float]] = [{} for _ in range(len(texts))]
-    by_text: dict[int, set] = {}
-    for place, item, inside in index.hits(words.hashes, words.first):
+    by_text: dict[int, dict[int, list[int]]] = {}
+    for place, item, _ in index.hits(words.hashes, words.first):
         text = int(np.searchsorted(words.first, place, side="right")) - 1
-        by_text.setdefault(text, set()).add((item, place - int(words.first[text]) - inside))
+        by_text.setdefault(text, {}).setdefault(item, []).append(place - int(words.first[text]))
     for text, tries in by_text.items():
         own = words.hashes[words.first[text] : words.first[text + 1]]
         grams: dict[int, np.ndarray] = {}
-        for item, start in sorted(tries):
-            if found[text].get(item, 0) < 1:
-                size = min(k, index.items[item][1])
-                if size not in grams:
-                    grams[size] = W.grams(own, size)
-                value = index.best(grams[size], item, start)
-                if value * 100 >= percent:
-                    found[text][item] = max(value, found[text].get(item, 0))
+        for item, places in sorted(tries.items()):
+            size = min(k, index.items[item][1])
+            if size not in grams:
+                grams[size] = W.grams(own, size)
+            if (value := index.best(grams[size], item, places)) * 100 >= percent:
+                found[text][item] = value
     return [sorted({index.items[i][0] for i in f}) for f in found], [max(f.values(), default=0.0) for f in found]
 
 

@@ -167,3 +167,26 @@ def test_one_index_at_a_time(spark, monkeypatch):
         most.clear()
         results(docs, items, items_per_pass=2).count()
         assert len(most) == 3 and max(most) == 1
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_leaks_with_moved_and_added_words(k):
+    import pyarrow as pa
+
+    long = brute.prose(404, 801, 9000).split()
+    grown = " ".join(long[:202] + brute.prose(90, 802, 9000).split() + long[202:])
+    common = 404 - 2 * (k - 1)
+    assert decontaminate.search(decontaminate.Index([(9, " ".join(long))], k, 80), pa.array([grown])) == ([[9]], [pytest.approx(common / (405 - k + 495 - k - common))])
+    items, texts = [], []
+    for n in (40, 41, 43, 57):
+        own = brute.prose(n, 810 + n, 9000).split()
+        items.append(" ".join(own))
+        moved = own[n // 2 :] + own[: n // 2]
+        texts += [" ".join(["before"] * 7 + moved + ["after"] * shift) for shift in (0, 3)] + [brute.edited(items[-1], 1, n)]
+    index = decontaminate.Index(list(enumerate(items)), k, 80)
+    found, similarity = decontaminate.search(index, pa.array(texts))
+    for text, ids, value in zip(texts, found, similarity):
+        most = {i: _best(item, text, k) for i, item in enumerate(items) if set(item.split()) & set(text.split())}
+        assert ids == [i for i, v in most.items() if v >= 0.8]
+        assert not ids or value == pytest.approx(max(most.values()))
+    assert found[0] == [0]
