@@ -50,6 +50,12 @@ def test_toxicity(spark, marked):
     assert {r.score for r in toxicity.score(docs, untaught).collect()} == {0.5}
 
 
+def test_without_evidence_no_document_is_dropped(spark, marked):
+    docs, labels = marked
+    for some in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0"), labels.withColumn("doc_id", F.col("doc_id") + 10_000)):
+        assert toxicity.without_toxic(docs, toxicity.train(docs, some)).count() == docs.count()
+
+
 def test_labels_of_the_held_out_fold_are_not_read(spark, marked):
     docs, labels = marked
     turned = labels.withColumn("toxic", F.when(fold(F.col("doc_id"), 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
