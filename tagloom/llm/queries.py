@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, quality, suffix, toxicity, urls
+from tagloom.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, phrases, quality, suffix, toxicity, urls
 from tagloom.llm.labelled import fold
 
 
@@ -68,10 +68,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("leaked", F.size("items") > 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate,
+        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate, op11_collocations,
     )
 }
 ORACLES = {
