@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, phrases, quality, suffix, toxicity, urls
+from tagloom.llm import alignment, chat, decontaminate, fingerprint, lines, minhash, mixing, phrases, quality, suffix, toxicity, urls
 from tagloom.llm.labelled import fold
 
 
@@ -72,10 +72,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
 
 
+#: Where the vocabulary files lie on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate, op11_collocations,
+        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate, op11_collocations, op13_alignment,
     )
 }
 ORACLES = {
