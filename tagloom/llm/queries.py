@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import alignment, chat, decontaminate, fingerprint, lines, minhash, mixing, phrases, quality, suffix, toxicity, urls
+from tagloom.llm import alignment, chat, decontaminate, fingerprint, language, lines, minhash, mixing, phrases, quality, suffix, toxicity, urls
 from tagloom.llm.labelled import fold
 
 
@@ -72,6 +72,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, folds=5, held_out=0)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 #: Where the vocabulary files lie on every machine.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -83,7 +90,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate, op11_collocations, op13_alignment,
+        op1_lines, op2_toxicity, op3_minhash, op4_mixing, op5_suffix, op6_quality, op7_chat, op8_fingerprint, op9_urls, op10_decontaminate, op11_collocations, op12_language, op13_alignment,
     )
 }
 ORACLES = {
