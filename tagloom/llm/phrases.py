@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tagloom.llm import words as W
@@ -61,10 +62,17 @@ def _phrase_hash(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
-    """A Bloom filter of two probes over phrase hashes."""
+    """A Bloom filter of two probes over phrase hashes. It travels compressed: few phrases leave most of it empty."""
 
     words: np.ndarray
 
+    def __reduce__(self):
+        return Filter.unpack, (pa.compress(self.words.tobytes(), "zstd", asbytes=True), len(self.words))
+
+    @staticmethod
+    def unpack(packed: bytes, size: int) -> Filter:
+        return Filter(np.frombuffer(pa.decompress(packed, size * 8, "zstd", asbytes=True), U))
+
     @staticmethod
     def probes(hashes: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
         return hashes >> U(64 - bits), W.mix(hashes + U(1)) >> U(64 - bits)
@@ -182,12 +190,12 @@ def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> It
         hashes = np.concatenate((_then(hashes[: total - k], block.hashes[k:]), np.zeros(k, U)))
 
 
-def _counts(texts: DataFrame, now: Filter | None = None, before: Filter | None = None) -> DataFrame:
-    """``lang, phrase, k, n`` of what a pass counts."""
-    shared = texts.sparkSession.sparkContext.broadcast((now, before))
+def _counts(texts: DataFrame, now: Broadcast | None = None, before: Broadcast | None = None) -> DataFrame:
+    """``lang, phrase, k, n`` of what a pass counts. Each filter is broadcast once, whatever the number of passes that use it."""
+    filters = (now, before)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = shared.value
+        now, before = (f and f.value for f in filters)
         held, size = [], 0
         for batch in W.slices(batches, "text"):
             held.append(batch)
@@ -218,13 +226,13 @@ def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     sample = texts.filter(F.pmod("h", F.lit(one_in)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
     looks = F.col("n") >= max(2, least // (2 * one_in))
-    now, before = _filter_of(_counts(sample).filter(looks & (F.col("k") < LONGEST))), None
-    passes = []
+    send = docs.sparkSession.sparkContext.broadcast
+    held = _filter_of(_counts(sample).filter(looks & (F.col("k") < LONGEST)))
+    now, before, passes = send(held), None, []
     while True:
         passes.append(materialize(_counts(texts, now, before).filter(F.col("n") >= least), "phrases"))
-        shared = docs.sparkSession.sparkContext.broadcast(now)
 
-        def missed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def missed(batches: Iterator[pa.RecordBatch], shared=now) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 outside = ~shared.value.holds(_phrase_hash(batch.column("lang"), batch.column("phrase")))
                 yield batch.filter(pa.array(outside))
@@ -232,7 +240,8 @@ def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
         misses = passes[-1].filter(F.col("k") < LONGEST).select("lang", "phrase").mapInArrow(missed, "lang string, phrase string")
         if misses.isEmpty():
             break
-        now, before = _filter_of(misses, now), now
+        held = _filter_of(misses, held)
+        now, before = send(held), now
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
