@@ -32,7 +32,7 @@ PIECE_ENDS[[*ENDS]] = True
 GAP = np.zeros(256, bool)  # between the words of a phrase
 GAP[0x20] = True
 LONGEST = 4
-BLOCK = 1 << 24  # bytes of text whose phrases are counted together in a task
+BLOCK = 1 << 22  # bytes of text whose phrases are counted together in a task
 FILTER_BITS = 27  # 2**27 bits are 16 MB
 _CHUNK_WORDS = 1024
 _COUNTED = "lang string, phrase string, k int, n long"
