@@ -219,13 +219,13 @@ def _totals(texts: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     """Every phrase of 1 to 4 words that occurs ``least`` times or more in its language: lang, phrase, k (words), n (times).
 
-    A quarter of the documents (``one_in``), picked by a hash of id and text, is the sample; its threshold is half of what the share would give, two at least. Sample and
+    A quarter of the documents (``one_in``), picked by a hash of id and text, is the sample; its threshold is two thirds of what the share would give, two at least. Sample and
     threshold only decide how many passes follow. A null text is empty, a null language is ``und``; repeated rows count as often as they occur.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"))
     sample = texts.filter(F.pmod("h", F.lit(one_in)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
-    looks = F.col("n") >= max(2, least // (2 * one_in))
+    looks = F.col("n") >= max(2, 2 * least // (3 * one_in))
     send = docs.sparkSession.sparkContext.broadcast
     held = _filter_of(_counts(sample).filter(looks & (F.col("k") < LONGEST)))
     now, before, passes = send(held), None, []
