@@ -32,7 +32,7 @@ PIECE_ENDS[[*ENDS]] = True
 GAP = np.zeros(256, bool)  # between the words of a phrase
 GAP[0x20] = True
 LONGEST = 4
-BLOCK = 1 << 22  # bytes of text whose phrases are counted together in a task
+BLOCK = 1 << 21  # bytes of text whose phrases are counted together in a task
 FILTER_BITS = 27  # 2**27 bits are 16 MB
 _CHUNK_WORDS = 1024
 _COUNTED = "lang string, phrase string, k int, n long"
@@ -219,16 +219,20 @@ def _totals(texts: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     """Every phrase of 1 to 4 words that occurs ``least`` times or more in its language: lang, phrase, k (words), n (times).
 
-    A quarter of the documents (``one_in``), picked by a hash of id and text, is the sample; its threshold is two thirds of what the share would give, two at least. Sample and
+    An eighth of the documents (``one_in``), picked by a hash of id and text, is the sample, mined level by level with four fifths of the share as its threshold (two at least). Sample and
     threshold only decide how many passes follow. A null text is empty, a null language is ``und``; repeated rows count as often as they occur.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"))
     sample = texts.filter(F.pmod("h", F.lit(one_in)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
-    looks = F.col("n") >= max(2, 2 * least // (3 * one_in))
+    looks = F.col("n") >= max(2, 4 * least // (5 * one_in))
     send = docs.sparkSession.sparkContext.broadcast
-    held = _filter_of(_counts(sample).filter(looks & (F.col("k") < LONGEST)))
-    now, before, passes = send(held), None, []
+    held = Filter(np.zeros(1 << (FILTER_BITS - 6), U))
+    now, before = send(held), None
+    for k in range(1, LONGEST):  # an empty filter lets in words alone, one with words pairs and so on
+        held = _filter_of(_counts(sample, now, before).filter(looks & (F.col("k") == k)), held)
+        now, before = send(held), now
+    before, passes = None, []
     while True:
         passes.append(materialize(_counts(texts, now, before).filter(F.col("n") >= least), "phrases"))
 
