@@ -33,9 +33,9 @@ GAP = np.zeros(256, bool)  # between the words of a phrase
 GAP[0x20] = True
 LONGEST = 4
 BLOCK = 1 << 21  # bytes of text whose phrases are counted together in a task
-FILTER_BITS = 27  # 2**27 bits are 16 MB
+FILTER_BITS = 26  # 2**26 bits are 8 MB
 _CHUNK_WORDS = 1024
-_COUNTED = "lang string, phrase string, k int, n long"
+_COUNTED = "key string, n long"  # language, line end, phrase: one short key keeps the rows of a shuffle small
 
 
 def _then(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ class Filter:
 
 
 def _filter_of(phrases: DataFrame, base: Filter | None = None) -> Filter:
-    """The filter of ``base`` and the rows ``lang, phrase``. Spark merges the bits; the driver gets 16 MB at most."""
+    """The filter of ``base`` and the rows ``lang, phrase``. Spark merges the bits; the driver gets 8 MB at most."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +110,6 @@ def _codes(values: pa.Array) -> np.ndarray:
     return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _rows(langs: pa.Array, phrases: pa.Array, k: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    made = pa.record_batch([langs, phrases, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
-    for at in range(0, made.num_rows, 1 << 16):
-        yield made.slice(at, 1 << 16)
-
-
 @dataclass
 class _Block:
     """Words of several texts: bytes and hash of each, its piece and text; ``langs`` has the language of each text."""
@@ -172,7 +166,11 @@ def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> It
             example = example[seen]
             parts = [block.spelled.take(pa.array(example + j)) for j in range(k)]
             phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
-            yield from _rows(block.langs.take(pa.array(block.owner[example])), phrases.cast(pa.large_string()).cast(pa.string()), k, n[seen])
+            langs = block.langs.take(pa.array(block.owner[example])).cast(pa.large_binary())
+            keys = pc.binary_join_element_wise(langs, phrases, pa.scalar(b"\n", pa.large_binary()))
+            made = pa.record_batch([keys.cast(pa.large_string()).cast(pa.string()), pa.array(n[seen].astype(np.int64))], ["key", "n"])
+            for at in range(0, made.num_rows, 1 << 15):
+                yield made.slice(at, 1 << 15)
         if k == LONGEST or total <= k:
             return
         # a longer phrase is let in where both runs one word shorter are let in and lie in the filter
@@ -190,8 +188,8 @@ def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> It
         hashes = np.concatenate((_then(hashes[: total - k], block.hashes[k:]), np.zeros(k, U)))
 
 
-def _counts(texts: DataFrame, now: Broadcast | None = None, before: Broadcast | None = None) -> DataFrame:
-    """``lang, phrase, k, n`` of what a pass counts. Each filter is broadcast once, whatever the number of passes that use it."""
+def _counts(texts: DataFrame, least: int, now: Broadcast | None = None, before: Broadcast | None = None) -> DataFrame:
+    """``lang, phrase, k, n`` of what a pass counts ``least`` times or more. Each filter is broadcast once, whatever the number of passes that use it."""
     filters = (now, before)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +204,10 @@ def _counts(texts: DataFrame, now: Broadcast | None = None, before: Broadcast |
         if held:
             yield from _count_block(_block_of(held), now, before)
 
-    return texts.mapInArrow(count, _COUNTED).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, _COUNTED).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("left(key, length(key) - length(phrase) - 1)")
+    return found.withColumn("phrase", phrase).select(lang.alias("lang"), "phrase", F.size(F.split("phrase", " ")).alias("k"), "n")
 
 
 def _totals(texts: DataFrame) -> DataFrame:
@@ -225,16 +226,16 @@ def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"))
     sample = texts.filter(F.pmod("h", F.lit(one_in)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
-    looks = F.col("n") >= max(2, 4 * least // (5 * one_in))
+    looks = max(2, 4 * least // (5 * one_in))
     send = docs.sparkSession.sparkContext.broadcast
     held = Filter(np.zeros(1 << (FILTER_BITS - 6), U))
     now, before = send(held), None
     for k in range(1, LONGEST):  # an empty filter lets in words alone, one with words pairs and so on
-        held = _filter_of(_counts(sample, now, before).filter(looks & (F.col("k") == k)), held)
+        held = _filter_of(_counts(sample, looks, now, before).filter(F.col("k") == k), held)
         now, before = send(held), now
     before, passes = None, []
     while True:
-        passes.append(materialize(_counts(texts, now, before).filter(F.col("n") >= least), "phrases"))
+        passes.append(materialize(_counts(texts, least, now, before), "phrases"))
 
         def missed(batches: Iterator[pa.RecordBatch], shared=now) -> Iterator[pa.RecordBatch]:
             for batch in batches:
