@@ -84,12 +84,13 @@ class Filter:
         return out
 
 
-def _filter_of(phrases: DataFrame, base: Filter | None = None) -> Filter:
-    """The filter of ``base`` and the rows ``lang, phrase``. Spark merges the bits; the driver gets 8 MB at most."""
+def _grown(phrases: DataFrame, held: Filter, shared: Broadcast) -> Filter | None:
+    """``held`` (broadcast as ``shared``) and the rows ``lang, phrase`` it lacks; None if it lacks none. Spark merges the bits; the driver gets 8 MB at most."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.concatenate(Filter.probes(_phrase_hash(batch.column("lang"), batch.column("phrase"))))
+            hashes = _phrase_hash(batch.column("lang"), batch.column("phrase"))
+            places = np.concatenate(Filter.probes(hashes[~shared.value.holds(hashes)]))
             yield pa.record_batch([pa.array((places >> U(6)).astype(np.int64)), pa.array((U(1) << (places & U(63))).view(np.int64))], ["word", "bits"])
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
@@ -98,11 +99,11 @@ def _filter_of(phrases: DataFrame, base: Filter | None = None) -> Filter:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([values.tobytes()], pa.binary())})
 
     merged = phrases.select("lang", "phrase").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), U) if base is None else base.words.copy()
     packed = merged.groupBy(F.floor(F.col("word") / _CHUNK_WORDS).alias("chunk")).applyInArrow(pack, "chunk long, packed binary").toArrow()
+    out = held.words.copy()
     for chunk, values in zip(packed["chunk"].to_pylist(), packed["packed"].to_pylist()):
         out[chunk * _CHUNK_WORDS : (chunk + 1) * _CHUNK_WORDS] |= np.frombuffer(values, U)
-    return Filter(out)
+    return Filter(out) if packed.num_rows else None
 
 
 def _codes(values: pa.Array) -> np.ndarray:
@@ -231,22 +232,17 @@ def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     held = Filter(np.zeros(1 << (FILTER_BITS - 6), U))
     now, before = send(held), None
     for k in range(1, LONGEST):  # an empty filter lets in words alone, one with words pairs and so on
-        held = _filter_of(_counts(sample, looks, now, before).filter(F.col("k") == k), held)
-        now, before = send(held), now
+        grown = _grown(_counts(sample, looks, now, before).filter(F.col("k") == k), held, now)
+        if grown is None:
+            break
+        held, now, before = grown, send(grown), now
     before, passes = None, []
     while True:
         passes.append(materialize(_counts(texts, least, now, before), "phrases"))
-
-        def missed(batches: Iterator[pa.RecordBatch], shared=now) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                outside = ~shared.value.holds(_phrase_hash(batch.column("lang"), batch.column("phrase")))
-                yield batch.filter(pa.array(outside))
-
-        misses = passes[-1].filter(F.col("k") < LONGEST).select("lang", "phrase").mapInArrow(missed, "lang string, phrase string")
-        if misses.isEmpty():
+        grown = _grown(passes[-1].filter(F.col("k") < LONGEST), held, now)
+        if grown is None:
             break
-        held = _filter_of(misses, held)
-        now, before = send(held), now
+        held, now, before = grown, send(grown), now
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
