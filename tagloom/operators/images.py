@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import file_name_of, is_blank, literal_map
+from tagloom.operators.repeats import suppress_repeats  # noqa: F401  one of the error operators
 
 # --- list ------------------------------------------------------------------------------------------------------
 
@@ -196,103 +195,6 @@ def error_summary(errors: DataFrame) -> DataFrame:
 
 # --- repeated messages -----------------------------------------------------------------------------------------
 
-_STEP = "key {k}, bucket long, n_rows long, upto array<long>, exit_ts array<long>, exit_row array<long>"
-
-
-def _emit_path(ts: np.ndarray, window: int) -> np.ndarray:
-    """Index of the next emitted row for every row, ``len(ts)`` if there is none."""
-    return np.searchsorted(ts, ts + window, side="left")
-
-
-def _bucket_steps(window: int, length: int):
-    """Summary of one (key, bucket): where a walk entering the bucket leaves it.
-
-    The row a walk enters at depends on the last emission before the bucket; entries that leave at
-    the same row are merged into one step, and later entries never leave earlier.
-    """
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        ts, n = pdf["ts"].to_numpy("int64"), pdf["n"].to_numpy("int64")
-        before = np.concatenate([[0], np.cumsum(n)])
-        leave = _emit_path(ts, window)
-        last = np.arange(len(ts))
-        jump = leave.copy()
-        while (jump < len(ts)).any():  # pointer doubling along the emission path
-            inside = jump < len(ts)
-            last[inside] = last[jump[inside]]
-            nxt = jump.copy()
-            nxt[inside] = jump[jump[inside]]
-            jump = nxt
-        start = int(pdf["bucket"].iloc[0]) * length
-        entries = min(int(np.searchsorted(ts, start + window, side="left")) + 1, len(ts))
-        exits = last[:entries]
-        ends = np.flatnonzero(np.append(np.diff(exits) != 0, True))
-        return pd.DataFrame({
-            "key": [pdf["key"].iloc[0]], "bucket": [int(pdf["bucket"].iloc[0])], "n_rows": [int(before[-1])],
-            "upto": [ts[ends]], "exit_ts": [ts[exits[ends]]], "exit_row": [before[exits[ends]]],
-        })
-
-    return steps
-
-
-def _chain_steps(window: int):
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        last, last_row, rows, out = None, -1, 0, []
-        for bucket, n_rows, upto, exit_ts, exit_row in zip(pdf["bucket"], pdf["n_rows"], pdf["upto"], pdf["exit_ts"], pdf["exit_row"]):
-            out.append((pdf["key"].iloc[0], bucket, last, last_row, rows))
-            at = 0 if last is None else int(np.searchsorted(upto, last + window, side="left"))
-            if at < len(upto):
-                last, last_row = int(exit_ts[at]), rows + int(exit_row[at])
-            rows += int(n_rows)
-        frame = pd.DataFrame(out, columns=["key", "bucket", "last_ts", "last_row", "rows_before"])
-        return frame.astype({"last_ts": "Int64"})
-
-    return chain
-
-
-def _walk_bucket(window: int):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        ts, seq = pdf["ts"].to_numpy("int64"), pdf["first"].to_numpy("int64")
-        before = np.concatenate([[0], np.cumsum(pdf["n"].to_numpy("int64"))]) + int(pdf["rows_before"].iloc[0])
-        leave = _emit_path(ts, window)
-        last, last_row = pdf["last_ts"].iloc[0], int(pdf["last_row"].iloc[0])
-        at, out = 0 if pd.isna(last) else int(np.searchsorted(ts, int(last) + window, side="left")), []
-        while at < len(ts):
-            merged = 0 if last_row < 0 else int(before[at]) - last_row - 1
-            out.append((pdf["key"].iloc[0], int(ts[at]), int(seq[at]), merged))
-            last_row, at = int(before[at]), int(leave[at])
-        return pd.DataFrame(out, columns=["key", "ts", "seq", "merged"])
-
-    return walk
-
-
-def suppress_repeats(events: DataFrame, window_us: int, buckets_of: int = 256) -> DataFrame:
-    """Per key: emit a row, swallow those within the window since the last *emitted* one, count them.
-
-    ``events(key, ts, seq)`` with ``ts`` in microseconds. What is emitted depends on all earlier rows
-    of the key, yet no key is walked in one task: time is cut into buckets of ``buckets_of`` windows,
-    each bucket is summarized in parallel, only the summaries (bounded by time, not by rows) are
-    chained per key, and the buckets are walked in parallel from their known start. Rows with equal
-    time collapse before the first shuffle. Output: ``key, ts, seq, merged``.
-    """
-    length = window_us * buckets_of
-    times = events.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"), F.min("seq").cast("long").alias("first"))
-    times = times.withColumn("bucket", F.floor(F.col("ts") / F.lit(length)).cast("long"))
-    key_type = events.schema["key"].dataType.simpleString()
-    steps = times.select("key", "bucket", "ts", "n").groupBy("key", "bucket").applyInPandas(
-        _bucket_steps(window_us, length), _STEP.format(k=key_type)
-    )
-    starts = steps.groupBy("key").applyInPandas(
-        _chain_steps(window_us), f"key {key_type}, bucket long, last_ts long, last_row long, rows_before long"
-    )
-    return times.join(starts, ["key", "bucket"]).groupBy("key", "bucket").applyInPandas(
-        _walk_bucket(window_us), f"key {key_type}, ts long, seq long, merged long"
-    )
-
-
 def merged_message(message: Column, merged: Column) -> Column:
     return F.when(merged > 0, F.format_string(fixed.MERGED_REPEATS, message, merged.cast("string"))).otherwise(message)
 

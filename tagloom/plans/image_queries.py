@@ -188,7 +188,7 @@ SELECT key, ts, seq, coalesce(rn - lag(rn) OVER (PARTITION BY key ORDER BY ts) -
 
 @query("errors_suppress_repeats", SUPPRESS)
 def suppress(spark, sf):
-    return I.suppress_repeats(log_events(spark, sf), HOUR, buckets_of=24)
+    return I.suppress_repeats(log_events(spark, sf), HOUR)
 
 
 @query("errors_merged_message", SUPPRESS.replace("SELECT key, ts, seq, coalesce", ", out AS (SELECT key, ts, seq, coalesce") + """)

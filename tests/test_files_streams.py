@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import streaming as R
-from tagloom.operators import images as I, tensors as T
+from tagloom.operators import images as I, repeats, tensors as T
 from tagloom.operators.catalog import check_manifest
 from tagloom.session import shared_dir
 from tagloom.sources import images as files, packs, sinks
@@ -188,15 +188,54 @@ def naive_suppress(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,span,buckets", [(1, 2000, 2), (2, 300, 4), (3, 50000, 3)])
-def test_suppression_against_brute_force(spark, seed, span, buckets):
+def naive_suppress_any(rows, window):
+    named = naive_suppress([("" if k is None else k, t, s) for k, t, s in rows], window)
+    return [(k or None, *rest) for k, *rest in named]
+
+
+@pytest.mark.parametrize("seed,span,run_rows", [(1, 2000, 2), (2, 300, 4), (3, 50000, 3), (4, 2000, 10_000)])
+def test_suppression_against_brute_force(spark, seed, span, run_rows):
     rng = np.random.default_rng(seed)
     rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.choice(3, 1500, p=[0.8, 0.1, 0.1]), rng.integers(0, span, 1500)))]
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["key", "ts", "seq"]))
-    got = sorted(tuple(r) for r in I.suppress_repeats(df, 37, buckets).collect())
+    got = sorted(tuple(r) for r in I.suppress_repeats(df, 37, run_rows).collect())
     assert got == naive_suppress(rows, 37)
 
 
+def test_a_hot_key_is_cut_into_bounded_runs(spark):
+    """Nine tenths of the rows are one key, and a window of a microsecond lets every time out."""
+    rows = [("hot" if i % 10 else None, i * 3 // 2, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key string, ts long, seq long")
+    times = df.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    sizes = repeats.runs_of(times, 50).groupBy("key", "node").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50 and sizes.filter("key = 'hot'").count() >= 72
+    for window in (1, 40, 100_000):
+        got = sorted((tuple(r) for r in I.suppress_repeats(df, window, 50).collect()), key=repr)
+        assert got == sorted(naive_suppress_any(rows, window), key=repr)
+    assert I.suppress_repeats(df.limit(0), 5).count() == 0
+
+
+def test_steps_compose_in_any_order():
+    rng = np.random.default_rng(11)
+    for window in (1, 7, 60):
+        ts = np.unique(rng.integers(0, 400, 150))
+        n = rng.integers(1, 4, len(ts))
+        cuts = [0, 13, 20, 55, 90, len(ts)]
+        parts = [repeats.steps_of(ts[a:b], n[a:b], window) for a, b in zip(cuts, cuts[1:])]
+        left, right = parts[0], parts[-1]
+        for part in parts[1:]:
+            left = repeats.compose(left, part, window)
+        for part in reversed(parts[:-1]):
+            right = repeats.compose(part, right, window)
+        whole = repeats.steps_of(ts, n, window)
+        for due in (None, *range(int(ts[0]) - 3, int(ts[0]) + window)):
+            results = []
+            for s in (left, right, whole):
+                at = s.step(due)
+                results.append((s.exit_ts[at], s.exit_row[at]) if at < len(s.upto) else None)
+            assert results[0] == results[1] == results[2]
+
+
 def test_streams_over_several_batches(spark, tmp_path):
     """Three files, one per micro-batch; state must carry over."""
     rng = np.random.default_rng(5)
