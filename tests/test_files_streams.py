@@ -251,11 +251,6 @@ def test_streams_over_several_batches(spark, tmp_path):
     R.run_available(R.stream_suppress(stream, 5_000_000, "10 minutes"), out, str(tmp_path / "cp"))
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == naive_suppress(rows, 5_000_000)
-    latest = stream.select(F.col("key").alias("image_id"), F.col("seq").alias("version"), F.col("ts").alias("result"))
-    R.run_available(R.stream_latest(latest), str(tmp_path / "latest"), str(tmp_path / "cp2"), "update")
-    newest = I.latest_results(spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "latest")))
-    want = {k: max((r[2], r[1]) for r in rows if r[0] == k) for k in "ab"}
-    assert {r["image_id"]: (r["version"], r["result"]) for r in newest.collect()} == want
 
 
 def test_stream_import(spark, folder, tmp_path):
