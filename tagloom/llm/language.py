@@ -34,7 +34,8 @@ BLOCK = 1 << 22
 def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For each byte its context and itself in one number, the byte in the lowest bits."""
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = data.astype(np.int64)
+    data = data.astype(np.int64)  # START does not fit into a byte
+    out = data.copy()
     for j in range(1, order + 1):
         before = np.full(len(data), START, np.int64)
         before[j:] = np.where(place[j:] >= j, data[:-j], START)
