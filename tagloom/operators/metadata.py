@@ -8,10 +8,9 @@ before the shuffle and never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
@@ -20,6 +19,7 @@ from tagloom.functions import (
     marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, read_json, size_text, split_top_level, suffix_key,
     tag_of_key, trim_unicode, utf16_length,
 )
+from tagloom.operators.budget import greedy_budget, over_budget  # noqa: F401
 from tagloom.session import materialize, unnest
 
 REST = 2**31 - 1
@@ -630,42 +630,6 @@ def truncate_fields(rows: DataFrame, units: int | None = None, column: str = "va
     return flagged.withColumn(column, left_utf16(F.col(column), units))
 
 
-def _walk_budget(limit: int):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, kept = None, 0
-        for batch in batches:
-            dropped = []
-            for at, (image_id, size) in enumerate(zip(batch["image_id"], batch["size"])):
-                if image_id != image:
-                    image, kept = image_id, 0
-                if kept + size > limit:
-                    dropped.append(at)
-                else:
-                    kept += size
-            yield batch.iloc[dropped][["image_id", "key"]]
-
-    return walk
-
-
-def over_budget(entries: DataFrame, limit: int) -> DataFrame:
-    """``image_id, key`` of the entries to drop: keys in order, an entry that would overflow is skipped.
-
-    Only images whose total exceeds the limit take part, found by a sum with a partial step. Their
-    (key, length) pairs are sorted per image and walked as a stream with one number of state, so the
-    texts are not moved and no image is gathered in memory.
-    """
-    sizes = entries.select("image_id", "key", F.coalesce(utf16_length(F.col("value")), F.lit(0)).cast("long").alias("size"))
-    heavy = sizes.groupBy("image_id").agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select("image_id")
-    walked = sizes.join(heavy, "image_id", "left_semi").repartition("image_id").sortWithinPartitions("image_id", "key")
-    image_type = entries.schema["image_id"].dataType.simpleString()
-    return walked.mapInPandas(_walk_budget(limit), f"image_id {image_type}, key string")
-
-
-def greedy_budget(entries: DataFrame, limit: int) -> DataFrame:
-    """The entries that stay within the budget."""
-    return entries.join(over_budget(entries, limit), ["image_id", "key"], "left_anti")
-
-
 @dataclass(frozen=True)
 class GenerationInfo:
     """Merged metadata of all images as five tables."""

@@ -248,6 +248,20 @@ def budget(spark, sf):
     return M.greedy_budget(rows, 900).select("image_id", "key")
 
 
+@query("meta_greedy_budget_hot", """
+WITH RECURSIVE e AS (SELECT event_type AS image_id, event_id, length(props) + event_id % 50 * (event_id % 7) AS size,
+    row_number() OVER (PARTITION BY event_type ORDER BY lpad(event_id::VARCHAR, 12, '0')) AS rn FROM events),
+walk AS (SELECT image_id, 0::BIGINT AS rn, 0::BIGINT AS kept, NULL::BIGINT AS event_id, false AS ok FROM (SELECT DISTINCT image_id FROM e)
+  UNION ALL SELECT w.image_id, e.rn, CASE WHEN w.kept + e.size <= 30000 THEN w.kept + e.size ELSE w.kept END, e.event_id, w.kept + e.size <= 30000 FROM walk w JOIN e ON e.image_id = w.image_id AND e.rn = w.rn + 1)
+SELECT image_id, lpad(event_id::VARCHAR, 12, '0') AS key FROM walk WHERE ok""")
+def hot_budget(spark, sf):
+    """All events as entries of five images, so that each spreads over many blocks; 30,000 characters fit."""
+    e = B.table(spark, sf, "events")
+    value = F.concat("props", F.repeat(F.lit("x"), (F.col("event_id") % 50 * (F.col("event_id") % 7)).cast("int")))
+    rows = e.select(F.col("event_type").alias("image_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("key"), value.alias("value"))
+    return M.greedy_budget(rows, 30_000, block=256).select("image_id", "key")
+
+
 @query("meta_limits", f"WITH {META}" + f"""
 , t AS (SELECT k AS image_id, {TEXT} AS text, p_name FROM m)
 SELECT image_id, 'Png/parameters' AS key, left(text, 60) AS value, CASE WHEN length(text) > 60 THEN '字段“Png/parameters”超过60，已截断展示。' END AS warning FROM t""")

@@ -4,12 +4,13 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom import fixed
 from tagloom.functions import limit_text
-from tagloom.operators import metadata as M
+from tagloom.operators import budget, metadata as M
 from tagloom.sources import entries as E
 
 rng = random.Random(20)
@@ -222,6 +223,42 @@ def test_budget_matches_a_plain_walk(spark, limit):
     assert {(r["image_id"], r["key"]) for r in M.greedy_budget(df, limit).collect()} == want
 
 
+@pytest.mark.parametrize("limit", [0, 1, 97, 1000, 4096])
+def test_budget_of_many_blocks_matches_a_plain_walk(spark, limit):
+    sizes = {(i, f"k{n:04d}"): rng.choice([1, 2, 3, 40, 41, 500, 900, 5000]) if i else 7 for i in range(3) for n in range(400)}
+    rows = [(i, k, "y" * n, "own") for (i, k), n in sizes.items()] + [(0, "z", None, ""), (1, "z", "", ""), (None, "k", "y" * 9000, ""), (2, None, "y" * 9000, "")]
+    df = spark.createDataFrame(rows, "image_id long, key string, value string, node string")
+    want = {(0, "z"), (1, "z"), (None, "k"), (2, None)}
+    for i in range(3):
+        left = limit
+        for key in sorted(k for j, k in sizes if j == i):
+            if sizes[i, key] <= left:
+                left -= sizes[i, key]
+                want.add((i, key))
+    kept = M.greedy_budget(df, limit, block=16)
+    assert kept.columns == ["image_id", "key", "value", "node"] and {(r["image_id"], r["key"]) for r in kept.collect()} == want
+
+
+def test_budget_steps_add_up():
+    for _ in range(500):
+        sizes = np.array([rng.randrange(1, rng.choice([3, 50, 300])) for _ in range(rng.randrange(1, 50))], np.int64)
+        left = before = rng.randrange(400)
+        want = []
+        for size in sizes.tolist():
+            want.append(size <= left)
+            left -= size * want[-1]
+        taken, after = budget.spend(sizes, before)
+        assert taken.tolist() == want and after == left
+        level = before.bit_length()
+        sums, least = budget.summarize(sizes, 9)
+        if level and before - sums[level] >= 1 << (level - 1) and least[level] > before:  # the block keeps the bit length
+            assert after == before - sums[level] and taken.tolist() == [s.bit_length() < level for s in sizes.tolist()]
+
+
+def test_budget_of_an_empty_table(spark):
+    assert M.over_budget(spark.createDataFrame([], "image_id string, key string, value string"), 5).count() == 0
+
+
 def test_keys_never_collide(spark):
     cases = [["a", "a #2", "a"], ["a", "a", "a #2", "a", "a #3", "a #5", "a"], ["b #2", "b #2", "b", "b"], ["c #3", "c", "c", "c"], ["d"] * 4]
     rows = [(i, at, key, f"{i}-{at}") for i, keys in enumerate(cases) for at, key in enumerate(keys)]
