@@ -1,6 +1,6 @@
 """Catalog, pack and source queries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tagloom.operators import catalog as C
 from tagloom.plans import bindings as B
@@ -129,10 +129,66 @@ def fingerprint(spark, sf):
 def catalog_file(spark, sf):
     """The built catalog written as a file and read back."""
     path = shared_dir(spark, "catalog")
-    sinks.write_catalog(build(spark, sf), path)
+    sinks.write_catalog_files(build(spark, sf), path)
     return packs.read_catalog_file(spark, path)
 
 
+@query("pack_catalog_files_in_order", """SELECT count(*) AS n, true AS several, true AS ordered FROM part""")
+def catalog_files(spark, sf):
+    """The built catalog written as five ranges of ids: the files' own least and greatest ids follow the order of their names."""
+    path = shared_dir(spark, "catalog")
+    sinks.write_catalog_files(build(spark, sf), path, files=5)
+    files = packs.read_catalog_file(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    previous = F.lag("high").over(Window.orderBy("file"))  # one row per file
+    rising = files.select("n", F.coalesce(previous < F.col("low"), F.lit(True)).alias("rising"))
+    return rising.agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("several"), F.every("rising").alias("ordered"))
+
+
+def _written_pack(spark, sf, broken: bool):
+    """The label catalog as a file and a manifest that declares its groups and count; a broken pack has spoiled rows and a wrong count."""
+    catalog = B.catalog64(spark, sf)
+    rows = catalog.select(F.col("tag_index").alias("id"), "name", "group", F.coalesce("translation", F.lit("")).alias("translation"), F.lit(1).cast("long").alias("count"))
+    if broken:
+        i = F.col("id")
+        rows = rows.withColumns({
+            "name": F.when(i % 16 == 3, "").when(i % 16 == 5, "same").otherwise(F.col("name")), "group": F.when(i % 8 == 1, F.concat(F.lit("new"), (i % 3).cast("string"))).otherwise(F.col("group")),
+        })
+    group = F.struct(F.col("group").alias("id"), F.upper("group").alias("name"), F.initcap("group").alias("displayName"), F.when(F.col("group") == "rating", "rating").alias("strategy"))
+    ordered = F.sort_array(F.collect_set(F.struct((F.col("group") != "rating").alias("late"), group.alias("g"))))  # five groups
+    manifest = catalog.agg(ordered.alias("groups"), F.count(F.lit(1)).cast("int").alias("n")).select(
+        F.lit(1).alias("schemaVersion"), F.lit("pack-1").alias("id"), F.lit("multi-label-image-tagging").alias("task"), F.lit(1.5 if broken else 0.5).alias("defaultThreshold"),
+        F.transform("groups", lambda g: g["g"]).alias("groups"), F.struct(F.lit("Sigmoid").alias("activation"), (F.col("n") + int(broken)).alias("labelCount")).alias("output"),
+    )
+    where = shared_dir(spark, "pack")
+    sinks.write_catalog(rows, f"{where}/tags")
+    manifest.coalesce(1).write.json(f"{where}/manifest")
+    return f"{where}/tags", f"{where}/manifest"
+
+
+@query("pack_checked_catalog", with_(CATALOG) + """
+, g AS (SELECT id, row_number() OVER (ORDER BY id <> 'rating', id) - 1 AS pos FROM (SELECT DISTINCT grp AS id FROM catalog))
+SELECT c.tag_index, c.name, nullif(nullif(c.translation, ''), c.name) AS translation, c.grp AS "group", CAST(g.pos AS INTEGER) AS pos, upper(g.id) AS group_name,
+       CASE WHEN g.id = 'rating' THEN 'rating' ELSE 'threshold' END AS strategy FROM catalog c JOIN g ON g.id = c.grp""")
+def checked_pack(spark, sf):
+    """Catalog and manifest written, read back as one checked pack; every label with its declared group."""
+    catalog, groups = packs.read_pack(spark, *_written_pack(spark, sf, broken=False))
+    own = groups.select(F.col("id").alias("group"), "pos", F.col("name").alias("group_name"), "strategy")
+    return catalog.join(own, "group").select("tag_index", "name", "translation", "group", "pos", "group_name", "strategy")
+
+
+@query("pack_problems", with_(CATALOG) + """
+, t AS (SELECT tag_index, CASE WHEN tag_index % 16 = 3 THEN '' WHEN tag_index % 16 = 5 THEN 'same' ELSE name END AS name,
+        CASE WHEN tag_index % 8 = 1 THEN 'new' || tag_index % 3 ELSE grp END AS grp FROM catalog)
+SELECT 'manifest' AS file, 'default_threshold' AS "check", 'pack-1' AS subject, '1.5' AS detail
+UNION ALL SELECT 'catalog', 'label_count', (count(*) + 1)::VARCHAR, count(*)::VARCHAR FROM t
+UNION ALL SELECT 'catalog', 'duplicate_name', name, count(*)::VARCHAR FROM t GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'catalog', 'unknown_group', grp, min(tag_index)::VARCHAR FROM t WHERE grp LIKE 'new%' GROUP BY grp
+UNION ALL SELECT 'catalog', 'empty_name', tag_index::VARCHAR, '' FROM t WHERE name = ''""")
+def broken_pack(spark, sf):
+    """A pack with nameless, repeated and ungrouped labels, a wrong label count and a threshold out of range."""
+    return packs.pack_problems(spark, *_written_pack(spark, sf, broken=True))
+
+
 @query("pack_source_tags_file", with_(SOURCE_TAGS) + "SELECT tag_id, name, category, cnt AS count FROM source_tags")
 def source_tags_file(spark, sf):
     path = shared_dir(spark, "source-tags")

@@ -6,6 +6,7 @@ from tagloom.operators import images as I, tensors as T
 from tagloom.plans import bindings as B
 from tagloom.plans.registry import query
 from tagloom.plans.sqltext import CATALOG, EMB, IMAGES, LISTING, OVERRIDES, SCORES, SCORES_BAD, with_
+from tagloom.session import shared_dir
 from tagloom.sources import sinks
 
 IMG = with_(IMAGES)
@@ -221,10 +222,10 @@ RESULTS = with_(IMAGES, EMB, SCORES, SCORES_BAD, CATALOG, CHOSEN)
 @query("results_images", RESULTS + """
 SELECT i.path, replace(state, '_', '') AS status, CAST(count(c.tag_index) AS INTEGER) AS tag_count,
        coalesce(string_agg(c.name, ', ' ORDER BY c.probability DESC, c.tag_index), '') AS prompt, 0.6::DOUBLE AS threshold, 'fp1' AS fingerprint,
-       last_error AS error FROM images i LEFT JOIN chosen c USING (image_id) GROUP BY i.path, state, last_error""")
+       last_error AS error, last_error IS NULL AS fine FROM images i LEFT JOIN chosen c USING (image_id) GROUP BY i.path, state, last_error""")
 def image_results(spark, sf):
     r = sinks.image_results(result_images(spark, sf), B.catalog64(spark, sf), B.THRESHOLD, "m", "fp1")
-    return r.select("path", "status", "tag_count", "prompt", "threshold", F.col("model.fingerprint").alias("fingerprint"), F.col("error.message").alias("error"))
+    return r.select("path", "status", "tag_count", "prompt", "threshold", F.col("model.fingerprint").alias("fingerprint"), F.col("error.message").alias("error"), F.col("error").isNull().alias("fine"))
 
 
 @query("results_image_tags", RESULTS + """
@@ -251,6 +252,22 @@ def union_results(spark, sf):
     return r.select("path", "status", F.col("error.code").alias("code"), "section")
 
 
+@query("results_written", RESULTS + """
+SELECT i.path, 'image_result' AS type, replace(state, '_', '') AS status, count(c.tag_index) AS tag_count, last_error AS message, last_error IS NULL AS fine
+FROM images i LEFT JOIN chosen c USING (image_id) GROUP BY i.path, state, last_error
+UNION ALL SELECT url, 'image_result', 'failed', NULL, 'text', false FROM pages""")
+def written_results(spark, sf):
+    """Records of images and failures written as JSON lines and read back; a good image has the error null."""
+    ok = sinks.image_results(result_images(spark, sf), B.catalog64(spark, sf), B.THRESHOLD, "m", "fp1")
+    failures = B.table(spark, sf, "pages").select(
+        F.col("url").alias("path"), F.col("url").alias("file_name"), F.lit("corrupt_image").alias("kind"), F.lit("text").alias("message")
+    )
+    path = shared_dir(spark, "results")
+    sinks.write_results(sinks.union_results(ok, sinks.failure_results(failures)), path)
+    lines = spark.read.json(path, schema="path string, type string, status string, tag_count long, error struct<code: string, message: string>")
+    return lines.select("path", "type", "status", "tag_count", F.col("error.message").alias("message"), F.col("error").isNull().alias("fine"))
+
+
 @query("results_prompt_export", with_(IMAGES) + """
 SELECT image_id, coalesce(nullif(regexp_replace(file_name, '\\.[^.]*$', ''), ''), 'prompt') || '.txt' AS txt_name, state AS prompt
 FROM images WHERE image_id % 3 <> 0""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom import fixed, schemas
 from tagloom.functions import is_blank, trim_unicode
-from tagloom.operators.catalog import catalog_of, check_catalog
+from tagloom.operators.catalog import catalog_of, check_catalog, check_manifest
 
 
 def read_catalog_file(spark: SparkSession, path: str) -> DataFrame:
@@ -16,18 +16,47 @@ def read_catalog_file(spark: SparkSession, path: str) -> DataFrame:
     ).fillna("", ["name", "group", "translation"])
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    return catalog_of(rows).withColumn("seq", F.col("tag_index").cast("long"))
+
+
+def _require_none(problems: DataFrame, what: str) -> None:
+    # one row per kind of check, whatever the number of problems
+    found = problems.groupBy("check").agg(F.count("*").alias("n"), F.min(F.struct("subject", "detail")).alias("first")).orderBy("check").collect()
+    if found:
+        raise ValueError(f"{what} is invalid: " + "; ".join(f"{p['check']} ({p['n']}): {p['first']['subject']} {p['first']['detail']}" for p in found))
+
+
 def read_catalog(spark: SparkSession, path: str, groups: DataFrame, label_count: int) -> DataFrame:
     """The checked catalog; any problem found by ``check_catalog`` is an error."""
-    rows = read_catalog_file(spark, path)
-    catalog = catalog_of(rows).withColumn("seq", F.col("tag_index").cast("long"))
-    # one row per kind of check, whatever the number of problems
-    found = check_catalog(catalog, groups, label_count).groupBy("check").agg(F.count("*").alias("n"), F.min(F.struct("subject", "detail")).alias("first"))
-    problems = found.orderBy("check").collect()
-    if problems:
-        raise ValueError("catalog is invalid: " + "; ".join(f"{p['check']} ({p['n']}): {p['first']['subject']} {p['first']['detail']}" for p in problems))
+    catalog = _in_file_order(read_catalog_file(spark, path))
+    _require_none(check_catalog(catalog, groups, label_count), "catalog")
     return catalog.drop("seq")
 
 
+def _label_count(manifest: DataFrame) -> int:
+    """The count a manifest declares, -1 for none; a pack has one manifest."""
+    declared = manifest.select("output.labelCount").head()
+    return -1 if declared is None or declared[0] is None else int(declared[0])
+
+
+def pack_problems(spark: SparkSession, catalog_path: str, manifest_path: str) -> DataFrame:
+    """``file, check, subject, detail``: what is wrong with the manifest, and with the catalog against the groups and the label count the manifest declares.
+
+    No rows mean a good pack. A missing manifest row counts as one without groups and without a label count.
+    """
+    manifest = read_manifest(spark, manifest_path)
+    own = check_manifest(manifest).select(F.lit("manifest").alias("file"), "check", F.col("id").alias("subject"), "detail")
+    catalog = check_catalog(_in_file_order(read_catalog_file(spark, catalog_path)), read_groups(manifest), _label_count(manifest))
+    return own.unionByName(catalog.select(F.lit("catalog").alias("file"), "check", "subject", "detail"))
+
+
+def read_pack(spark: SparkSession, catalog_path: str, manifest_path: str) -> tuple[DataFrame, DataFrame]:
+    """The checked catalog and groups of a pack; any row of ``pack_problems`` is an error."""
+    _require_none(pack_problems(spark, catalog_path, manifest_path), "pack")
+    return catalog_of(read_catalog_file(spark, catalog_path)), read_groups(read_manifest(spark, manifest_path))
+
+
 def read_source_tags(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(
         path, schema=schemas.SOURCE_TAGS, header=True, mode="FAILFAST", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True

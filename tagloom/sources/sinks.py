@@ -8,12 +8,14 @@ from tagloom.functions import file_name_of
 from tagloom.operators.scores import bind, catalog_size, label_vector, positions, require_length
 from tagloom.rules import check_threshold
 
+CATALOG_COLUMNS = ["id", "name", "group", "translation", "count"]
+
 
 def image_results(images: DataFrame, catalog: DataFrame, threshold: float, model_id: str, fingerprint: str) -> DataFrame:
     """One nested record per image with its tags (best first) and their names as prompt.
 
     ``images`` carries the file facts and the prediction columns, ``probabilities`` null without one.
-    Here +Inf passes the threshold and NaN does not.
+    Here +Inf passes the threshold and NaN does not. ``error`` is null for an image without one.
     """
     t, p = check_threshold(threshold), F.col("probabilities")
     df = bind(images, labels=label_vector(catalog, "name", "translation", "group"), n=catalog_size(catalog))
@@ -38,7 +40,7 @@ def image_results(images: DataFrame, catalog: DataFrame, threshold: float, model
         ).alias("model"),
         "tags", F.size("tags").alias("tag_count"),
         F.array_join(F.transform("tags", lambda x: x["name"]), ", ").alias("prompt"), "duration_ms",
-        F.struct(F.lit(None).cast("string").alias("code"), F.col("last_error").alias("message")).alias("error"),
+        F.when(F.col("last_error").isNotNull(), F.struct(F.lit(None).cast("string").alias("code"), F.col("last_error").alias("message"))).alias("error"),
     )
 
 
@@ -61,9 +63,22 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def write_catalog(file_rows: DataFrame, path: str) -> None:
-    """One CSV file in id order. A catalog has as many rows as a score array has elements, so one file holds it."""
-    rows = file_rows.select("id", "name", "group", "translation", "count")
-    rows.orderBy("id").coalesce(1).write.csv(path, header=True, lineSep="\n", emptyValue="", escape='"')
+    """One CSV file in id order: the label catalog of a pack, which has as many rows as a score array has elements."""
+    _write_csv(file_rows.select(*CATALOG_COLUMNS).orderBy("id").coalesce(1), path)
+
+
+def write_catalog_files(file_rows: DataFrame, path: str, files: int | None = None) -> None:
+    """A catalog of any size as CSV files whose names are in id order, each with the header and in id order itself.
+
+    Ids are cut into ranges by a sample of theirs, so no task sorts or writes the whole catalog; rows of one id lie in one file. ``files`` is how many ranges are asked for; by default Spark decides.
+    """
+    rows = file_rows.select(*CATALOG_COLUMNS)
+    placed = rows.repartitionByRange("id") if files is None else rows.repartitionByRange(files, "id")
+    _write_csv(placed.sortWithinPartitions("id", "name", "group", "translation", "count"), path)
+
+
+def _write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.csv(path, header=True, lineSep="\n", emptyValue="", escape='"')
 
 
 def checksum_manifest(files: DataFrame) -> DataFrame:

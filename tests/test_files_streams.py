@@ -73,6 +73,43 @@ def test_failure_kinds(spark, folder):
     assert out == {"broken.png": "unsupported_format", "cut.png": "corrupt_image", "note.txt": "unsupported_format", "gone.png": "not_found", "  ": "not_found"}
 
 
+def test_catalog_files_follow_the_ids(spark, tmp_path):
+    rows = [(n * 7919 % 1000, f"tag, {n}", "general", "" if n % 2 else 'a "b"', n) for n in range(1000)]
+    df = spark.createDataFrame(rows, "id int, name string, group string, translation string, count long")
+    sinks.write_catalog_files(df, str(tmp_path / "many"), files=4)
+    written = sorted((tmp_path / "many").glob("part-*.csv"))
+    ids = []
+    for file in written:
+        head, *lines = file.read_text().splitlines()
+        assert head == "id,name,group,translation,count"
+        ids.append([int(line.split(",")[0]) for line in lines])
+    assert len([i for i in ids if i]) > 1 and sum(ids, []) == list(range(1000))
+    assert sorted(map(tuple, packs.read_catalog_file(spark, str(tmp_path / "many")).collect())) == sorted(rows)
+    sinks.write_catalog_files(df.limit(0), str(tmp_path / "none"))
+    assert packs.read_catalog_file(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pack_is_checked_across_its_files(spark, tmp_path):
+    catalog = spark.createDataFrame([(0, "a", "rating", "A", 1), (1, "b", "general", "b", 1)], "id int, name string, group string, translation string, count long")
+    sinks.write_catalog(catalog, str(tmp_path / "tags"))
+    group = lambda i, strategy: {"id": i, "name": i, "displayName": i, "strategy": strategy}
+
+    def manifest(name, groups, n):
+        body = {"schemaVersion": 1, "id": "p", "task": "multi-label-image-tagging", "defaultThreshold": 0.5, "groups": groups, "output": {"activation": "sigmoid", "labelCount": n}}
+        (tmp_path / name).write_text(json.dumps(body, indent=2))
+        return str(tmp_path / name)
+
+    good = manifest("good.json", [group("rating", "rating"), group("general", None)], 2)
+    found, groups = packs.read_pack(spark, str(tmp_path / "tags"), good)
+    assert sorted((r["tag_index"], r["translation"]) for r in found.collect()) == [(0, "A"), (1, None)]
+    assert [(r["pos"], r["id"], r["strategy"]) for r in groups.orderBy("pos").collect()] == [(0, "rating", "rating"), (1, "general", "threshold")]
+    bad = manifest("bad.json", [group("rating", None)], 3)
+    problems = {tuple(r) for r in packs.pack_problems(spark, str(tmp_path / "tags"), bad).collect()}
+    assert problems == {("catalog", "label_count", "3", "2"), ("catalog", "unknown_group", "general", "1")}
+    with pytest.raises(ValueError, match="label_count .* unknown_group"):
+        packs.read_pack(spark, str(tmp_path / "tags"), bad)
+
+
 def test_decode_and_prepare(spark, folder):
     steps = [
         {"op": "decode", "frame": "first", "colorManagement": "ignore"}, {"op": "ensure-color", "mode": "rgb-or-rgba-if-transparent"},
