@@ -137,6 +137,8 @@ FAILURE_TEXTS = {
     "extension": "不支持该文件扩展名。",
     "container": "不是支持的图片格式。",
     "corrupt": "图片内容已损坏或不完整。",
+    "denied": "没有权限读取该文件。",
+    "io": "读取图片时发生文件错误。",
 }
 
 # Pack rules.

@@ -14,10 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagloom.functions import activate
+from tagloom.functions.containers import exif_orientation
 
 
 def decode_images(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -31,33 +31,6 @@ def decode_images(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return joined.withColumn("orientation", F.coalesce("orientation", F.lit(1)))
 
 
-def exif_orientation(content: Column | str) -> Column:
-    """Orientation tag of image files (JPEG or PNG with an EXIF block, TIFF); 1 where there is none."""
-    @F.arrow_udf("int")
-    def read(files: pa.Array) -> pa.Array:
-        return pa.array([_orientation(raw) for raw in files.to_pylist()], pa.int32())
-
-    return read(content)
-
-
-def _orientation(raw: bytes | None) -> int:
-    at = max((raw or b"").find(mark, 0, 1 << 17) + len(mark) if mark in (raw or b"")[: 1 << 17] else -1 for mark in (b"Exif\x00\x00", b"eXIf"))
-    tiff = (raw or b"") if at < 0 else raw[at:]
-    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
-    if order is None:
-        return 1
-    number = lambda where, size: int.from_bytes(tiff[where : where + size], order)
-    first = number(4, 4)
-    for entry in range(number(first, 2)):
-        where = first + 2 + 12 * entry
-        if where + 12 > len(tiff):
-            break
-        if number(where, 2) == 0x0112:
-            value = number(where + 8, 2)
-            return value if 1 <= value <= 8 else 1
-    return 1
-
-
 def _unpack(raw: bytes | None, channels: int) -> np.ndarray | None:
     """Bytes in gray, BGR or BGRA order to RGBA integers."""
     if raw is None or not len(raw):

@@ -6,7 +6,7 @@ import importlib
 
 from tagloom.plans import registry
 
-MODULES = ["score_queries", "prompt_queries", "catalog_queries", "image_queries", "metadata_queries", "tensor_queries", "stream_queries"]
+MODULES = ["score_queries", "prompt_queries", "catalog_queries", "image_queries", "file_queries", "metadata_queries", "tensor_queries", "stream_queries"]
 
 
 def load():

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import streaming as R
+from tagloom.functions import containers
 from tagloom.operators import images as I, repeats, tensors as T
 from tagloom.operators.catalog import check_manifest
 from tagloom.session import shared_dir
@@ -110,6 +111,65 @@ def test_pack_is_checked_across_its_files(spark, tmp_path):
         packs.read_pack(spark, str(tmp_path / "tags"), bad)
 
 
+def be(n, size):
+    return n.to_bytes(size, "big")
+
+
+def le(n, size):
+    return n.to_bytes(size, "little")
+
+
+def riff(*chunks):
+    body = b"".join(name + le(len(data), 4) + data + b"\x00" * (len(data) % 2) for name, data in chunks)
+    return b"RIFF" + le(len(body) + 4, 4) + b"WEBP" + body
+
+
+def test_sizes_from_headers():
+    frame = lambda marker: b"\xff" + bytes([marker]) + be(17, 2) + b"\x08" + be(480, 2) + be(640, 2) + b"\x03" + bytes(9)
+    segment = lambda marker, data: b"\xff" + bytes([marker]) + be(len(data) + 2, 2) + data
+    far = b"".join(segment(0xE2, b"\xff\xc0" * 30_000) for _ in range(3))  # looks like frames, but lies inside other segments
+    assert containers.size_of(b"\xff\xd8" + far + segment(0xC4, bytes(9)) + b"\xff" + frame(0xC2) + b"\xff\xda") == (640, 480)
+    assert containers.size_of(b"\xff\xd8" + far + b"\xff\xda" + frame(0xC0)) is None and containers.size_of(b"\xff\xd8\xff\xc0\x00\x11\x08") is None
+    assert containers.size_of(b"\xff\xd8" + segment(0xE0, b"")[:3]) is None and containers.size_of(b"\xff\xd8\xff\xe1\x00\x00" + frame(0xC0)) is None
+    for order, number, mark in (("little", le, b"II*\x00"), ("big", be, b"MM\x00*")):
+        short = lambda tag, v: number(tag, 2) + number(3, 2) + number(1, 4) + number(v, 2) + bytes(2)
+        whole = lambda tag, v: number(tag, 2) + number(4, 2) + number(1, 4) + number(v, 4)
+        tiff = mark + number(200_000, 4) + bytes(200_000 - 8) + number(2, 2) + short(0x0100, 70) + whole(0x0101, 90_000)
+        assert containers.size_of(tiff) == (70, 90_000) and containers.size_of(tiff[:200_010]) is None
+    odd = (b"ICCP", bytes(150_001))
+    assert containers.size_of(riff((b"VP8X", bytes(4) + le(6, 3) + le(4, 3)), odd)) == (7, 5)
+    assert containers.size_of(riff(odd, (b"VP8L", b"\x2f" + le(6 | 4 << 14, 4)))) == (7, 5)
+    assert containers.size_of(riff((b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + le(7 | 1 << 14, 2) + le(5, 2)))) == (7, 5)
+    assert containers.size_of(riff((b"VP8 ", bytes(10)))) is None and containers.size_of(None) is None and containers.size_of(b"") is None
+
+
+def test_orientation_is_found_wherever_it_lies():
+    tiff = b"II*\x00" + le(8, 4) + le(1, 2) + le(0x0112, 2) + le(3, 2) + le(1, 4) + le(6, 2) + bytes(2)
+    chunk = lambda name, data: be(len(data), 4) + name + data + bytes(4)
+    decoy = chunk(b"tEXt", b"eXIf" + tiff.replace(le(6, 2) + bytes(2), le(3, 2) + bytes(2)))
+    head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13))
+    assert containers.orientation_of(head + chunk(b"iTXt", bytes(200_000)) + decoy + chunk(b"eXIf", tiff) + chunk(b"IEND", b"")) == 6
+    assert containers.orientation_of(head + decoy + chunk(b"IEND", b"")) == 1
+    assert containers.orientation_of(riff((b"ICCP", bytes(140_001)), (b"EXIF", tiff))) == 6 == containers.orientation_of(riff((b"EXIF", b"Exif\x00\x00" + tiff)))
+
+
+def test_files_are_read_one_by_one(spark, tmp_path):
+    rows = [(f"{tmp_path}/in a/x%20y.png", b"one"), (f"{tmp_path}/in a/deep/z.png", b"")]
+    files.write_each(spark.createDataFrame(rows, "path string, content binary"))
+    files.write_each(spark.createDataFrame(rows, "path string, content binary"))
+    asked = [rows[0][0], "file:" + rows[0][0], rows[1][0], rows[1][0], f"{tmp_path}/in a", f"{tmp_path}/gone", "nowhere://x/y", " ", None]
+    got = files.read_each(spark.createDataFrame([(a, 1) for a in asked], "path string, failure int"))
+    assert [(r["length"], r["failure"]) for r in got.collect()] == [(3, None), (3, None), (0, None), (0, None), (None, "io"), (None, "missing"), (None, "io"), (None, "missing"), (None, "missing")]
+    assert files.read_each(spark.createDataFrame([], "path string")).count() == 0
+
+    def locked(path):
+        raise PermissionError(path)
+
+    denied = files.read_each(spark.createDataFrame([("a.png",), ("b.txt",)], "path string"), locked)
+    kinds = files.import_failure_kind(spark.createDataFrame([("a.png",), ("a.png",), ("b.txt",)], "path string"), files.sniff_header(denied))
+    assert sorted((r["path"], r["kind"]) for r in kinds.collect()) == [("a.png", "access_denied")] * 2 + [("b.txt", "unsupported_format")]
+
+
 def test_decode_and_prepare(spark, folder):
     steps = [
         {"op": "decode", "frame": "first", "colorManagement": "ignore"}, {"op": "ensure-color", "mode": "rgb-or-rgba-if-transparent"},
