@@ -17,7 +17,7 @@ from pyspark.sql import Column, functions as F
 from tagloom import fixed
 
 __all__ = [
-    "looks_like_json", "read_json", "json_members", "json_is_valid", "marked_object", "marked_string", "marked_scalar",
+    "looks_like_json", "read_json", "json_members", "json_nodes", "json_is_valid", "marked_object", "marked_string", "marked_scalar",
     "marked_is_object", "marked_is_array",
 ]
 
@@ -99,6 +99,64 @@ def _member_reader(limit: int):
     return read
 
 
+_NODE = pa.struct([("id", pa.string()), ("type", pa.string()), ("inputs", pa.map_(pa.string(), pa.string())), ("widgets", pa.list_(pa.string()))])
+
+
+def _mark(value) -> str | None:
+    """A scalar as ``read_json`` marks it; None for null, objects and lists."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return _clean(("n" if isinstance(value, _Number) else "s") + value) if isinstance(value, str) else None
+
+
+def _node(item: dict, name: str) -> dict:
+    text = lambda v: _clean(v) if isinstance(v, str) and not isinstance(v, _Number) else None
+    kind, inputs, widgets = text(item.get("class_type")), item.get("inputs"), item.get("widgets_values")
+    return {
+        "id": _clean(name), "type": text(item.get("type")) if kind is None else kind,
+        "inputs": list({_clean(k): _mark(v) for k, v in inputs.items()}.items()) if isinstance(inputs, dict) else None,
+        "widgets": [_mark(v) for v in widgets] if isinstance(widgets, list) else None,
+    }
+
+
+def _listed(at: int, item: dict) -> dict:
+    own, kind = _scalar(item.get("id")), item.get("type")
+    node = _node(item, str(at + 1) if own is None else own)
+    return node | {"type": _clean(kind)} if isinstance(kind, str) and not isinstance(kind, _Number) else node
+
+
+def _nodes_of(value: dict, lists: bool) -> tuple[bool, list[dict]]:
+    items = value.get("nodes") if lists else None
+    if isinstance(items, list):
+        return True, [_listed(at, item) for at, item in enumerate(items) if isinstance(item, dict)]
+    return False, [_node(item, name) for name, item in value.items() if isinstance(item, dict)]
+
+
+@cache
+def _node_reader(lists: bool, limit: int):
+    @F.arrow_udf("struct<kind:string,listed:boolean,nodes:array<struct<id:string,type:string,inputs:map<string,string>,widgets:array<string>>>>")
+    def read(texts: pa.Array) -> pa.Array:
+        kinds, listed, nodes = [], [], []
+        for text in texts.to_pylist():
+            kind, value = (None, None) if text is None else _parsed(text, limit)
+            is_list, found = _nodes_of(value, lists) if kind == "object" else (False, [])
+            kinds.append(kind)
+            listed.append(is_list)
+            nodes.append(found)
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(listed, pa.bool_()), pa.array(nodes, pa.list_(_NODE))], ["kind", "listed", "nodes"])
+
+    return read
+
+
+@cache
+def _kind_reader(limit: int):
+    @F.arrow_udf("string")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([None if text is None else _parsed(text, limit)[0] for text in texts.to_pylist()], pa.string())
+
+    return read
+
+
 def looks_like_json(s: Column) -> Column:
     return s.rlike(r"(?U)^\s*[\{\[]")
 
@@ -113,9 +171,17 @@ def json_members(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
     return _member_reader(limit)(s)
 
 
+def json_nodes(s: Column, lists: bool, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
+    """``kind`` as in ``read_json`` and the ``nodes`` of an object, typed: id, type, inputs and widgets with marked scalars, null for other values.
+
+    Nodes are the members that are objects; with ``lists`` those of a member ``nodes`` that is a list, where there is one, and ``listed`` says so.
+    """
+    return _node_reader(lists, limit)(s)
+
+
 def json_is_valid(s: Column, limit: int = fixed.MAX_JSON_DEPTH) -> Column:
     """An object or array that parses, is not too deep and has nothing after it. Texts that do not look like one are not read."""
-    return F.coalesce(read_json(F.when(looks_like_json(s), s), limit)["kind"].isin("object", "array"), F.lit(False))
+    return F.coalesce(_kind_reader(limit)(F.when(looks_like_json(s), s)).isin("object", "array"), F.lit(False))
 
 
 def marked_object(marked: Column) -> Column:

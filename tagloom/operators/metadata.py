@@ -8,15 +8,15 @@ before the shuffle and never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import fixed
 from tagloom.functions import (
-    combine_strengths, contains_marker, is_blank, json_is_valid, json_members, left_utf16, let, limit_text, literal_map, looks_like_json,
-    marked_is_array, marked_is_object, marked_object, marked_scalar, marked_string, read_json, size_text, split_top_level, suffix_key,
+    combine_strengths, contains_marker, is_blank, json_is_valid, json_members, json_nodes, left_utf16, let, limit_text, literal_map, looks_like_json,
+    marked_scalar, marked_string, size_text, split_top_level, suffix_key,
     tag_of_key, trim_unicode, utf16_length,
 )
 from tagloom.operators.budget import greedy_budget, over_budget  # noqa: F401
@@ -183,30 +183,13 @@ def _pick(nodes: Column, types: Sequence[str], value) -> Column:
     return F.filter(F.transform(chosen, value), lambda x: x.isNotNull())
 
 
-def _from_prompt_members(marked: Column) -> Column:
-    """Extract from ``{"id": {"class_type": ..., "inputs": {...}}, ...}`` (marked)."""
-    members = F.filter(F.map_entries(marked_object(marked)), lambda e: F.coalesce(marked_is_object(e["value"]), F.lit(False)))
-    opened = F.transform(
-        members,
-        lambda e: F.struct(
-            F.substring(e["key"], 2, REST).alias("id"),
-            F.from_json(e["value"], "struct<sclass_type:string,stype:string,sinputs:string>").alias("n"),
-        ),
-    )
-    nodes = F.transform(
-        opened,
-        lambda o: F.struct(
-            o["id"].alias("id"),
-            F.coalesce(marked_string(o["n"]["sclass_type"]), marked_string(o["n"]["stype"])).alias("type"),
-            F.when(marked_is_object(o["n"]["sinputs"]), marked_object(o["n"]["sinputs"])).alias("inputs"),
-        ),
-    )
-
+def _from_members(nodes: Column) -> Column:
+    """Extract from the nodes of ``{"id": {"class_type": ..., "inputs": {...}}, ...}``."""
     def scalar(n: Column, name: str) -> Column:
-        return marked_scalar(F.try_element_at(n["inputs"], F.lit("s" + name)))
+        return marked_scalar(F.try_element_at(n["inputs"], F.lit(name)))
 
     def string(n: Column, name: str) -> Column:
-        return marked_string(F.try_element_at(n["inputs"], F.lit("s" + name)))
+        return marked_string(F.try_element_at(n["inputs"], F.lit(name)))
 
     def lora(n: Column) -> Column:
         strength = combine_strengths(
@@ -242,33 +225,11 @@ def _from_prompt_members(marked: Column) -> Column:
             _pick(ns, ["CLIPTextEncode"], lambda n: F.when(string(n, "text").isNull(), _message(fixed.W_TEXT_NODE, n["id"]))),
         )
 
-    # the node list is bound to one lambda variable, so it is parsed once
     return let(nodes, extract)
 
 
-def _from_workflow_nodes(marked_list: Column) -> Column:
-    """Extract from ``[{"id":..., "type":..., "widgets_values": [...]}, ...]`` (marked)."""
-    items = F.transform(
-        F.from_json(marked_list, "array<string>"),
-        lambda item, at: F.struct(
-            (at + 1).cast("string").alias("at"),
-            F.when(
-                marked_is_object(item),
-                F.from_json(item, "struct<sid:string,stype:string,sclass_type:string,swidgets_values:string>"),
-            ).alias("n"),
-        ),
-    )
-    nodes = F.transform(
-        F.filter(items, lambda i: i["n"].isNotNull()),
-        lambda i: F.struct(
-            F.coalesce(marked_scalar(i["n"]["sid"]), i["at"]).alias("id"),
-            F.coalesce(marked_string(i["n"]["stype"]), marked_string(i["n"]["sclass_type"])).alias("type"),
-            F.when(
-                marked_is_array(i["n"]["swidgets_values"]), F.from_json(i["n"]["swidgets_values"], "array<string>")
-            ).alias("widgets"),
-        ),
-    )
-
+def _from_listed(nodes: Column) -> Column:
+    """Extract from the nodes of ``[{"id":..., "type":..., "widgets_values": [...]}, ...]``."""
     def string(n: Column, at: int) -> Column:
         return marked_string(F.get(n["widgets"], F.lit(at)))
 
@@ -314,33 +275,27 @@ def _from_workflow_nodes(marked_list: Column) -> Column:
     return let(nodes, extract)
 
 
-def _by_kind(json: Column, on_object: Callable[[Column], Column], bad_warning: str) -> Column:
+def _by_kind(json: Column, lists: bool, bad_warning: str) -> Column:
     """Nodes of an object text, or an empty result with the warning that fits; null for blank text. The text is read once."""
     def choose(r: Column) -> Column:
+        found = _from_members(r["nodes"])
         return (
-            F.when(r["kind"] == "object", on_object(r["marked"]))
+            F.when(r["kind"] == "object", F.when(r["listed"], _from_listed(r["nodes"])).otherwise(found) if lists else found)
             .when(r["kind"] == "bad", _no_nodes(F.array(F.lit(bad_warning))))
             .otherwise(_no_nodes(F.array(F.lit(fixed.W_ROOT_NOT_OBJECT))))
         )
 
-    return F.when(~is_blank(json), let(read_json(json), choose))
+    return F.when(~is_blank(json), let(json_nodes(json, lists), choose))
 
 
 def prompt_nodes(json: Column) -> Column:
     """Nodes of a node-map JSON text as one struct of lists; unreadable text gives a warning instead."""
-    return _by_kind(json, _from_prompt_members, fixed.W_PROMPT_JSON)
+    return _by_kind(json, False, fixed.W_PROMPT_JSON)
 
 
 def workflow_nodes(json: Column) -> Column:
     """Nodes of a workflow JSON text; a text without a ``nodes`` list is read as a node map."""
-    def read(marked: Column) -> Column:
-        listed = F.from_json(marked, "struct<snodes:string>")["snodes"]
-        return let(
-            listed,
-            lambda nodes: F.when(marked_is_array(nodes), _from_workflow_nodes(nodes)).otherwise(_from_prompt_members(marked)),
-        )
-
-    return _by_kind(json, read, fixed.W_WORKFLOW_JSON)
+    return _by_kind(json, True, fixed.W_WORKFLOW_JSON)
 
 
 def order_nodes(texts: Column, id_field: str = "node") -> Column:
