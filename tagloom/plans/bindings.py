@@ -143,7 +143,7 @@ def gen_text() -> Column:
     """Parameter text; every third part has no negative prompt, every fifth an unknown field."""
     c = F.col
     negative = F.when(c("p_partkey") % 3 == 0, "").otherwise(_s("\nNegative prompt: ", c("p_type")))
-    extra = F.when(c("p_partkey") % 5 == 0, ", FooBar: x y").otherwise("")
+    extra = F.when(c("p_partkey") % 5 == 0, ", GlowRate: x y").otherwise("")
     return _s(
         c("p_name"), negative, "\nSteps: ", c("p_size"), ", Sampler: S (a, b), CFG scale: 7, Seed: ", c("p_partkey"), ", Model: ", c("p_brand"), extra
     )

@@ -20,7 +20,7 @@ META = """m AS (
 src AS (SELECT *, (software = 'NovelAI 1.0') IS TRUE OR (c AND doc IS NULL) AS novel FROM m WHERE a OR n OR w OR c OR software IS NOT NULL OR doc IS NOT NULL)"""
 
 TEXT = """p_name || CASE WHEN k % 3 = 0 THEN '' ELSE chr(10) || 'Negative prompt: ' || p_type END || chr(10) || 'Steps: ' || p_size
-  || ', Sampler: S (a, b), CFG scale: 7, Seed: ' || k || ', Model: ' || p_brand || CASE WHEN k % 5 = 0 THEN ', FooBar: x y' ELSE '' END"""
+  || ', Sampler: S (a, b), CFG scale: 7, Seed: ' || k || ', Model: ' || p_brand || CASE WHEN k % 5 = 0 THEN ', GlowRate: x y' ELSE '' END"""
 NODES = """'{"1":{"class_type":"CheckpointLoaderSimple","inputs":{"ckpt_name":"' || p_brand || '"}},"10":{"class_type":"CLIPTextEncode","inputs":{"text":"' || p_name
   || '","clip":["1",1]}},"9":{"class_type":"CLIPTextEncode","inputs":{"text":"' || p_type || '"}},"5":{"class_type":"KSampler","inputs":{"seed":' || k || ',"steps":' || p_size
   || ',"cfg":7.0,"sampler_name":"euler","denoise":1e0}},"6":{"class_type":"EmptyLatentImage","inputs":{"width":512,"height":' || (p_size * 8) || ',"batch_size":1}},"7":{"class_type":"LoraLoader","inputs":{"lora_name":"l' || p_size
@@ -37,7 +37,7 @@ def part(spark, sf):
 
 @query("meta_a1111_header", PART + """
 SELECT k AS image_id, 'automatic1111' AS source, p_name AS positive, CASE WHEN k % 3 <> 0 THEN p_type END AS negative,
-       CASE WHEN k % 5 = 0 THEN '未识别尾部字段“FooBar”，已保留原文。' ELSE '' END AS warnings, 'checkpoint/' || p_brand AS resources FROM m""")
+       CASE WHEN k % 5 = 0 THEN '未识别尾部字段“GlowRate”，已保留原文。' ELSE '' END AS warnings, 'checkpoint/' || p_brand AS resources FROM m""")
 def a1111_header(spark, sf):
     s = M.parse_a1111(part(spark, sf).select(F.col("p_partkey").alias("image_id"), B.gen_text().alias("value")))
     return s.select(
@@ -49,7 +49,7 @@ def a1111_header(spark, sf):
 @query("meta_a1111_fields", PART + f"""
 SELECT k AS image_id, unnest(['param', 'param', 'param', 'param', 'param', 'raw']) AS target, unnest(['steps', 'sampler', 'cfg', 'seed', 'model', 'parameters']) AS key,
        unnest([p_size::VARCHAR, 'S (a, b)', '7', k::VARCHAR, p_brand, {TEXT}]) AS value FROM m
-UNION ALL SELECT k, 'raw', 'FooBar', 'x y' FROM m WHERE k % 5 = 0""")
+UNION ALL SELECT k, 'raw', 'GlowRate', 'x y' FROM m WHERE k % 5 = 0""")
 def a1111_fields(spark, sf):
     s = M.parse_a1111(part(spark, sf).select(F.col("p_partkey").alias("image_id"), B.gen_text().alias("value")))
     return unnest(s, ["image_id"], "segment.fields", "at", "f").select("image_id", "f.*")
@@ -180,7 +180,7 @@ def merge_parameters(spark, sf):
 
 @query("meta_merge_raw_entries", f"WITH {META}" + f"""
 , r AS (
-  SELECT k, 0 AS o, 'parameters' AS key, {TEXT} AS value FROM src WHERE a UNION ALL SELECT k, 0, 'FooBar', 'x y' FROM src WHERE a AND k % 5 = 0
+  SELECT k, 0 AS o, 'parameters' AS key, {TEXT} AS value FROM src WHERE a UNION ALL SELECT k, 0, 'GlowRate', 'x y' FROM src WHERE a AND k % 5 = 0
   UNION ALL SELECT k, 1, 'prompt', {NODES} FROM src WHERE n UNION ALL SELECT k, 1, 'workflow', {WORKFLOW} FROM src WHERE w
   UNION ALL SELECT k, 1, 'extra_prompt_1', p_name FROM src WHERE n AND w
   UNION ALL SELECT k, 4, 'comment', coalesce(doc, {COMMENT}) FROM src WHERE novel AND (doc IS NOT NULL OR c)
@@ -207,7 +207,7 @@ def resources(spark, sf):
 @query("meta_warnings", f"WITH {META}" + """
 , x AS (SELECT *, a::INT + (n OR w)::INT + novel::INT AS sources FROM src)
 SELECT image_id, warning FROM (
-  SELECT k AS image_id, '未识别尾部字段“FooBar”，已保留原文。' AS warning FROM x WHERE a AND k % 5 = 0
+  SELECT k AS image_id, '未识别尾部字段“GlowRate”，已保留原文。' AS warning FROM x WHERE a AND k % 5 = 0
   UNION ALL SELECT k, 'workflow格式的采样器节点位置不确定，未推断其组合。' FROM x WHERE w
   UNION ALL SELECT k, '工作流复杂，仅展示可证实节点值，未推断最终组合顺序。' FROM x WHERE n AND w
   UNION ALL SELECT k, '存在多个文本编码节点，仅保留前两个。' FROM x WHERE n AND w
