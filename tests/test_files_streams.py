@@ -170,6 +170,14 @@ def test_files_are_read_one_by_one(spark, tmp_path):
     assert sorted((r["path"], r["kind"]) for r in kinds.collect()) == [("a.png", "access_denied")] * 2 + [("b.txt", "unsupported_format")]
 
 
+def test_later_files_win_whatever_their_size(spark, tmp_path):
+    line = lambda n, text: json.dumps({"id": n, "tag": f"t{n}", "translation": text}) + "\n"
+    for at, name in enumerate("abc"):  # Spark reads the largest file first
+        (tmp_path / f"{name}.jsonl").write_text("\n" + "".join(line(n, f"{name}{n}") for n in range(4000 >> 3 * at)) + line(1, f"{name} again"))
+    got = {r["id"]: r["translation"] for r in packs.read_translations(spark, str(tmp_path)).collect()}
+    assert got == {n: f"c{n}" if n < 62 else f"b{n}" if n < 500 else f"a{n}" for n in range(4000)} | {1: "c again"}
+
+
 def test_decode_and_prepare(spark, folder):
     steps = [
         {"op": "decode", "frame": "first", "colorManagement": "ignore"}, {"op": "ensure-color", "mode": "rgb-or-rgba-if-transparent"},
