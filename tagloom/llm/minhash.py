@@ -9,6 +9,12 @@ them with the members of other components; what is linked joins the pivot's comp
 leaves. A bucket is settled once its members lie in one component, so a group of n copies costs about n comparisons,
 while members that stay apart are compared until no pair of the bucket is left: no link is lost
 and nothing is capped.
+
+A large family of near copies leaves many members that stay apart though they share most shingles, each of which meets the others
+in many bands. Such pairs are told apart without their texts by the parities of their sets: the shingles that some other text
+has too fall into PARITIES groups by hash, a bit says whether a group holds an odd number of them. Every bit that differs between two sets
+stands for at least one shingle that only one of them has, so the bits that differ bound from above what they have in common. The bound is exact: no link is lost by it.
+Sets that differ in far more shingles than there are groups look alike in half of the bits, and then nothing is ruled out.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from tagloom.session import materialize
 
 U = np.uint64
 CACHED = 4_000_000  # shingle hashes that a confirming task keeps, 32 MB
+PARITIES = 512  # groups of shingle hashes, in longs of 64 bits
 
 
 def _keys(words: W.Words) -> list[bytes | None]:
@@ -40,8 +47,14 @@ def _keys(words: W.Words) -> list[bytes | None]:
     return [packed[16 * i : 16 * i + 16] if n else None for i, n in enumerate((b - a).tolist())]
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Whether each group of shingle hashes holds an odd number of ``found``, 64 groups a long, the first in the lowest bit."""
+    odd = np.bincount((found & U(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def signatures(permutations: int, bands: int, rows: int, k: int, seed: int = 1):
-    """A batch function: doc_id, text -> doc_id, key, n_shingles, bands array<long>, sketch (a byte of each signature value)."""
+    """A batch function: doc_id, text -> doc_id, key, n_shingles, bands array<long>, sketch (a byte of each signature value), parities array<long>."""
     draw = np.random.default_rng(seed)
     times = (draw.integers(0, 1 << 31, permutations, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     plus = draw.integers(0, 1 << 32, permutations, dtype=np.uint32)
@@ -54,11 +67,13 @@ def signatures(permutations: int, bands: int, rows: int, k: int, seed: int = 1):
             words = W.words_of(data, offsets)
             n = np.zeros(batch.num_rows, np.int64)
             values = np.zeros((batch.num_rows, 2 * permutations), np.uint32)
+            parities = np.zeros((batch.num_rows, PARITIES // 64), np.int64)
             for i, found in enumerate(W.shingles_of(words, k)):
                 if not len(found):
                     continue
                 found = W.distinct(found)
                 n[i] = len(found)
+                parities[i] = _parities(found)
                 short = (found >> U(32)).astype(np.uint32)
                 low = np.full(permutations, 0xFFFFFFFF, np.uint32)
                 high = np.zeros(permutations, np.uint32)
@@ -79,8 +94,9 @@ def signatures(permutations: int, bands: int, rows: int, k: int, seed: int = 1):
                     pa.array(n),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32)), flat),
                     pa.array([marks[at : at + width] for at in range(0, len(marks), width)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, parities.size + 1, parities.shape[1], dtype=np.int32)), pa.array(parities.reshape(-1))),
                 ],
-                ["doc_id", "key", "n_shingles", "bands", "sketch"],
+                ["doc_id", "key", "n_shingles", "bands", "sketch", "parities"],
             )
 
     return apply
@@ -150,24 +166,37 @@ def shingle_rows(k: int):
 
 
 def _pivot_pairs(members: DataFrame, slots: int, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of this round and the members left. ``members``: bucket, node, n, own, root.
+    """Pairs of this round and the members left. ``members``: bucket, node, n, own, parities, root.
 
     Each bucket's members fall into ``slots`` slots; the member with the least hash of each slot is a pivot.
     """
     spread = members.withColumn("h", F.xxhash64("node", F.lit(round_no))).withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(slots)))
-    pivots = spread.groupBy("bucket", "slot").agg(F.min(F.struct("h", "node", "n", "own", "root")).alias("p")).select(
-        "bucket", "slot", F.col("p.h").alias("ph"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"), F.col("p.root").alias("proot")
+    pivots = spread.groupBy("bucket", "slot").agg(F.min(F.struct("h", "node", "n", "own", "parities", "root")).alias("p")).select(
+        "bucket", "slot", F.col("p.h").alias("ph"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"), F.col("p.parities").alias("pparities"), F.col("p.root").alias("proot")
     )
     met = spread.join(pivots.drop("slot"), "bucket")
-    # At most the shingles that neither side has alone are common: pairs that cannot reach the bound for that are no candidates.
-    most = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("pown"))
-    pairs = met.filter((F.col("root") != F.col("proot")) & (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("pn") - most))).select(
+    # Only shingles that neither side has alone can be common, and of these not the ones that make a parity differ:
+    # pairs that cannot reach the bound for that are no candidates.
+    mine, theirs = F.col("n") - F.col("own"), F.col("pn") - F.col("pown")
+    differ = sum((F.bit_count(F.col("parities")[i].bitwiseXOR(F.col("pparities")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    twice = F.least(F.lit(2) * mine, F.lit(2) * theirs, mine + theirs - differ)  # twice the largest number they can have in common
+    pairs = met.filter((F.col("root") != F.col("proot")) & (F.lit(100 + percent) * twice >= F.lit(2 * percent) * (F.col("n") + F.col("pn")))).select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     ).distinct()
-    left = spread.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "own")
+    left = spread.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "own", "parities")
     return pairs, left
 
 
+def _alone(single: DataFrame) -> DataFrame:
+    """node, own (how many), own_parities of the shingles that one text alone has. ``single``: shingle, held, node."""
+    group = F.col("shingle").bitwiseAND(F.lit(PARITIES - 1))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    words = (F.bit_xor(F.when(F.shiftright(group, 6) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(PARITIES // 64))
+    return single.filter("held = 1").groupBy("node").agg(F.count("*").alias("own"), *(w.alias(f"w{i}") for i, w in enumerate(words))).select(
+        "node", "own", F.array(*(f"w{i}" for i in range(PARITIES // 64))).alias("own_parities")
+    )
+
+
 def _both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
     """``column`` of either side of each pair."""
     a, b = (texts.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")) for x in ("a", "b"))
@@ -180,16 +209,18 @@ def _resolve(docs: DataFrame, k: int, percent: int, bands: int, rows: int, permu
         raise ValueError("bands * rows must not exceed twice the permutations")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows_seen = materialize(
-        plain.mapInArrow(signatures(permutations, bands, rows, k), "doc_id long, key binary, n_shingles long, bands array<long>, sketch binary"), "signatures"
+        plain.mapInArrow(signatures(permutations, bands, rows, k), "doc_id long, key binary, n_shingles long, bands array<long>, sketch binary, parities array<long>"), "signatures"
     )
     worded = rows_seen.filter(F.col("key").isNotNull())
     # One node per distinct word sequence; copies meet in a partial aggregate.
     nodes = materialize(
-        worded.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        worded.groupBy("key").agg(
+            F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parities").alias("parities")
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     left = materialize(banded.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
     wanted = left.select("node").distinct().join(nodes.select("node", "key", "sketch"), "node")
@@ -199,14 +230,15 @@ def _resolve(docs: DataFrame, k: int, percent: int, bands: int, rows: int, permu
     )
     # Shingles that only one of these texts has, per text: they are common with nothing.
     single = texts.select("node", "text").mapInArrow(shingle_rows(k), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node"))
-    own = single.filter("held = 1").groupBy("node").agg(F.count("*").alias("own"))
-    left = materialize(left.join(own, "node", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own")), "buckets")
+    parity = F.coalesce(F.zip_with("parities", "own_parities", lambda x, y: x.bitwiseXOR(y)), "parities")
+    traits = nodes.join(_alone(single), "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), parity.alias("parities"))
+    left = materialize(left.join(traits, "node").select("bucket", "node", "n", "own", "parities"), "buckets")
     roots, slots, round_no = None, 1, 0
     while True:
         if roots is None:
             members = left.withColumn("root", F.col("node"))
         else:
-            members = left.join(roots.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", "own", F.coalesce("r", "node").alias("root"))
+            members = left.join(roots.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", "own", "parities", F.coalesce("r", "node").alias("root"))
             open_buckets = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
             members = materialize(members.join(open_buckets, "bucket", "left_semi"), "members")
             if members.isEmpty():

@@ -3,8 +3,10 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, lines, minhash, suffix
 from tests.llm import brute
@@ -34,6 +36,30 @@ def test_near_duplicates(spark, corpus, k, percent, bands, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+@pytest.mark.parametrize("k,percent,bands,rows", [(3, 85, 32, 6), (5, 80, 38, 5)])
+def test_family_whose_members_stay_apart(spark, k, percent, bands, rows):
+    base, longer = brute.prose(150, 3), brute.prose(3000, 4)
+    texts = [brute.edited(base, n % 17, n) for n in range(90)] + [brute.edited(longer, 25 * n, n) for n in range(12)]
+    docs = spark.createDataFrame(brute.rows(texts), brute.DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, k, percent, bands, rows).collect()}
+    assert got == brute.components(dict(enumerate(texts, 1)), k, percent)
+    assert 3 < len({c for _, c in got.values()}) < len(texts) - 20
+
+
+def test_parities_of_shared_shingles(spark):
+    texts = {n: brute.edited(brute.prose(100, 5), 2 + n, n) for n in range(6)}
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string").mapInArrow(minhash.shingle_rows(3), "node long, shingle long")
+    sets = rows.groupBy("node").agg(F.collect_list("shingle").alias("s")).collect()
+    sets = {r.node: np.array(r.s, np.int64).view(np.uint64) for r in sets}
+    single = rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node"))
+    for r in minhash._alone(single).collect():
+        others = np.concatenate([s for n, s in sets.items() if n != r.node])
+        mine = sets[r.node]
+        assert r.own == (~np.isin(mine, others)).sum() > 0
+        shared = minhash._parities(mine[np.isin(mine, others)])
+        assert (minhash._parities(mine) ^ np.array(r.own_parities)).tolist() == shared.tolist()
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
