@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,56 @@ def test_toxicity(spark, marked):
     assert {r.score for r in toxicity.score(docs, untaught).collect()} == {0.5}
 
 
+def test_toxic_expressions_of_ordinary_words(spark):
+    """Both words are as frequent in either class; only next to each other they are toxic."""
+    rng, docs, labels = random.Random(8), [], []
+    for i in range(800):
+        found, toxic = brute.prose(rng.randrange(20, 60), i, 200).split(" "), i % 3 == 0
+        for piece in ["warm bread"] * 2 if toxic else ["warm", "bread"] * 2:
+            found.insert(rng.randrange(len(found)), piece)
+        docs.append((i, " ".join(found)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert _accuracy(toxicity.score(docs, toxicity.train(docs, labels)), labels, "toxic", 5, 0) > 0.95
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    """Ratios of words and pairs, computed word by word from the definition."""
+    texts = [("a b c a b", 0), ("a b d", 0), ("a b c", 0), ("b c a d", 0), ("x a b", 1), ("a c x", 1), ("x a c c", 1), ("b c x a", 1), ("x a d", 1), ("a b x", 1)]
+    rows = spark.createDataFrame([(i, t, y, 0) for i, (t, y) in enumerate(texts)] + [(10, "a b", 0, 1), (11, "x", 1, 1)], "doc_id long, text string, label int, part int")
+    model = toxicity.fit(rows).shared.value
+    bucket = {w: int(toxicity._pairs(pa.record_batch([pa.array([w])], ["text"]))[1][0]) for w in "abcdx"}
+    pairs = [{}, {}]
+    for text, y in texts:
+        words = text.split(" ")
+        for pair in set(zip([None, *words], words)):
+            pairs[y][pair] = pairs[y].get(pair, 0) + 1
+
+    def left(counts):
+        d = toxicity.discounts([sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)])
+        return {key: v - d[min(v, 3) - 1] for key, v in counts.items()}
+
+    follows = [{w: sum(p[1] == w for p in own) for w in {p[1] for p in own}} for own in pairs]
+    classes = {w: sum(w in f for f in follows) for w in bucket}
+    total = sum(classes.values())
+    unknown = 1 - sum(v - 0.75 for v in classes.values()) / total
+    shared = {w: (v - 0.75) / total + unknown / toxicity.WORDS for w, v in classes.items()}
+    kept = [left(f) for f in follows]
+    back = max(1 - sum(k.values()) / sum(f.values()) for k, f in zip(kept, follows))
+    word = [{w: (1 - back) * k.get(w, 0) / sum(k.values()) + back * shared[w] for w in bucket} for k in kept]
+    for w, at in bucket.items():
+        assert model.ratio[at] == pytest.approx(np.log(word[1][w] / word[0][w]), abs=1e-5)
+    kept = [{p: n if pairs[c][p] > 1 else 0 for p, n in left(pairs[c]).items()} for c in (0, 1)]
+    for v in (None, *bucket):
+        sums = [(sum(n for p, n in own.items() if p[0] == v), sum(n for p, n in k.items() if p[0] == v)) for own, k in zip(pairs, kept)]
+        weight = max(1 - k / n if n else 1 for n, k in sums)
+        for w in bucket:
+            full = [((1 - weight) * kept[c].get((v, w), 0) / sums[c][1] if sums[c][1] else 0) + weight * word[c][w] for c in (0, 1)]
+            want = np.log(full[1] / full[0]) if weight < 1 else np.log(word[1][w] / word[0][w])
+            pair = np.array([(bucket[v] if v else 0) << toxicity.WORD_BITS | bucket[w]])
+            assert model.ratio[bucket[w]] + toxicity._gain(model.pairs, pair)[0] == pytest.approx(want, abs=5e-3)
+
+
 def test_without_evidence_no_document_is_dropped(spark, marked):
     docs, labels = marked
     for some in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0"), labels.withColumn("doc_id", F.col("doc_id") + 10_000)):
