@@ -9,6 +9,7 @@ spelling. Of repeated member names the last counts. No character is reserved.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -64,9 +65,21 @@ def _clean(text: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
 
 
+PIECE = 500  # texts whose Python objects exist at once
+
+
+def _udf(read: Callable[[pa.Array], pa.Array], kind: str):
+    """``read`` as a column function that takes PIECE texts after another: the objects of a text take many times the room of its Arrow values."""
+
+    @F.arrow_udf(kind)
+    def column(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([read(texts.slice(at, PIECE)) for at in range(0, max(1, len(texts)), PIECE)])
+
+    return column
+
+
 @cache
 def _reader(limit: int):
-    @F.arrow_udf("struct<kind:string,marked:string>")
     def read(texts: pa.Array) -> pa.Array:
         kinds, marked = [], []
         for text in texts.to_pylist():
@@ -75,7 +88,7 @@ def _reader(limit: int):
             marked.append(_clean(_written(value, True)) if kind in ("object", "array") else None)
         return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(marked, pa.string())], ["kind", "marked"])
 
-    return read
+    return _udf(read, "struct<kind:string,marked:string>")
 
 
 _MEMBER = pa.struct([("name", pa.string()), ("scalar", pa.string()), ("raw", pa.string())])
@@ -87,7 +100,6 @@ def _scalar(value) -> str | None:
 
 @cache
 def _member_reader(limit: int):
-    @F.arrow_udf("struct<kind:string,members:array<struct<name:string,scalar:string,raw:string>>>")
     def read(texts: pa.Array) -> pa.Array:
         kinds, members = [], []
         for text in texts.to_pylist():
@@ -96,7 +108,7 @@ def _member_reader(limit: int):
             members.append([{"name": _clean(n), "scalar": _scalar(v), "raw": _clean(_written(v, False))} for n, v in value.items()] if kind == "object" else [])
         return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(members, pa.list_(_MEMBER))], ["kind", "members"])
 
-    return read
+    return _udf(read, "struct<kind:string,members:array<struct<name:string,scalar:string,raw:string>>>")
 
 
 _NODE = pa.struct([("id", pa.string()), ("type", pa.string()), ("inputs", pa.map_(pa.string(), pa.string())), ("widgets", pa.list_(pa.string()))])
@@ -134,7 +146,6 @@ def _nodes_of(value: dict, lists: bool) -> tuple[bool, list[dict]]:
 
 @cache
 def _node_reader(lists: bool, limit: int):
-    @F.arrow_udf("struct<kind:string,listed:boolean,nodes:array<struct<id:string,type:string,inputs:map<string,string>,widgets:array<string>>>>")
     def read(texts: pa.Array) -> pa.Array:
         kinds, listed, nodes = [], [], []
         for text in texts.to_pylist():
@@ -145,16 +156,15 @@ def _node_reader(lists: bool, limit: int):
             nodes.append(found)
         return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(listed, pa.bool_()), pa.array(nodes, pa.list_(_NODE))], ["kind", "listed", "nodes"])
 
-    return read
+    return _udf(read, "struct<kind:string,listed:boolean,nodes:array<struct<id:string,type:string,inputs:map<string,string>,widgets:array<string>>>>")
 
 
 @cache
 def _kind_reader(limit: int):
-    @F.arrow_udf("string")
     def read(texts: pa.Array) -> pa.Array:
         return pa.array([None if text is None else _parsed(text, limit)[0] for text in texts.to_pylist()], pa.string())
 
-    return read
+    return _udf(read, "string")
 
 
 def looks_like_json(s: Column) -> Column:
