@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom.operators.catalog import map_category
-from tagloom.session import literal_rows, unnest
+from tagloom.session import literal_rows, spread, unnest
 
 GROUPS5 = ["rating", "artist", "copyright", "character", "general"]
 THRESHOLD = 0.6
@@ -177,9 +177,14 @@ def gen_comment() -> Column:
     return _s('{"prompt":"', c("p_name"), '","uc":"', c("p_type"), '","Seed":', c("p_partkey"), ',"extra":{"a":[1]},"flag":true,"scale":5.50}')
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts over many tasks: each row is a few dozen bytes and becomes kilobytes of metadata."""
+    return spread(table(spark, sf_dir, "part"))
+
+
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata entries of as many images as there are parts, plus all document texts as descriptions."""
-    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    part, k = parts(spark, sf_dir), F.col("p_partkey")
     entry = lambda cond, key, value: F.when(cond, F.struct(F.lit(key).alias("key"), value.alias("value")))
     entries = F.array(
         entry(k % 2 == 0, "Png/parameters", gen_text()),
