@@ -6,7 +6,7 @@ from tagloom.operators import tensors as T
 from tagloom.plans import bindings as B
 from tagloom.plans.image_queries import _load_model
 from tagloom.plans.registry import query
-from tagloom.session import unnest
+from tagloom.session import spread, unnest
 
 # pixel i of image e.vec_id; odd labels keep their alpha, even ones are opaque
 PIX = """pix AS (
@@ -21,7 +21,7 @@ BACKGROUND = [255, 128, 0]
 def pix(spark, sf, width: int = 8, height: int = 2):
     """64 values as RGBA, 8 x 2 pixels (or 4 x 4)."""
     value = lambda x, i: F.when((i % 4 == 3) & (F.col("label") % 2 == 0), 255).otherwise(F.floor((x.cast("double") + 1) * 127.5)).cast("int")
-    return B.table(spark, sf, "embeddings").select(
+    return spread(B.table(spark, sf, "embeddings"), 2000).select(
         F.col("vec_id").alias("image_id"), "label", (F.col("label") % 8 + 1).cast("int").alias("orientation"), F.transform("embedding", value).alias("pixels"),
         F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(4).alias("channels"),
     )

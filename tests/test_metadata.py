@@ -277,3 +277,27 @@ def test_node_order_is_one_at_every_length(spark, count):
     df = spark.createDataFrame([([(i, i) for i in ids],)], "t array<struct<node:string,text:string>>")
     got = df.select(F.transform(M.order_nodes(F.col("t")), lambda x: x["node"]).alias("o")).first()["o"]
     assert got == sorted(ids, key=lambda i: (not i.isdigit(), int(i) if i.isdigit() else 0, i))
+
+
+def test_narrow_tables_are_spread_before_they_grow(spark, tmp_path):
+    """One file of one row group is read by one task; parts become kilobytes of metadata each, so they are dealt first."""
+    from tagloom.plans import bindings as B, tensor_queries
+
+    spark.range(12_000).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(9_000).selectExpr("id as vec_id", "1 as label", "array(0.1f) as embedding").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for df, key, n, tasks in ((B.parts(spark, str(tmp_path)), "p_partkey", 12_000, 3), (tensor_queries.pix(spark, str(tmp_path)), "image_id", 9_000, 5)):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == tasks and max(sizes) < n // 2 and df.select(key).distinct().count() == n
+
+
+def test_texts_are_read_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tagloom.functions import jsontext
+
+    seen = []
+    monkeypatch.setattr(jsontext.F, "arrow_udf", lambda kind: lambda f: f)
+    column = jsontext._udf(lambda texts: seen.append(len(texts)) or texts, "string")
+    texts = pa.array([str(n) for n in range(1201)])
+    assert column(texts).equals(texts) and seen == [500, 500, 201]
+    assert len(column(texts.slice(0, 0))) == 0
