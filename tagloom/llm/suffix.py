@@ -14,8 +14,10 @@ Here documents are first cut into short members of a collection whose rounds are
    Only two columns are held; members come from Spark's sorted shuffle files one block after the other.
 4. A member whose common prefix with a neighbour reaches ``length`` starts a repeated string there.
 
-Groups with more members than ``hot`` are not brought together: their strings are counted as hashed rows with
-partial aggregates, which is exact as well.
+A group with more members than ``hot`` is parted until its parts fit a block, and these take step 3 like all others. Strings
+that start in one half of the columns have the bytes from the half's last column to ``length`` behind its first in common, so members
+that differ there cannot share one: each half deals the members anew by those bytes. Members that are equal in all bytes that
+count are found by a partial aggregate first and one of them stays, so in the end, at one column, a part holds a single member.
 """
 
 from __future__ import annotations
@@ -88,6 +90,7 @@ def _lasting(at: int, c0: int, c1: int, side: int, length: int) -> tuple[int, in
 
 
 MEMBER = "h long, k long, at long, c0 int, c1 int, hot boolean, member binary, s long, e long"
+HALF = "h long, k long, at long, c0 int, c1 int, a int, b int, member binary"
 
 
 def member_rows(length: int, gram: int):
@@ -195,25 +198,53 @@ def block_rows(length: int, gram: int):
     return apply
 
 
-def string_rows(length: int, gram: int):
-    """A batch function over members of very large groups: -> x, y (the string's hash), k, s: one row per whole string."""
-    side = length - gram
-    other = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+def half_rows(length: int, gram: int):
+    """A batch function: members and the columns ``a`` to ``b`` (not included) where their strings start -> the same for both halves of these columns.
+
+    ``h`` becomes the hash of the bytes that all strings of a half hold. Columns that none of them reaches are blanked, so that ``c0`` and ``c1`` leave
+    no other strings; a member without whole strings in a half has no row there.
+    """
+    width = 2 * length - gram
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("c0", pa.int32()), ("c1", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("member", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "member", limit=1 << 18):
-            data, offsets = W.utf8_bytes(batch.column("member")), np.arange(batch.num_rows) * (side + length)
-            k, at, c0, c1 = (batch.column(c).to_numpy() for c in ("k", "at", "c0", "c1"))
-            count = np.maximum(0, np.minimum(side, c1 - length) - c0 + 1)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            column = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + c0[row]
-            start = offsets[row] + column
-            x, y = (W.span_hash(W.running(data, symbols), start, start + length) for symbols in (W._SYMBOL, other))
-            yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(k[row]), pa.array(at[row] + column)], ["x", "y", "k", "s"])
+        for batch in W.slices(batches, "member"):
+            rows: list[tuple] = []
+            for k, at, c0, c1, a, b, member in zip(*(batch.column(c).to_pylist() for c in ("k", "at", "c0", "c1", "a", "b", "member"))):
+                middle = (a + b) // 2
+                for low, high in ((a, middle), (middle, b)):
+                    begin, end = max(c0, low), min(c1, high - 1 + length)
+                    if low < high and end - begin >= length:
+                        place = low.to_bytes(4, "little") + high.to_bytes(4, "little")
+                        h = int.from_bytes(hashlib.blake2b(member[high - 1 : low + length], digest_size=8, salt=place).digest(), "little", signed=True)
+                        rows.append((h, k, at, begin, end, low, high, bytes(begin) + member[begin:end] + bytes(width - end)))
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return apply
 
 
+def parted(members: DataFrame, length: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """``members (h, k, at, c0, c1, member)`` of large groups as groups of up to ``hot`` for the blocks, and the spans (k, s, e) of equal members.
+
+    The columns are halved as often as it takes, at most log2 of their number times; a group of one column has no two different members.
+    """
+    groups, spans = [], []
+    rows = members.withColumns({"a": F.lit(0), "b": F.lit(length - gram + 1)})
+    same = ["h", "c0", "c1", "a", "b", "member"]
+    while not rows.isEmpty():
+        # Written, both are plain sides of joins, of which Spark can split what a frequent member or group brings to one partition.
+        met = materialize(rows.groupBy(*same).agg(F.min(F.struct("k", "at")).alias("first"), F.count("*").alias("n")), "met")
+        sizes = materialize(met.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        whole = rows.join(met.filter("n > 1").select(*same), same, "left_semi").filter(F.col("c1") - F.col("c0") >= length)
+        spans.append(whole.select("k", (F.col("at") + F.col("c0")).alias("s"), (F.col("at") + F.col("c1")).alias("e")))
+        left = met.select(*same, "first.k", "first.at").join(sizes, "h")
+        fits = (F.col("size") <= hot) | (F.col("b") - F.col("a") == 1)
+        groups.append(left.filter(fits).select("h", "k", "at", "c0", "c1", "member"))
+        rows = materialize(left.filter(~fits).select("k", "at", "c0", "c1", "a", "b", "member").mapInArrow(half_rows(length, gram), HALF), "halves")
+    return groups, spans
+
+
 def _text_key(column: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column, F.lit("")))
 
@@ -231,19 +262,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, hot: int
     long_ones = plain.filter(F.octet_length("text") >= length)
     anchors = materialize(long_ones.mapInArrow(anchor_rows(length, gram), "h long, k long, at int"), "anchors")
     # How often a hash occurs: a partial aggregate, so that a passage of a third of all texts is combined before it is dealt.
+    # Written, it is a plain side of the join, of which Spark can split the partition of such a passage.
     counts = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).cast("int").alias("hot"))
+    counts = materialize(counts, "counts")
     marks = anchors.join(counts, "h").groupBy("k").agg(F.collect_set(F.col("at").cast("long") * 2 + F.col("hot")).alias("marks"))
     # One row per distinct text: copies meet in a partial aggregate.
     texts = long_ones.groupBy("k").agg(F.first("text").alias("text"))
     members = materialize(texts.join(marks, "k").select("k", "text", "marks").mapInArrow(member_rows(length, gram), MEMBER), "members")
-    cold, warm = members.filter("member is not null and not hot"), members.filter("member is not null and hot")
-    spans = cold.select("h", "k", "at", "c0", "c1", "member").repartition("h").sortWithinPartitions("h").mapInArrow(block_rows(length, gram), "k long, s long, e long")
-    strings = warm.mapInArrow(string_rows(length, gram), "x long, y long, k long, s long")
-    place = F.xxhash64("k", "s")
-    common = strings.groupBy("x", "y").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least != most").select("x", "y")
-    hot_spans = strings.join(common, ["x", "y"], "left_semi").select("k", "s", (F.col("s") + length).alias("e"))
+    columns = ["h", "k", "at", "c0", "c1", "member"]
+    cold, warm = members.filter("member is not null and not hot").select(*columns), members.filter("member is not null and hot").select(*columns)
+    groups, equal = parted(warm, length, gram, hot)
+    for group in groups:
+        cold = cold.unionByName(group)
+    spans = cold.repartition("h").sortWithinPartitions("h").mapInArrow(block_rows(length, gram), "k long, s long, e long")
+    for more in equal:
+        spans = spans.unionByName(more)
     own = members.filter("member is null").select("k", "s", "e")
-    listed = spans.unionByName(hot_spans).unionByName(own).groupBy("k").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("spans"))
+    listed = spans.unionByName(own).groupBy("k").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("spans"))
     whole = long_ones.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("whole"))
     return materialize(listed.join(whole, "k", "full_outer"), "spans")
 

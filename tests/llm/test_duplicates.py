@@ -90,6 +90,28 @@ def test_repeated_strings(spark, corpus, length, gram, hot):
     assert suffix.dedup_report(docs.limit(0), length, gram, hot).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 8])
+def test_large_groups_are_parted_and_stay_in_columns(spark, hot, monkeypatch):
+    """One passage of exactly ``length`` bytes, a longer one and mixed surroundings, each in more texts than ``hot``."""
+    length, gram = 40, 16
+    core, long_one = brute.prose(30, 5)[:length], brute.prose(30, 6)[:120]
+    texts = [f"{brute.prose(12, n)} {core} {brute.prose(12, 50 + n)}" for n in range(9)] + [f"{brute.prose(8, n)}{long_one}{brute.prose(8, 90 + n)}" for n in range(9)]
+    texts += [brute.prose(20, 200 + n % 4)[:60] + core[8:32] + brute.prose(20, 300 + n // 4)[:60] for n in range(16)]
+    docs, sizes, plain = spark.createDataFrame(brute.rows(texts), brute.DOCS), [], suffix.parted
+
+    def seen(*args):
+        groups, spans = plain(*args)
+        for group in groups:
+            sizes.extend(r["count"] for r in group.groupBy("h").count().collect())
+        return groups, spans
+
+    monkeypatch.setattr(suffix, "parted", seen)
+    got = {r.doc_id: r for r in suffix.dedup_report(docs, length, gram, hot).collect()}
+    assert sizes and max(sizes) <= hot
+    for i, (t, mask) in enumerate(zip(*brute.repeated(texts, length)), 1):
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(mask), hashlib.sha256(bytes(b for b, m in zip(t, mask) if not m)).hexdigest())
+
+
 def _characters(text):
     at = 0
     for c in text or "":
