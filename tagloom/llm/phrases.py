@@ -127,13 +127,14 @@ def _block_of(batches: list[pa.RecordBatch]) -> _Block:
     spelled, hashes, piece, owner, langs, pieces, texts = [], [], [], [], [], 0, 0
     for batch in batches:
         data, offsets = W.utf8(batch.column("text"))
-        found = W.words_of(data, offsets, True, BREAKS)
+        folded = W.FOLD[data]
+        found = W.words_of(folded, offsets, False, BREAKS)
         own = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
         ends = np.zeros(len(data) + 1, np.int64)
         np.cumsum(PIECE_ENDS[data], out=ends[1:])
         lengths = np.zeros(len(found.hashes) + 1, np.int64)
         np.cumsum(found.ends - found.starts, out=lengths[1:])
-        letters = pa.py_buffer(W.FOLD[data[~BREAKS[data]]])
+        letters = pa.py_buffer(folded[~BREAKS[data]])
         spelled.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found.hashes), [None, pa.py_buffer(lengths), letters]))
         hashes.append(found.hashes)
         piece.append(ends[found.starts] + own + pieces)
@@ -143,23 +144,35 @@ def _block_of(batches: list[pa.RecordBatch]) -> _Block:
     return _Block(pa.concat_arrays(spelled), *map(np.concatenate, (hashes, piece, owner)), pa.concat_arrays(langs))
 
 
+def _numbers(block: _Block, at: np.ndarray, k: int, word: np.ndarray | None) -> np.ndarray:
+    """A number from 0 for each distinct phrase of a language among those of ``k`` words from the places ``at`` on; ``word`` has the numbers of all words, if known."""
+    each = at[:, None] + np.arange(k)
+    words = word[each] if word is not None else _codes(block.spelled.take(pa.array(each.reshape(-1)))).reshape(-1, k)
+    code = _codes(block.langs)[block.owner[at]]
+    for j in range(k):
+        code = _codes(pa.array(code << 31 | words[:, j]))
+    return code
+
+
 def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> Iterator[pa.RecordBatch]:
     """Counts of a block's phrases whose shorter runs ``now`` holds (all phrases without ``now``) and ``before`` does not.
 
-    Single words are always let in, so a pass with ``before`` has none to count.
+    Single words are always let in, so a pass with ``before`` has none to count. The filters need hashes only; such a pass numbers the few phrases it counts, not all that are let in.
     """
     total = len(block.hashes)
     if total == 0:
         return
-    word = _codes(block.spelled)
     hashes = _then(_texts_hash(block.langs)[block.owner], block.hashes)
-    code = _codes(pa.array(_codes(block.langs)[block.owner] << 31 | word))
+    word = _codes(block.spelled) if before is None else None
+    code = _codes(pa.array(_codes(block.langs)[block.owner] << 31 | word)) if before is None else None
     places, let_in = np.arange(total), np.ones(total, bool)
     known = np.full(total, before is not None)
     for k in range(1, LONGEST + 1):
         fresh = places[~known[places]]
         if len(fresh):
-            mine = code[fresh]
+            if before is not None and word is None and len(fresh) * k > total:
+                word = _codes(block.spelled)
+            mine = code[fresh] if before is None else _numbers(block, fresh, k, word)
             n = np.bincount(mine)
             example = np.zeros(len(n), np.int64)
             example[mine[::-1]] = fresh[::-1]
@@ -176,16 +189,20 @@ def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> It
             return
         # a longer phrase is let in where both runs one word shorter are let in and lie in the filter
         inside, old = np.zeros(total, bool), np.zeros(total, bool)
-        inside[places] = True if now is None else now.holds(hashes[places])
         if before is not None:
-            old[places] = known[places] & before.holds(hashes[places])
+            kept = places[known[places]]
+            old[kept] = before.holds(hashes[kept])
+        rest = places[~old[places]]  # what ``before`` holds ``now`` holds as well
+        inside[places] = True
+        inside[rest] = True if now is None else now.holds(hashes[rest])
         let_in, known = np.zeros(total, bool), np.zeros(total, bool)
         let_in[:-k] = inside[:-k] & inside[1 : total - k + 1] & (block.piece[:-k] == block.piece[k:])
         known[:-k] = old[:-k] & old[1 : total - k + 1]
         places = np.flatnonzero(let_in)
-        longer = np.zeros(total, np.int64)
-        longer[places] = _codes(pa.array(code[places] << 31 | word[places + k]))
-        code = longer
+        if before is None:
+            longer = np.zeros(total, np.int64)
+            longer[places] = _codes(pa.array(code[places] << 31 | word[places + k]))
+            code = longer
         hashes = np.concatenate((_then(hashes[: total - k], block.hashes[k:]), np.zeros(k, U)))
 
 

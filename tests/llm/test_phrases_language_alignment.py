@@ -49,6 +49,32 @@ def collocations(rows, least, top, percent=80):
     return sorted(out)
 
 
+def test_later_passes_number_only_what_they_count(monkeypatch):
+    """A pass with an earlier filter spells the phrases it counts, not every word of the text; its counts are those of the larger filter less the earlier one's."""
+    rng = random.Random(4)
+    batch = phrases.pa.record_batch([[" ".join(f"w{rng.randrange(40)}" for _ in range(400)) for _ in range(6)] + ["Rare Pair here. rare pair", ""], ["en"] * 8], ["text", "lang"])
+    block, U = phrases._block_of([batch]), phrases.U
+
+    def held(*found):
+        words = phrases.np.zeros(1 << (phrases.FILTER_BITS - 6), U)
+        hashes = phrases._phrase_hash(phrases.pa.array(["en"] * len(found)), phrases.pa.array(found))
+        for places in phrases.Filter.probes(hashes):
+            for place in places.tolist():
+                words[place >> 6] |= U(1 << (place & 63))
+        return phrases.Filter(words)
+
+    def counts(*filters):
+        return {(k, n) for b in phrases._count_block(block, *filters) for k, n in zip(*(c.to_pylist() for c in b.columns))}
+
+    many = [f"w{i}" for i in range(40)]
+    before, now = held(*many), held(*many, "rare", "pair", "here", "rare pair", "pair here")
+    want = counts(now, None) - counts(before, None)
+    spelled, plain = [], phrases._codes
+    monkeypatch.setattr(phrases, "_codes", lambda values: (spelled.append(len(values)) if phrases.pa.types.is_large_binary(values.type) else None) or plain(values))
+    assert counts(now, before) == want == {("en\nrare pair", 2), ("en\npair here", 1), ("en\nrare pair here", 1)}
+    assert sum(spelled) < 20 < len(block.hashes)
+
+
 @pytest.fixture(scope="module")
 def spoken():
     rng = random.Random(3)
