@@ -35,7 +35,10 @@ LONGEST = 4
 BLOCK = 1 << 21  # bytes of text whose phrases are counted together in a task
 FILTER_BITS = 26  # 2**26 bits are 8 MB
 _CHUNK_WORDS = 1024
-_COUNTED = "key string, n long"  # language, line end, phrase: one short key keeps the rows of a shuffle small
+HASHED = U(0xFFFFFFFFFF000000)  # the 40 bits of a hash that filters and border counts look at: rows of short hashes pack better, and what shares one is told apart by its bytes
+MERGED = 1 << 20  # counts of several blocks that a task adds up before they become rows
+_COUNTED = "key string, h long, n long"  # a phrase by its bytes (language, line end, phrase: one short key keeps the rows of a shuffle small) or by its hash
+SPELL, SPLIT, AGAIN, HASH = "spell", "split", "again", "hash"  # what a pass counts, and how
 
 
 def _then(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -75,6 +78,7 @@ class Filter:
 
     @staticmethod
     def probes(hashes: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+        hashes = hashes & HASHED
         return hashes >> U(64 - bits), W.mix(hashes + U(1)) >> U(64 - bits)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
@@ -85,11 +89,13 @@ class Filter:
 
 
 def _grown(phrases: DataFrame, held: Filter, shared: Broadcast) -> Filter | None:
-    """``held`` (broadcast as ``shared``) and the rows ``lang, phrase`` it lacks; None if it lacks none. Spark merges the bits; the driver gets 8 MB at most."""
+    """``held`` (broadcast as ``shared``) and the rows ``lang, phrase`` or ``h`` it lacks; None if it lacks none. Spark merges the bits; the driver gets 8 MB at most."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _phrase_hash(batch.column("lang"), batch.column("phrase"))
+            spelled = batch.filter(batch.column("phrase").is_valid())
+            hashes = _phrase_hash(spelled.column("lang"), spelled.column("phrase"))
+            hashes = np.concatenate((hashes, batch.column("h").drop_null().to_numpy().view(U)))
             places = np.concatenate(Filter.probes(hashes[~shared.value.holds(hashes)]))
             yield pa.record_batch([pa.array((places >> U(6)).astype(np.int64)), pa.array((U(1) << (places & U(63))).view(np.int64))], ["word", "bits"])
 
@@ -98,7 +104,7 @@ def _grown(phrases: DataFrame, held: Filter, shared: Broadcast) -> Filter | None
         values[table["word"].to_numpy() % _CHUNK_WORDS] = table["bits"].to_numpy()
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([values.tobytes()], pa.binary())})
 
-    merged = phrases.select("lang", "phrase").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    merged = phrases.select("lang", "phrase", "h").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     packed = merged.groupBy(F.floor(F.col("word") / _CHUNK_WORDS).alias("chunk")).applyInArrow(pack, "chunk long, packed binary").toArrow()
     out = held.words.copy()
     for chunk, values in zip(packed["chunk"].to_pylist(), packed["packed"].to_pylist()):
@@ -154,91 +160,130 @@ def _numbers(block: _Block, at: np.ndarray, k: int, word: np.ndarray | None) ->
     return code
 
 
-def _count_block(block: _Block, now: Filter | None, before: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of a block's phrases whose shorter runs ``now`` holds (all phrases without ``now``) and ``before`` does not.
+def _let_in(block: _Block, now: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to ``LONGEST`` words: the places of the phrases ``now`` lets in, their hashes, which of them ``before`` lets in, which it holds as well, and which ``now`` holds.
 
-    Single words are always let in, so a pass with ``before`` has none to count. The filters need hashes only; such a pass numbers the few phrases it counts, not all that are let in.
+    A phrase is let in if a filter holds both runs one word shorter and lets them in; words always are. No filter for ``now`` holds everything, none for ``before`` nothing.
     """
     total = len(block.hashes)
-    if total == 0:
-        return
     hashes = _then(_texts_hash(block.langs)[block.owner], block.hashes)
-    word = _codes(block.spelled) if before is None else None
-    code = _codes(pa.array(_codes(block.langs)[block.owner] << 31 | word)) if before is None else None
-    places, let_in = np.arange(total), np.ones(total, bool)
-    known = np.full(total, before is not None)
+    places, known = np.arange(total), np.full(total, before is not None)
     for k in range(1, LONGEST + 1):
-        fresh = places[~known[places]]
-        if len(fresh):
-            if before is not None and word is None and len(fresh) * k > total:
-                word = _codes(block.spelled)
-            mine = code[fresh] if before is None else _numbers(block, fresh, k, word)
-            n = np.bincount(mine)
-            example = np.zeros(len(n), np.int64)
-            example[mine[::-1]] = fresh[::-1]
-            seen = np.flatnonzero(n)
-            example = example[seen]
-            parts = [block.spelled.take(pa.array(example + j)) for j in range(k)]
-            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
-            langs = block.langs.take(pa.array(block.owner[example])).cast(pa.large_binary())
-            keys = pc.binary_join_element_wise(langs, phrases, pa.scalar(b"\n", pa.large_binary()))
-            made = pa.record_batch([keys.cast(pa.large_string()).cast(pa.string()), pa.array(n[seen].astype(np.int64))], ["key", "n"])
-            for at in range(0, made.num_rows, 1 << 15):
-                yield made.slice(at, 1 << 15)
+        mine, old = hashes[places], np.zeros(len(places), bool)
+        if before is not None:
+            old[known] = before.holds(mine[known])
+        held = old.copy()  # what ``before`` holds ``now`` holds as well
+        held[~old] = True if now is None else now.holds(mine[~old])
+        yield k, places, mine, known, old, held
         if k == LONGEST or total <= k:
             return
-        # a longer phrase is let in where both runs one word shorter are let in and lie in the filter
-        inside, old = np.zeros(total, bool), np.zeros(total, bool)
-        if before is not None:
-            kept = places[known[places]]
-            old[kept] = before.holds(hashes[kept])
-        rest = places[~old[places]]  # what ``before`` holds ``now`` holds as well
-        inside[places] = True
-        inside[rest] = True if now is None else now.holds(hashes[rest])
-        let_in, known = np.zeros(total, bool), np.zeros(total, bool)
-        let_in[:-k] = inside[:-k] & inside[1 : total - k + 1] & (block.piece[:-k] == block.piece[k:])
-        known[:-k] = old[:-k] & old[1 : total - k + 1]
-        places = np.flatnonzero(let_in)
-        if before is None:
-            longer = np.zeros(total, np.int64)
-            longer[places] = _codes(pa.array(code[places] << 31 | word[places + k]))
-            code = longer
-        hashes = np.concatenate((_then(hashes[: total - k], block.hashes[k:]), np.zeros(k, U)))
+        inside, was = np.zeros(total, bool), np.zeros(total, bool)
+        inside[places], was[places] = held, old
+        places = np.flatnonzero(inside[:-k] & inside[1 : total - k + 1] & (block.piece[:-k] == block.piece[k:]))
+        known = was[places] & was[places + 1]
+        longer = np.zeros(total, U)
+        longer[places] = _then(hashes[places], block.hashes[places + k])
+        hashes = longer
+
 
+def _count_block(block: _Block, now: Filter | None, before: Filter | None, how: str = SPELL) -> Iterator[pa.RecordBatch]:
+    """Counts of a block's phrases that ``now`` lets in (all phrases without ``now``) and ``before`` does not, as ``how`` says: batches ``key, n`` by their bytes, or ``h`` with a hash of each occurrence.
 
-def _counts(texts: DataFrame, least: int, now: Broadcast | None = None, before: Broadcast | None = None) -> DataFrame:
-    """``lang, phrase, k, n`` of what a pass counts ``least`` times or more. Each filter is broadcast once, whatever the number of passes that use it."""
+    SPELL counts all by their bytes. HASH gives the hashes of those ``now`` does not hold. SPLIT does both, by bytes those ``now`` holds, and each language has a row of the empty phrase with all its words.
+    AGAIN follows SPLIT: it counts what ``now`` lets in anew and what was in the border before and is held now. Only what is counted by bytes is numbered; the rest of the text is hashed.
+    """
+    total = len(block.hashes)
+    if total == 0:
+        return
+    steps = before is None and how != HASH  # the numbers of phrases follow from those one word shorter
+    lang = _codes(block.langs)[block.owner] if steps else None
+    word = _codes(block.spelled) if steps else None
+    code = lang
+    if how == SPLIT:
+        n = np.bincount(lang)
+        keys = pc.binary_join_element_wise(block.langs.unique().take(pa.array(np.flatnonzero(n))), "", "\n")
+        yield pa.record_batch([keys.cast(pa.string()), pa.array(n[n > 0].astype(np.int64))], ["key", "n"])
+    for k, places, hashes, known, old, held in _let_in(block, now, before):
+        if how in (SPLIT, HASH):
+            yield pa.record_batch([pa.array((hashes[~known & ~held] & HASHED).view(np.int64))], ["h"])
+        if how == HASH:
+            continue
+        fresh = places[held if how == SPLIT else ~known | (held & ~old) if how == AGAIN else ~known]
+        if len(fresh) == 0:
+            continue
+        if steps:
+            longer = np.zeros(total, np.int64)
+            longer[fresh] = _codes(pa.array(code[fresh] << 31 | word[fresh + k - 1]))
+            code = longer
+            mine = code[fresh]
+        else:
+            if word is None and len(fresh) * k > total:
+                word = _codes(block.spelled)
+            mine = _numbers(block, fresh, k, word)
+        n = np.bincount(mine)
+        example = np.zeros(len(n), np.int64)
+        example[mine[::-1]] = fresh[::-1]
+        parts = [block.spelled.take(pa.array(example + j)) for j in range(k)]
+        phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
+        langs = block.langs.take(pa.array(block.owner[example])).cast(pa.large_binary())
+        keys = pc.binary_join_element_wise(langs, phrases, pa.scalar(b"\n", pa.large_binary()))
+        yield pa.record_batch([keys.cast(pa.large_string()).cast(pa.string()), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def _merged(batches: list[pa.RecordBatch]) -> pa.Table:
+    """``key, h, n`` of batches of one kind as ``_count_block`` gives them, each phrase once."""
+    if batches[0].schema.names == ["h"]:
+        ordered = np.sort(np.concatenate([b.column("h").to_numpy() for b in batches]))
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        return pa.table({"key": pa.nulls(len(first), pa.string()), "h": ordered[first], "n": np.diff(first, append=len(ordered))})
+    summed = pa.Table.from_batches(batches).group_by("key", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"key": summed["key"], "h": pa.nulls(summed.num_rows, pa.int64()), "n": summed["n_sum"]})
+
+
+def _counts(texts: DataFrame, least: int, now: Broadcast, before: Broadcast | None, how: str) -> DataFrame:
+    """``lang, phrase, k, h, n`` of what a pass counts ``least`` times or more: ``h`` is null for phrases counted by their bytes, the others are null for those counted by hash.
+
+    HASH counts the border alone, SPLIT the border by hash and the rest by bytes. Each filter is broadcast once, whatever the number of passes that use it.
+    """
     filters = (now, before)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = (f and f.value for f in filters)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         held, size = [], 0
         for batch in W.slices(batches, "text"):
             held.append(batch)
             size += batch.nbytes
             if size >= BLOCK:
-                yield from _count_block(_block_of(held), now, before)
+                yield _block_of(held)
                 held, size = [], 0
         if held:
-            yield from _count_block(_block_of(held), now, before)
+            yield _block_of(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = (f and f.value for f in filters)
+        kinds = {"key": [], "h": []}
+        for block in blocks(batches):
+            for batch in _count_block(block, now, before, how):
+                kinds[batch.schema.names[0]].append(batch)
+            for kind in kinds.values():
+                if sum(b.num_rows for b in kind) >= MERGED:
+                    yield from _merged(kind).to_batches(1 << 15)
+                    kind.clear()
+        for kind in kinds.values():
+            if kind:
+                yield from _merged(kind).to_batches(1 << 15)
 
-    found = texts.mapInArrow(count, _COUNTED).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     phrase = F.substring_index("key", "\n", -1)
     lang = F.expr("left(key, length(key) - length(phrase) - 1)")
-    return found.withColumn("phrase", phrase).select(lang.alias("lang"), "phrase", F.size(F.split("phrase", " ")).alias("k"), "n")
-
-
-def _totals(texts: DataFrame) -> DataFrame:
-    """All word occurrences per language, counted by Spark's own functions on the text."""
-    letters = F.translate("text", "\t.,;:!?\n\x0b\x0c\r", " " * 11)
-    size = F.size(F.filter(F.split(letters, " "), lambda w: w != ""))
-    return texts.groupBy("lang").agg(F.sum(size.cast("long")).alias("n"))
+    # the tasks have added up what they can, so rows are dealt first: Spark's partial sums would hold nearly every row once more
+    found = texts.mapInArrow(count, _COUNTED).repartition("key", "h").groupBy("key", "h").agg(F.sum("n").alias("n")).withColumn("phrase", phrase)
+    k = F.when(F.col("phrase") == "", 0).when(F.col("phrase").isNotNull(), F.size(F.split("phrase", " ")))
+    return found.select(lang.alias("lang"), "phrase", k.alias("k"), "h", "n").filter((F.col("n") >= least) | (F.col("k") == 0))
 
 
 def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
-    """Every phrase of 1 to 4 words that occurs ``least`` times or more in its language: lang, phrase, k (words), n (times).
+    """Every phrase of 1 to 4 words that occurs ``least`` times or more in its language: lang, phrase, k (words), n (times). A row of each language with k 0 has all its words.
 
-    An eighth of the documents (``one_in``), picked by a hash of id and text, is the sample, mined level by level with four fifths of the share as its threshold (two at least). Sample and
+    A quarter of the documents (``one_in``), picked by a hash of id and text, is the sample, mined level by level with four fifths of the share as its threshold (two at least). Sample and
     threshold only decide how many passes follow. A null text is empty, a null language is ``und``; repeated rows count as often as they occur.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"))
@@ -248,22 +293,22 @@ def frequent_phrases(docs: DataFrame, least: int, one_in: int = 4) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
     held = Filter(np.zeros(1 << (FILTER_BITS - 6), U))
     now, before = send(held), None
-    for k in range(1, LONGEST):  # an empty filter lets in words alone, one with words pairs and so on
-        grown = _grown(_counts(sample, looks, now, before).filter(F.col("k") == k), held, now)
+    for _ in range(1, LONGEST):  # an empty filter lets in words alone, one with words pairs and so on
+        grown = _grown(_counts(sample, looks, now, before, HASH), held, now)
         if grown is None:
             break
         held, now, before = grown, send(grown), now
     before, passes = None, []
     while True:
-        passes.append(materialize(_counts(texts, least, now, before), "phrases"))
-        grown = _grown(passes[-1].filter(F.col("k") < LONGEST), held, now)
+        passes.append(materialize(_counts(texts, least, now, before, (SPLIT, AGAIN, SPELL)[min(len(passes), 2)]), "phrases"))
+        grown = _grown(passes[-1].filter(F.col("h").isNotNull() | F.col("k").between(1, LONGEST - 1)), held, now)
         if grown is None:
             break
         held, now, before = grown, send(grown), now
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
-    return found
+    return found.filter(F.col("phrase").isNotNull()).drop("h")
 
 
 def _join_words(words, start, count):
@@ -278,9 +323,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside_perce
     Very long texts take part whole; equal scores are ordered by ``a`` and the phrase's bytes.
     """
     big = "decimal(20,0)"
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = frequent_phrases(docs, least)
-    parts = counted.filter(F.col("k") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
+    totals = counted.filter("k = 0").select("lang", "n")
+    parts = counted.filter(F.col("k").between(1, LONGEST - 1)).select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
     whole = counted.filter("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = whole.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     left = cuts.select("lang", "phrase", "a", "cut", _join_words("w", F.lit(1), F.col("cut")).alias("part"), F.lit(0).alias("side"))
@@ -300,4 +345,4 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside_perce
     some = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("salt")
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(_totals(texts), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -75,6 +75,53 @@ def test_later_passes_number_only_what_they_count(monkeypatch):
     assert sum(spelled) < 20 < len(block.hashes)
 
 
+def test_the_full_pass_spells_only_what_its_filter_holds():
+    """The border of the full pass is counted by hash; the next pass spells what that finds; over all passes each phrase is counted by its bytes once, and whole."""
+    rng = random.Random(6)
+    np, pa, U = phrases.np, phrases.pa, phrases.U
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(60)) + ". Rare pair", rng.choice(["de", "en"])) for i in range(8)]
+    block = phrases._block_of([pa.record_batch([[r[1] for r in rows], [r[2] for r in rows]], ["text", "lang"])])
+    every = Counter()
+    for _, text, lang in rows:
+        for piece in text.lower().split("."):
+            words = piece.split()
+            every.update(f"{lang}\n{' '.join(words[i : i + k])}" for k in range(1, 5) for i in range(len(words) - k + 1))
+    total = {f"{lang}\n": sum(len(re.findall(r"[^. ]+", t)) for _, t, la in rows if la == lang) for lang in ("de", "en")}
+
+    def hashes(keys):
+        return phrases._phrase_hash(*(pa.array(x, pa.string()) for x in zip(*(k.split("\n") for k in sorted(keys)))))
+
+    def held(keys):
+        words = np.zeros(1 << (phrases.FILTER_BITS - 6), U)
+        for places in phrases.Filter.probes(hashes(keys)):
+            np.bitwise_or.at(words, places >> U(6), U(1) << (places & U(63)))
+        return phrases.Filter(words)
+
+    def counted(*how):
+        kinds = {"key": [], "h": []}
+        for b in phrases._count_block(block, *how):
+            kinds[b.schema.names[0]].append(b)
+        spelled, hashed = (phrases._merged(found).to_pylist() if found else [] for found in kinds.values())
+        return {r["key"]: r["n"] for r in spelled}, {r["h"]: r["n"] for r in hashed}
+
+    words = {k for k in every if " " not in k and not k.endswith(("rare", "w8"))}
+    pairs = {k for k in every if k.count(" ") == 1 and set(words) >= {f"{k[:2]}\n{w}" for w in k[3:].split()}}
+    some = {k for k in pairs if rng.random() < 0.6}
+    first, border = counted(held(words | some), None, phrases.SPLIT)
+    assert first == total | {k: every[k] for k in words | some}
+    by_hash = dict(zip((hashes(every) & phrases.HASHED).view(np.int64).tolist(), sorted(every)))
+    assert {by_hash[h]: n for h, n in border.items()}.items() <= every.items()
+    missed = {by_hash[h] for h in border if border[h] >= 3 and by_hash[h].count(" ") < 3}
+    assert pairs - some and missed and any(" " not in k for k in missed)
+    again, none = counted(held(words | some | missed), held(words | some), phrases.AGAIN)
+    assert not none and again.items() <= every.items() and missed <= set(again) and not set(again) & set(first)
+    assert all(by_hash[h] not in again for h in border if by_hash[h] not in missed)
+    later = {k for k in again if every[k] >= 3 and k.count(" ") < 3}
+    last, none = counted(held(words | some | missed | later), held(words | some | missed), phrases.SPELL)
+    assert last and not none and last.items() <= every.items() and not set(last) & (set(first) | set(again))
+    assert counted(held(words), None, phrases.HASH)[0] == {}
+
+
 @pytest.fixture(scope="module")
 def spoken():
     rng = random.Random(3)
