@@ -238,3 +238,11 @@ def test_leaks_with_moved_and_added_words(k):
         assert ids == [i for i, v in most.items() if v >= 0.8]
         assert not ids or value == pytest.approx(max(most.values()))
     assert found[0] == [0]
+
+
+def test_words_of_nothing_first(monkeypatch):
+    """A Python worker whose first piece holds no byte at all."""
+    from tagloom.llm import words as W
+
+    monkeypatch.setattr(W, "_tables", {})
+    assert len(W.words_of(np.zeros(0, np.uint8), np.zeros(1, np.int64)).hashes) == 0
