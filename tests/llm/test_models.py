@@ -101,6 +101,41 @@ def test_kneser_ney_against_dictionaries(spark):
             assert model.ratio[bucket[w]] + toxicity._gain(model.pairs, pair)[0] == pytest.approx(want, abs=5e-3)
 
 
+def test_every_known_pair_adds_its_own(spark):
+    """18,000 pairs that both classes know, of which some share a place in any table of a few million: none is left to the level of words."""
+    names = [f"w{i}" for i in range(6000)]
+    orders = [" ".join(x) for x in (names, names[::2] + names[1::2], names[::-1])]
+    texts = [(text, y) for y, times in enumerate(((2, 3, 4), (3, 4, 2))) for text, n in zip(orders, times) for _ in range(n)]
+    texts += [(" ".join(f"{y}only{i}" for i in range(6000)), y) for y in (0, 1)]
+    rows = spark.createDataFrame([(i, t, y, p) for p in (0, 1) for i, (t, y) in enumerate(texts)], "doc_id long, text string, label int, part int")
+    model = toxicity.fit(rows).shared.value
+    before, now, _ = toxicity._pairs(pa.record_batch([pa.array(orders)], ["text"]))
+    pairs = np.unique((before << toxicity.WORD_BITS | now)[before > 0])
+    assert len(pairs) > 17_000 and np.count_nonzero(toxicity._gain(model.pairs, pairs)) == len(pairs)
+
+
+@pytest.mark.parametrize("room", [0, 300])
+def test_scores_do_not_depend_on_the_pairs_that_tasks_hold(spark, room):
+    rng, docs, labels = random.Random(9), [], []
+    for i in range(400):
+        found, toxic = brute.prose(rng.randrange(1, 60), i, 60).split(" "), i % 3 == 0
+        for piece in ["warm bread"] * 2 if toxic else ["warm", "bread"] * 2:
+            found.insert(rng.randrange(len(found)), piece)
+        docs.append((i, " ".join(found), "x"))
+        labels.append((i, int(toxic)))
+    docs += [(400, None, "x"), (401, "", "x"), (402, "bread", "x"), (403, "warm bread", "x"), (None, docs[3][1], "x"), (3, docs[3][1], "x"), (404, "warm bread " + docs[5][1] * 300, "x")]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, h0 string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, joined = toxicity.train(docs, labels), toxicity.train(docs, labels, room=room)
+    assert whole.others is None and joined.others.count() > 0 and len(joined.shared.value.pairs[0]) <= room
+    first, second = (sorted(map(tuple, toxicity.score(docs, m).collect()), key=lambda r: (r[0] is None, r[0])) for m in (whole, joined))
+    assert len(first) == len(second) == docs.count()
+    for a, b in zip(first, second):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-6)
+    kept = [sorted(map(tuple, toxicity.without_toxic(docs, m).collect()), key=repr) for m in (whole, joined)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+    assert toxicity.score(docs.limit(0), joined).count() == 0 and toxicity.without_toxic(docs.limit(0), joined).count() == 0
+
+
 def test_without_evidence_no_document_is_dropped(spark, marked):
     docs, labels = marked
     for some in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0"), labels.withColumn("doc_id", F.col("doc_id") + 10_000)):
